@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pii, secrets, sharding
+from . import pii, secrets, sentencepiece_bpe, sharding
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_bpe.op1,
     "op3_pii": pii.op3,
     "op4_secrets": secrets.op4,
     "op9_sharding": sharding.op9,
