@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import pii, secrets, sentencepiece_bpe, sharding
+from . import pii, secrets, sentencepiece_bpe, sharding, topk
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
+    "op2_topk": topk.op2,
     "op3_pii": pii.op3,
     "op4_secrets": secrets.op4,
     "op9_sharding": sharding.op9,
 }
 SQL = {
+    "op2_topk": topk.OP2_SQL,
     "op3_pii": pii.OP3_SQL,
     "op4_secrets": secrets.OP4_SQL,
     "op9_sharding": sharding.OP9_SQL,
