@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, secrets, sentencepiece_bpe, sharding, topk
+from . import pii, quality, secrets, sentencepiece_bpe, sharding, topk
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
     "op2_topk": topk.op2,
     "op3_pii": pii.op3,
     "op4_secrets": secrets.op4,
+    "op5_quality": quality.op5,
     "op9_sharding": sharding.op9,
 }
 SQL = {
