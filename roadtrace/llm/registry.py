@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii, quality, secrets, sentencepiece_bpe, sharding, topk
+from . import near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_secrets": secrets.op4,
     "op5_quality": quality.op5,
+    "op7_near_dedup": near_dedup.op7,
     "op9_sharding": sharding.op9,
 }
 SQL = {
     "op2_topk": topk.OP2_SQL,
     "op3_pii": pii.OP3_SQL,
     "op4_secrets": secrets.OP4_SQL,
+    "op7_near_dedup": near_dedup.OP7_SQL,
     "op9_sharding": sharding.OP9_SQL,
 }
