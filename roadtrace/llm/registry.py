@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk
+from . import decontaminate, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4,
     "op5_quality": quality.op5,
     "op7_near_dedup": near_dedup.op7,
+    "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
 }
 SQL = {
