@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk
+from . import decontaminate, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
+    "op10_url_filter": url_filter.op10,
 }
 SQL = {
     "op2_topk": topk.OP2_SQL,
@@ -20,4 +21,5 @@ SQL = {
     "op4_secrets": secrets.OP4_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op9_sharding": sharding.OP9_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
 }
