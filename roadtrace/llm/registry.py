@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk, url_filter
+from . import decontaminate, html_text, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_secrets": secrets.op4,
     "op5_quality": quality.op5,
+    "op6_html_text": html_text.op6,
     "op7_near_dedup": near_dedup.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
