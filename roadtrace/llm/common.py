@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many ids (8 bytes each) are broadcast to pick rows; more are joined.
+MOST_IDS = 1_000_000
+
+
+def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined left_semi or left_anti with a written table of ids (doc_id); few are broadcast, so docs aren't shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", how)
+
+
 def matches(df: DataFrame, text: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """Adds column `m_<kind>` per rule: array<struct<start,end,hit>> of the leftmost non-overlapping matches.
 
@@ -82,21 +93,47 @@ def spans_text(kinds: list[str], by_start: bool) -> Column:
     return F.array_join(F.concat(*[F.transform(f"m_{k}", _named(k)) for k in kinds]), ",")
 
 
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of one partition as stars: each node with the smallest one that the partition's own links reach."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist()):
+            x, y = find(u), find(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > 500_000:  # what a task holds stays bounded; later rounds join what is given out here
+            yield _stars(root, find)
+            root.clear()
+    yield _stars(root, find)
+
+
+def _stars(root: dict[int, int], find) -> pd.DataFrame:
+    u = [x for x in root if find(x) != x]
+    return pd.DataFrame({"u": u, "v": [find(x) for x in u]}, dtype="int64")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge. Edges are undirected.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), which settle in about log(n) rounds; each round's
-    links are written to the shared folder.
+    Links are contracted within partitions, then large-star and small-star steps alternate (Kiveris et al., 2014), which
+    settle in about log(n) rounds; each round's links are written to the shared folder.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    links = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInPandas(_contracted, "u long, v long"), "links")
     for _ in range(rounds):
+        # A forest of stars: no node has two smaller neighbours, or both a smaller and a larger one.
+        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         sym = links.union(links.select("v", "u"))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = written(small.distinct(), "links")
-        # A forest of stars: every node has one smaller neighbour, and that one has none itself.
-        if links.groupBy("u").count().where("count > 1").isEmpty() and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        links = written(small.distinct().mapInPandas(_contracted, "u long, v long").distinct(), "links")
     raise RuntimeError("components did not settle")

@@ -8,8 +8,8 @@
    0.7^k, at most 3e-8 at k = 48.
 3. Each list links its members to one centre, the member that shares most values with others. Union sketches estimate
    those pairs' similarity, and full sets confirm it. So big groups of copies join up by as many pairs as they have members.
-4. Only lists whose members are still in several components go on. Their members' full sets, ordered rare values
-   first, meet by exact prefix, position and size bounds; pairs within a component are left out.
+4. Only lists whose members are still in several components go on. Short ones pair their members of different
+   components. The full sets of long ones' members, ordered rare values first, meet by exact prefix, position and size bounds.
 5. The confirmed links' connected components are the answer.
 """
 
@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, picked, table, written
 
 K = 48
 #: Of a union's 48 smallest values a pair at 0.8 shares 38; under 20 has a chance below 1e-8.
 LEAST_SHARED = 20 / 48
-#: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined.
-MOST_IDS = 1_000_000
-#: Hashed counters that order values by rarity; any count gives right results, more of them fewer candidates.
-COUNTERS = 1 << 20
+#: Lists of up to so many members pair them directly.
+SHORT = 16
 
 _words: dict[bytes, int] = {}
 
@@ -80,15 +78,15 @@ def _features(width: int, k: int):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"rep": b["doc_id"], "all": [shingles(t, width) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "all": [shingles(t, width) for t in b["text"]]})
 
     return run
 
 
-def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids."""
-    small = ids.count() <= MOST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, all): the full sets of the texts that pairs (a, b) name, as a written table."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    return written(picked(docs, ids, "left_semi").mapInPandas(_sets(width), "doc_id long, all array<long>").dropDuplicates(["doc_id"]), "sets")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
@@ -99,36 +97,27 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    s = sets.select(F.col("rep").alias("a"), F.col("all").alias("sa")).join(pairs, "a").join(sets.select(F.col("rep").alias("b"), F.col("all").alias("sb")), "b")
+    """The pairs (a, b), a written table, whose full sets are similar enough. Only the sets that pairs name are shuffled."""
+    side = lambda c: picked(sets, written(pairs.select(F.col(c).alias("doc_id")).distinct(), "side"), "left_semi").select(F.col("doc_id").alias(c), F.col("all").alias("s" + c))
+    s = side("a").join(pairs, "a").join(side("b"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return s.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _ordered(counts: np.ndarray, percent: int):
-    """Each set's rare values up to the longest prefix that a partner can need: pos is the number of values before."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            values, places = [], []
-            for s in b["all"]:
-                s = np.asarray(s, np.int64)
-                order = s[np.lexsort((s, counts[s % COUNTERS]))]
-                n = len(s) - (percent * len(s) + 99) // 100 + 1
-                values.append(order[:n])
-                places.append(np.arange(n, dtype="i4"))
-            yield pd.DataFrame({"rep": b["rep"], "label": b["label"], "n": b["all"].map(len), "values": values, "places": places})
-
-    return run
-
-
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels among members (rep, label, all) that exact bounds don't rule out."""
-    counts = np.zeros(COUNTERS, np.int64)
-    counted = members.select(F.explode("all").alias("v")).groupBy(F.pmod("v", F.lit(COUNTERS)).cast("int").alias("c")).count().toPandas()
-    counts[counted["c"]] = counted["count"]
-    shared = members.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
-    firsts = members.mapInPandas(lambda it: _ordered(shared.value, percent)(it), "rep long, label long, n int, values array<long>, places array<int>")
-    firsts = written(firsts.select("rep", "label", "n", F.explode(F.arrays_zip("values", "places")).alias("z")).select("rep", "label", "n", F.col("z.values").alias("v"), F.col("z.places").alias("p")), "prefixes")
+    """Pairs (a, b) of different labels among members (rep, label, all) that exact bounds don't rule out.
+
+    Sets are ordered by one order of all values: first those that no two labels have in common, then the others, rare
+    ones first. p is a value's place in its set.
+    """
+    each = members.select("rep", "label", F.size("all").alias("n"), F.explode("all").alias("v"))
+    common = each.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v", "c")
+    ordered = each.join(common, "v").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("o"))
+    # A partner that has enough in common shares one of the first n - ceil(percent * n) + 1 values.
+    own = F.col("n") - F.size("o")
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1 - own
+    firsts = ordered.select("rep", "label", "n", own.alias("own"), F.posexplode(F.slice("o", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("i", "z"))
+    firsts = written(firsts.select("rep", "label", "n", F.col("z.v").alias("v"), (F.col("own") + F.col("i")).alias("p")), "prefixes")
     # The label with most entries of a value meets only the others.
     main = firsts.groupBy("v", "label").count().groupBy("v").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     rest = firsts.join(main.select("v", "main"), "v").where("label <> main").select("v", *[F.col(c).alias(f"{c}2") for c in ("rep", "label", "n", "p")])
@@ -159,19 +148,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     keys = classes.select("rep", F.explode(F.array_distinct(runs)).alias("key"))
     lists = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = written(keys.join(lists, "key"), "lists")
+    listed = written(lists.select(F.col("rep").alias("doc_id")).distinct(), "listed")
+    sketches = written(picked(classes.select(F.col("rep").alias("doc_id"), "sketch"), listed, "left_semi").withColumnRenamed("doc_id", "rep"), "sketches")
     weight = lists.groupBy("rep").agg(F.sum("size").alias("weight"))
     heads = lists.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("head"))
     pairs = lists.join(heads, "key").where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-
-    sets = written(_pick(docs, lists.select(F.col("rep").alias("doc_id")).distinct()).mapInPandas(_sets(width), "rep long, all array<long>").dropDuplicates(["rep"]), "sets")
-    links = written(_confirmed(_estimated(pairs, classes, k), sets, percent), "links")
+    pairs = written(_estimated(pairs, sketches, k), "pairs")
+    links = written(_confirmed(pairs, _sets_of(docs, pairs, width), percent), "links")
 
     label = components(links)
-    labelled = lists.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    members = written(labelled.join(mixed, "key", "left_semi").select("rep", "label").distinct().join(sets, "rep"), "members")
-    more = _confirmed(_estimated(_across(members, percent), classes, k), sets, percent)
-    label = components(links.union(written(more, "links")))
+    labelled = lists.join(label, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    labelled = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    # Short lists pair their members; a row meets SHORT others at most.
+    short = labelled.where(F.col("size") <= SHORT).drop("size")
+    other = short.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"))
+    more = short.join(other, "key").where("rep < rep2 and label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    more = written(_estimated(more, sketches, k), "pairs")
+    # Members of long ones meet by their full sets.
+    members = written(labelled.where(F.col("size") > SHORT).select("rep", "label").distinct(), "members")
+    long_ = _sets_of(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")), width)
+    across = written(_estimated(_across(members.join(long_.withColumnRenamed("doc_id", "rep"), "rep"), percent), sketches, k), "pairs")
+    more = written(more.union(across).distinct(), "pairs")
+    label = components(links.union(written(_confirmed(more, _sets_of(docs, more, width), percent), "links")))
 
     named = classes.select("set", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("c"))
     out = rows.select("doc_id", "n", "set").join(named, "set", "left")
