@@ -70,7 +70,7 @@ by("permission_reverse", "SELECT device_id, count(*) AS users FROM perm GROUP BY
 by("accessible_devices_by_group", "SELECT dev.id FROM dev WHERE group_id IN (SELECT id FROM grp WHERE id = 1001 OR group_id = 1001)", lambda s, d: adapter.devices(s, d).join(hierarchy.descendants(s, adapter.groups(s, d), [1001]).withColumnRenamed("id", "group_id"), "group_id", "left_semi").select("id"))
 
 
-@query("attribute_lookup", """SELECT dev.id, coalesce(CASE WHEN dev.id % 10 = 0 THEN dev.id * 1.0 END, CASE WHEN dev.group_id % 5 = 0 THEN dev.group_id + 100.0 END, CASE WHEN g.group_id % 2 = 0 THEN g.group_id + 0.5 END, 7.0) AS value
+@query("attribute_lookup", """SELECT dev.id, CAST(coalesce(CASE WHEN dev.id % 10 = 0 THEN dev.id * 1.0 END, CASE WHEN dev.group_id % 5 = 0 THEN dev.group_id + 100.0 END, CASE WHEN g.group_id % 2 = 0 THEN g.group_id + 0.5 END, 7.0) AS DOUBLE) AS value
 FROM dev JOIN grp g ON g.id = dev.group_id""")
 def _(s, d):
     dev, grp = adapter.devices(s, d), adapter.groups(s, d)
@@ -168,7 +168,7 @@ by("mobile_quality_verdict", f"""SELECT id, CASE WHEN lag(latitude) OVER {W} = l
 _e = "device_id, id AS position_id, fix_ms AS event_ms"
 by("ev_media", f"SELECT {_e}, 'alarm' AS media, alarm AS file FROM p WHERE alarm IS NOT NULL", lambda s, d: ev.media(pos(s, d), ["alarm"]))
 by("ev_command_result", f"SELECT {_e} FROM p WHERE alarm = 'sos'", lambda s, d: pos(s, d).where("alarm = 'sos'").select("device_id", F.col("id").alias("position_id"), F.col("fix_ms").alias("event_ms")))
-by("ev_overspeed", f"""SELECT {_e}, speed, 60.0 AS speed_limit FROM (SELECT *, fix_ms - min(fix_ms) OVER (PARTITION BY device_id, run) AS since FROM
+by("ev_overspeed", f"""SELECT {_e}, speed, CAST(60.0 AS DOUBLE) AS speed_limit FROM (SELECT *, fix_ms - min(fix_ms) OVER (PARTITION BY device_id, run) AS since FROM
   (SELECT *, sum(CASE WHEN speed > 60 THEN 0 ELSE 1 END) OVER (PARTITION BY device_id ORDER BY fix_ms, id) AS run FROM p) WHERE speed > 60) WHERE since >= 300000 QUALIFY row_number() OVER (PARTITION BY device_id, run ORDER BY fix_ms, id) = 1""", lambda s, d: ev.overspeed(pos(s, d), F.lit(60.0), 300))
 by("ev_behavior", f"SELECT {_e}, CASE WHEN r >= 0.1 THEN 'hardAcceleration' ELSE 'hardBraking' END AS type FROM (SELECT *, round((speed - lag(speed) OVER {W}) / 1.94384 * 1000 / (fix_ms - lag(fix_ms) OVER {W}), 9) AS r FROM p) WHERE abs(r) >= 0.1", lambda s, d: ev.behavior(pos(s, d), 0.1, 0.1))
 by("ev_fuel", f"SELECT {_e}, CASE WHEN c >= 50 THEN 'deviceFuelIncrease' ELSE 'deviceFuelDrop' END AS type, c AS change FROM (SELECT *, fuel - lag(fuel) OVER {W} AS c FROM p) WHERE c >= 50 OR -c >= 60", lambda s, d: ev.fuel(pos(s, d), 50, 60))
