@@ -38,9 +38,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
 
     ledger: rows of LEDGER from earlier scans. A (blob, RULE_VERSION) pair that it has is not scanned again. Texts that
     are equal are one blob, however many rows hold them; a null text counts as the empty blob. The new ledger rows hold
-    every blob scanned now, with findings or without, so that the next scan skips them.
+    every blob scanned now, with findings or without, so that the next scan skips them. Columns of versions named blob,
+    findings or m_<kind> are replaced.
     """
-    at = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    at = versions.drop("findings", *[f"m_{k}" for k in KINDS]).withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     blobs = at.select("blob", F.col(text).alias("body")).dropDuplicates(["blob"])
     seen = None
     if ledger is not None:
