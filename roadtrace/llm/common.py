@@ -38,6 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch on its way to Python. By the usual row count alone, batches of long texts take GBs on both sides.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_BYTES and the row that passes it, unless the user has set a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 #: Up to so many ids (8 bytes each) are broadcast to pick rows; more are joined.
 MOST_IDS = 1_000_000
 

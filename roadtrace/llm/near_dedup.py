@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, picked, table, written
+from .common import components, picked, small_batches, table, written
 
 K = 48
 #: Of a union's 48 smallest values a pair at 0.8 shares 38; under 20 has a chance below 1e-8.
@@ -50,7 +50,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(_words) > 400_000:
+    if len(_words) > 100_000:
         _words.clear()
     known, digest = _words, xxhash.xxh64_intdigest
     h = np.array([known.get(w) or known.setdefault(w, digest(w)) for w in words], np.uint64)
@@ -137,6 +137,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     """
     if percent < 80:
         raise ValueError("runs of three find pairs from 80 percent")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = written(docs.mapInPandas(_features(width, k), "doc_id long, n long, set binary, sketch array<long>"), "sketches")
     classes = written(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "classes")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 TERMS = 2048  # hashed byte pairs; the last three are taken by the signs of style
 #: The bound of the sample: so many labelled rows of each label at most, those with the smallest hash of their id.
@@ -111,6 +111,7 @@ def score(docs: DataFrame, model: Voters, text: str = "text") -> DataFrame:
 
     The broadcast model holds 2 x PER_LABEL short vectors at most, whatever the size of docs.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

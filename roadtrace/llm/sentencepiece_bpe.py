@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SPACE = "▁"
 #: A unit: a run of spaces with what follows it up to the next space, tab or line feed, or one of the latter. No piece
@@ -360,6 +360,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     A null text counts as empty: its ids are begin and end, and it decodes to the empty text. Rows may repeat.
     path: the .model file; each executor needs it at that place.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
