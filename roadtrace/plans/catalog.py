@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text, units
 from ..operators import events as ev
-from ..operators import folds, hierarchy, mobile, pipeline, reports, request
+from ..operators import folds, hierarchy, mobile, pipeline, relations, reports, request
 from ..sources import adapter, egress
 from ..sources.adapter import DAY, GEOFENCES, HOUR, LINE_M, SQL_DISTANCE, START_MS, sql_haversine
 
@@ -292,3 +292,27 @@ by("kml_coordinates", "SELECT device_id, id, printf('%.5f,%.5f,%.1f', longitude,
 by("kafka_payload", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"id\":' || id || ',\"protocol\":\"' || protocol || '\"}' AS value FROM p", lambda s, d: egress.payload(pos(s, d), "device_id", ["id", "protocol"]))
 by("url_forward", "SELECT id, 'http://x/?id=' || device_id || '&a=' || coalesce(replace(alarm, ',', '%2C'), '') || '&s=' || CASE WHEN alarm IS NOT NULL THEN '0xF841' WHEN speed < 1 THEN '0xF020' ELSE '0xF11C' END AS url FROM p", lambda s, d: egress.templated(pos(s, d), "http://x/?id={device_id}&a={alarm}&s={statusCode}", ["device_id", "alarm"]))
 by("gprmc", None, lambda s, d: egress.gprmc(pos(s, d)))
+
+# Joins, guards and counts beside the pipeline
+def _open_hours(s):
+    """Calendar 0 is open in the second and third hour, calendar 1 in the fourth; other devices have none."""
+    return s.createDataFrame([(0, START_MS + HOUR, START_MS + 3 * HOUR), (1, START_MS + 3 * HOUR, START_MS + 4 * HOUR)], "calendar_id long, start_ms long, end_ms long")
+
+
+_calendar = lambda: F.when(F.col("device_id") % 3 < 2, F.col("device_id") % 3)
+_links = lambda s: s.createDataFrame([(u, g) for u in range(3) for g in range(1, 7) if (u + g) % 2], "user_id long, geofence_id long")
+_drivers = lambda s: s.createDataFrame([(f"D{i}", f"Driver {i}") for i in range(5)], "driver_unique_id string, driver_name string")
+_keys = ["alarm", "fuel", "ignition", "driver_unique_id", "motion"]
+
+by("filter_calendar", f"SELECT id FROM p WHERE device_id % 3 = 2 OR (device_id % 3 = 0 AND fix_ms >= {START_MS + HOUR} AND fix_ms < {START_MS + 3 * HOUR}) OR (device_id % 3 = 1 AND fix_ms >= {START_MS + 3 * HOUR} AND fix_ms < {START_MS + 4 * HOUR})",
+   lambda s, d: relations.in_calendar(pos(s, d).withColumn("calendar_id", _calendar()), _open_hours(s)).select("id"))
+by("filter_skip_attributes", "SELECT id FROM p WHERE NOT (speed = 0 AND alarm IS NULL)", lambda s, d: pos(s, d).where(~(pipeline.filters(NOW)["static"] & F.col("alarm").isNull())).select("id"))
+by("event_visibility", "SELECT device_id % 3 AS user_id, device_id, position_id, event_ms, type, geofence_id FROM ge WHERE (device_id % 3 + geofence_id) % 2 = 1", lambda s, d: relations.visible_events(geo_events(s, d).withColumn("user_id", F.col("device_id") % 3), _links(s)).select("user_id", "device_id", "position_id", "event_ms", "type", "geofence_id"), TAGS, SETS, GEO_EVENTS)
+by("event_with_position", "SELECT ge.position_id, ge.type, ge.geofence_id, p.latitude, p.longitude FROM ge LEFT JOIN p ON p.id = ge.position_id", lambda s, d: geo_events(s, d).join(pos(s, d).select(F.col("id").alias("position_id"), "latitude", "longitude"), "position_id", "left").select("position_id", "type", "geofence_id", "latitude", "longitude"), TAGS, SETS, GEO_EVENTS)
+by("driver_name", "SELECT id, CASE WHEN CAST(substr(driver_unique_id, 2) AS INT) < 5 THEN 'Driver ' || substr(driver_unique_id, 2) END AS driver_name FROM p", lambda s, d: relations.named_drivers(pos(s, d), _drivers(s)).select("id", "driver_name"))
+by("latest_on_arrival", "SELECT id, coalesce(fix_ms >= max(fix_ms) OVER (PARTITION BY device_id ORDER BY server_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_latest FROM p", lambda s, d: relations.latest_on_arrival(pos(s, d)).select("id", "is_latest"))
+by("trailing_history", "SELECT id, least(1 + count(*) OVER (PARTITION BY device_id ORDER BY fix_ms RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW), count(*) OVER (PARTITION BY device_id ORDER BY fix_ms RANGE UNBOUNDED PRECEDING)) AS held FROM p", lambda s, d: relations.trailing(pos(s, d), 600_000).select("id", "held"))
+by("messages_per_day", "SELECT device_id, server_ms // 86400000 AS day, count(*) AS messages FROM p GROUP BY ALL", lambda s, d: relations.messages_per_day(pos(s, d)))
+by("attribute_keys", " UNION ALL ".join(f"SELECT '{k}' AS key, count({k}) AS rows FROM p HAVING count({k}) > 0" for k in _keys), lambda s, d: relations.attribute_keys(pos(s, d), _keys))
+by("devices_by_group", "SELECT group_id, count(*) AS devices, min(id) AS first_id, max(id) AS last_id FROM dev GROUP BY 1", lambda s, d: relations.devices_by_group(adapter.devices(s, d)))
+by("alarm_difference", f"SELECT id, array_to_string(list_filter(coalesce(string_split(alarm, ','), []), lambda x: NOT list_contains(coalesce(string_split(b, ','), []), x)), ',') AS new_alarms FROM (SELECT *, lag(alarm) OVER {W} AS b FROM p)", lambda s, d: relations.step_on(pos(s, d)).select("id", "new_alarms"))
