@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
     "op10_url_filter": url_filter.op10,
+    "op10_url_filter_backoff": url_filter.op10_backoff,
 }
 SQL = {
     "op2_topk": topk.OP2_SQL,

@@ -3,7 +3,8 @@
 Per host, paths are split into segments and generalised level by level: a segment that looks like a number or a
 code becomes `*`, and so do the children of a node that has many rare ones. Labelled branches of a node whose share of bad
 labels doesn't differ from the node's by more than chance are merged. A template is rejected where the smoothed share of
-bad labels in its merged branch is high.
+bad labels in its merged branch is high. Shares are smoothed towards the parent's, and the host's towards PRIOR, so that a
+branch with few or no labels is judged by what is known above it.
 """
 
 from __future__ import annotations
@@ -51,12 +52,13 @@ def segments() -> Column:
     return F.array_join(F.transform(split, lambda s: F.when(stem(s).rlike(VARIABLE), "*").otherwise(s)), "/")
 
 
-def verdicts(urls: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:
+def verdicts(urls: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None, backoff: bool = True) -> DataFrame:
     """urls with host, path, rule, template and verdict.
 
     labels: (host, path, bad 0/1) rows; without it, the rows that a rule decides are the labels. A URL without a rule
-    takes its template's verdict: block where the smoothed share of bad labels is REJECT or more. A template without labels is
-    allowed. Null and malformed URLs have an empty host and path and are allowed. Rows that repeat count as often. Columns of
+    takes its template's verdict: block where the smoothed share of bad labels is REJECT or more. A branch's share is smoothed
+    towards its parent's, so a template without labels takes the share above it; a host without labels is allowed. Without
+    backoff every branch is smoothed towards PRIOR, and a template without labels is allowed. Null and malformed URLs have an empty host and path and are allowed. Rows that repeat count as often. Columns of
     urls named host, path, rule, template or verdict are replaced. An empty table gives an empty one.
     """
     rule, verdict = ruled(rules)
@@ -65,17 +67,17 @@ def verdicts(urls: DataFrame, url: str = "url", rules: list[tuple[str, str, str]
         seen = df.select("host", "x_key", F.when(F.col("x_verdict") == "block", 1).when(F.col("x_verdict") == "allow", 0).alias("bad"))
     else:
         seen = df.select("host", "x_key", F.lit(None).cast("int").alias("bad")).union(labels.select(F.translate("host", *LOWER), segments(), F.col("bad").cast("int")))
-    judged = df.join(tree(seen), ["host", "x_key"], "left")
+    judged = df.join(tree(seen, backoff), ["host", "x_key"], "left")
     return judged.withColumn("verdict", F.coalesce("x_verdict", F.when(F.col("x_share") >= REJECT, "block"), F.lit("allow"))).drop("x_verdict", "x_key", "x_share")
 
 
-def tree(seen: DataFrame) -> DataFrame:
+def tree(seen: DataFrame, backoff: bool = True) -> DataFrame:
     """(host, x_key, template, x_share) per distinct (host, x_key) of seen (host, x_key, bad 0/1/null)."""
     at = written(seen.groupBy("host", "x_key").agg(F.count("*").alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")), "templates")
     depth = at.agg(F.coalesce(F.max(F.size(F.split("x_key", "/"))), F.lit(0))).first()[0]
-    share = lambda b, m: (F.col(b) + STRENGTH * PRIOR) / (F.col(m) + STRENGTH)
+    share = lambda b, m, prior: (F.col(b) + STRENGTH * prior) / (F.col(m) + STRENGTH)
     root = at.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("b").alias("hb"))
-    at = at.join(root, "host").select("host", "x_key", "n", "m", "b", F.lit("").alias("template"), share("hb", "hm").alias("x_share"))
+    at = at.join(root, "host").select("host", "x_key", "n", "m", "b", F.lit("").alias("template"), share("hb", "hm", F.lit(PRIOR)).alias("x_share"))
     for level in range(depth):
         at = at.withColumn("s", F.coalesce(F.try_element_at(F.split("x_key", "/"), F.lit(level + 1)), F.lit("")))
         kids = at.groupBy("host", "template", "s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"))
@@ -90,11 +92,16 @@ def tree(seen: DataFrame) -> DataFrame:
         step = kids.select("host", "template", "s", "g").join(branch.select("host", "template", "g", "jm", "jb"), ["host", "template", "g"])
         at = at.join(step, ["host", "template", "s"])
         deeper = F.col("s") != ""
-        at = written(at.select("host", "x_key", "n", "m", "b", F.when(deeper, F.concat("template", F.lit("/"), "g")).otherwise(F.col("template")).alias("template"), F.when(deeper, share("jb", "jm")).otherwise(F.col("x_share")).alias("x_share")), "templates")
+        at = written(at.select("host", "x_key", "n", "m", "b", F.when(deeper, F.concat("template", F.lit("/"), "g")).otherwise(F.col("template")).alias("template"), F.when(deeper, share("jb", "jm", F.col("x_share") if backoff else F.lit(PRIOR))).otherwise(F.col("x_share")).alias("x_share")), "templates")
     return at.select("host", "x_key", "template", "x_share")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By its SQL, which smooths every branch towards PRIOR: without backoff."""
+    return verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), backoff=False).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
 
 

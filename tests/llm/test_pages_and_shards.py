@@ -38,6 +38,17 @@ def test_url_rules_and_tree(frame):
     assert url_filter.verdicts(frame([], "page_id long, url string")).count() == 0
 
 
+def test_url_tree_backs_off(frame):
+    """A branch without labels takes its nearest labelled ancestor's share."""
+    labels = frame(
+        [("bad.io", f"/en/{i}", 1) for i in range(40)] + [("good.io", f"/en/{i}", 0) for i in range(40)] + [("mix.io", f"/a/x/{i}", 1) for i in range(40)] + [("mix.io", f"/b/{i}", 0) for i in range(200)],
+        "host string, path string, bad int",
+    )
+    urls = ["http://bad.io/de/1910", "http://bad.io/", "http://good.io/de/1", "http://mix.io/a/new/3", "http://mix.io/b/new", "http://mix.io/c", "http://unseen.io/en/1"]
+    got = url_filter.verdicts(frame(list(enumerate(urls)), "page_id long, url string"), labels=labels).collect()
+    assert [r.verdict for r in sorted(got)] == ["block", "block", "allow", "block", "allow", "allow", "allow"]
+
+
 def test_shards(frame):
     docs = frame([(i, "t" * (i % 50), 1) for i in range(3000)] + [(7, "t" * 7, 1), (None, None, 1), (None, "é", 1)], "doc_id long, text string, shard int")
     rows = sharding.assign(docs, [1.0] * 16, [1.0] * 17).collect()
