@@ -1,13 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A window of w characters within e edits of a piece of text shares at
+A benchmark item's windows start at each of its characters. A window of w characters within e edits of a piece of text shares at
 least w - q + 1 - q * e of its q-grams with it, at text-minus-window offsets (diagonals) that differ by e at most. So shared
-q-grams are counted in overlapping bands of diagonals, regions that meet the lemma's bound are kept, and a banded
-alignment verifies them.
+q-grams are counted in overlapping bands of diagonals, sums of them slide along the item, windows that meet the lemma's
+bound are kept, and a banded alignment verifies them. Besides, a run of 13 words of an item counts, as a passage of so many
+words may be shorter than a window.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,9 @@ from .common import small_batches, table
 Q = 10
 WINDOW = 100
 EDITS = 0.08  # of a window's characters
+RUN = 13  # words that are enough without edits, however short
+ROWS = 4096  # windows that are aligned together
+STRIDE = 32  # characters for which one window is aligned first
 #: Benchmark text is broadcast in parts of at most so many characters; each part is one pass over the documents.
 PART = 4_000_000
 
@@ -49,109 +55,237 @@ def _grams(a: np.ndarray, q: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Chars:
+    """The characters of each window, made when asked for."""
+
+    def __init__(self, index: Index):
+        self.index = index
+
+    def __len__(self) -> int:
+        return int(self.index.starts.sum())
+
+    def __getitem__(self, w: int) -> np.ndarray:
+        if not 0 <= w < len(self):
+            raise IndexError(w)
+        k = int(np.searchsorted(self.index.before, w, side="right")) - 1
+        s = w - int(self.index.before[k])
+        return self.index.texts[k][s : s + int(self.index.size[k])]
+
+
 class Index:
-    """The windows of some items and their q-grams. Items of under q characters have none, and match nothing."""
+    """The q-grams of some items, whose windows start at every character, and their runs of words.
+
+    Items of under q characters have no windows, and match by no window.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS):
-        self.q, self.items, chars, item, begin, size, grams, owner, place = q, [i for i, _ in items], [], [], [], [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS, run: int = RUN):
+        self.q, self.run, self.items, self.texts, owner, size, grams, place = q, run, [i for i, _ in items], [], [], [], [], []
+        self.words: dict[str, int] = {}
+        runs, run_of = [], []
         for k, (_, text) in enumerate(items):
+            a = np.array([self.words.setdefault(x, len(self.words)) for x in (text or "").lower().split()], np.int64)
+            if len(a) >= run:
+                runs.append(_grams(a.astype(np.uint64), run))
+                run_of.append(np.full(len(a) - run + 1, k))
             a = lowered(text or "")
             a = a[np.flatnonzero(a != 32)[0] : np.flatnonzero(a != 32)[-1] + 1] if (a != 32).any() else a[:0]
-            if len(a) < q:
-                continue
             w = min(window, len(a))
-            for s in sorted({*range(0, len(a) - w + 1, max(1, w // 2)), len(a) - w}):
-                grams.append(_grams(a[s : s + w], q))
-                owner.append(np.full(w - q + 1, len(item)))
-                place.append(np.arange(w - q + 1))
-                chars.append(a[s : s + w])
-                item.append(k)
-                begin.append(s)
-                size.append(w)
-        self.item, self.begin, self.size = (np.array(x, np.int64) for x in (item, begin, size))
-        self.edits = np.minimum((self.size * edits).astype(np.int64), (self.size - q) // q)
-        self.least = self.size - q + 1 - q * self.edits
-        self.band = int(self.edits.max(initial=0)) + 1
-        self.chars = chars
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.gram = g[order]
-        self.owner, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (owner, place))
+            self.texts.append(a)
+            size.append(w)
+            if len(a) >= q:
+                grams.append(_grams(a, q))
+                owner.append(np.full(len(a) - q + 1, k))
+                place.append(np.arange(len(a) - q + 1))
+        self.size = np.array(size, np.int64)
+        long = self.size >= q
+        self.starts = np.where(long, np.array([len(a) for a in self.texts], np.int64) - self.size + 1, 0)  # windows of each item
+        self.before = np.cumsum(self.starts) - self.starts
+        self.allowed = np.where(long, np.minimum((self.size * edits).astype(np.int64), (self.size - q) // q), 0)
+        self.least = np.where(long, self.size - q + 1 - q * self.allowed, 1)
+        self.band = int(self.allowed.max(initial=0)) + 1
+        self.gram, (self.owner, self.place) = _sorted(grams, owner, place)
         self.keys, self.first, self.count = np.unique(self.gram, return_index=True, return_counts=True)
         self.bits = np.zeros(1 << 23, bool)  # a first test of text q-grams
         self.bits[self.keys >> np.uint64(41)] = True
+        self.run_key, (self.run_of,) = _sorted(runs, run_of)
+
+    @property
+    def chars(self) -> Chars:
+        return Chars(self)
+
+    @property
+    def item(self) -> np.ndarray:
+        """The item of each window."""
+        return np.repeat(np.arange(len(self.items)), self.starts)
 
-    def regions(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, smallest diagonal of a band) of regions of text a that share enough q-grams with the window."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    @property
+    def edits(self) -> np.ndarray:
+        """The edits that each window may have."""
+        return np.repeat(self.allowed, self.starts)
+
+    def regions(self, a: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(item, smallest diagonal of a band, places, diagonals) of bands of text a that share enough q-grams with some of the item."""
         if len(a) < self.q or not len(self.keys):
-            return none
+            return
         h = _grams(a, self.q)
         pos = np.flatnonzero(self.bits[h >> np.uint64(41)])
         at = np.searchsorted(self.keys, h[pos]).clip(max=len(self.keys) - 1)
         hit = self.keys[at] == h[pos]
         pos, at = pos[hit], at[hit]
         if len(pos) < self.least.min():
-            return none
+            return
         n = self.count[at]
         text_pos = np.repeat(pos, n)
         which = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window, diagonal = self.owner[which], text_pos - self.place[which]
+        item, place = self.owner[which], self.place[which]
+        diagonal = text_pos - place
         # Bands [b * band, b * band + 2 * band): any diagonals that differ by less than band lie in one of them.
         low = diagonal // self.band
-        window, low = np.concatenate([window, window]), np.concatenate([low, low - 1])
-        key = window * (1 << 40) + (low + (1 << 20))
-        key, count = np.unique(key, return_counts=True)
-        window, low = key >> 40, (key & (1 << 40) - 1) - (1 << 20)
-        enough = count >= self.least[window]
-        return window[enough], low[enough] * self.band
-
-    def aligned(self, a: np.ndarray, window: np.ndarray, low: np.ndarray) -> np.ndarray:
+        key = np.concatenate([item * (1 << 40) + (low + (1 << 30)), item * (1 << 40) + (low - 1 + (1 << 30))])
+        keys, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        enough = count >= self.least[keys >> 40]
+        mine = np.flatnonzero(enough[inverse])
+        mine = mine[np.argsort(inverse[mine], kind="stable")]
+        for some in np.split(mine, np.cumsum(count[enough])[:-1]) if len(mine) else ():
+            k = key[some[0]]
+            some = some % len(item)
+            yield int(k >> 40), (int(k & (1 << 40) - 1) - (1 << 30)) * self.band, place[some], diagonal[some]
+
+    def windows(self, item: int, place: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, diagonals) of the item's windows that are letter by letter in a band, and starts of others that meet the lemma's bound.
+
+        Those of the first kind have all of their q-grams on one diagonal.
+        """
+        starts, all_of = int(self.starts[item]), int(self.size[item]) - self.q + 1
+
+        def slid(p: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(np.bincount(p, minlength=starts + all_of - 1))])
+            return sums[all_of:] - sums[:starts]
+
+        enough = slid(place) >= self.least[item]
+        found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if enough.any():
+            ds, n = np.unique(diagonal, return_counts=True)
+            for d in ds[n >= all_of]:
+                same = np.flatnonzero((slid(place[diagonal == d]) == all_of) & enough)
+                enough[same] = False
+                found.append(same)
+                at.append(np.full(len(same), d))
+        return np.concatenate(found), np.concatenate(at), np.flatnonzero(enough)
+
+    def verified(self, a: np.ndarray, item: np.ndarray, start: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, fewest edits) of the windows, ordered by item, band and start, that lie in their bands within the edits allowed.
+
+        A window t characters on has at most t edits fewer. So a few windows are aligned first, and spare most of the others.
+        """
+        edits = np.full(len(item), -1, np.int64)
+        group = np.cumsum(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(low) != 0) | (np.diff(start) > STRIDE)])) - 1
+        head = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+        # The middle of each block of STRIDE characters.
+        block = (start - start[head[group]]) // STRIDE
+        ahead = np.flatnonzero(np.concatenate([[True], (np.diff(group) != 0) | (np.diff(block) != 0)]))
+        until = np.append(ahead[1:], len(item))
+        middle = ahead + (until - ahead) // 2
+        edits[middle] = self.aligned(a, item[middle], start[middle], low[middle])
+        of = np.repeat(middle, until - ahead)
+        # That isn't sure where the band reaches past the text.
+        first = start + low - self.band // 2
+        inside = (first >= 0) & (first + 3 * self.band + 1 + self.size[item] <= len(a))
+        left = np.flatnonzero((edits < 0) & ((edits[of] - np.abs(start - start[of]) <= self.allowed[item]) | ~inside[of]))
+        for i in range(0, len(left), ROWS):
+            some = left[i : i + ROWS]
+            edits[some] = self.aligned(a, item[some], start[some], low[some])
+        good = np.flatnonzero((edits >= 0) & (edits <= self.allowed[item]))
+        return good, edits[good]
+
+    def aligned(self, a: np.ndarray, item: np.ndarray, start: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Fewest edits between each window and some piece of text in its region, along the band's diagonals.
 
-        All regions advance together, a window character at a time. Cell d stands for the text after diagonal low + d.
+        All windows advance together, a character at a time. Cell d stands for the text after diagonal low + d, and holds its cost less d.
         """
-        width, big = 3 * self.band + 1, np.int32(1 << 20)
-        longest = int(self.size[window].max())
-        pattern = np.full((len(window), longest), 0xFFFFFFFF, np.uint32)
-        for r, w in enumerate(window):
-            pattern[r, : self.size[w]] = self.chars[w]
-        padded = np.concatenate([np.full(1, 0xFFFFFFFE, np.uint32), a])
-        shift = low[:, None] - self.band // 2 + np.arange(width)[None, :]
-        cost = np.where((shift >= 0) & (shift <= len(a)), 0, big).astype(np.int32)
-        best = np.zeros(len(window), np.int64)
+        width, big, size = 3 * self.band + 1, np.int32(1 << 20), self.size[item]
+        longest = int(size.max())
+        pattern = np.full((len(item), longest), 0xFFFFFFFF, np.uint32)
+        for r, (k, s, w) in enumerate(zip(item.tolist(), start.tolist(), size.tolist(), strict=True)):
+            pattern[r, :w] = self.texts[k][s : s + w]
+        shift = (start + low - self.band // 2)[:, None] + np.arange(width + longest)[None, :]
+        text = np.concatenate([np.full(1, 0xFFFFFFFE, np.uint32), a, np.full(1, 0xFFFFFFFE, np.uint32)])[shift.clip(-1, len(a)) + 1]
+        outside = (shift < 0) | (shift >= len(a))
+        far = np.where(outside, big, 0).astype(np.int32) if outside.any() else None
         steps = np.arange(width, dtype=np.int32)
+        cost = np.where((shift[:, :width] >= 0) & (shift[:, :width] <= len(a)), 0, big).astype(np.int32) - steps
+        best, ends = np.zeros(len(item), np.int64), set(size.tolist())
         for i in range(longest):
-            text = shift + i
-            inside = (text >= 0) & (text < len(a))
-            differs = padded[np.where(inside, text + 1, 0)] != pattern[:, i : i + 1]
-            new = np.where(inside, cost + differs, big)  # this character meets a text character
-            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # or none
-            cost = np.minimum.accumulate(new - steps, axis=1) + steps  # or text characters are left out
-            done = self.size[window] == i + 1
-            best[done] = cost[done].min(axis=1)
+            new = cost + (text[:, i : i + width] != pattern[:, i : i + 1])  # this character meets a text character
+            if far is not None:
+                np.maximum(new, far[:, i : i + width] - steps, out=new)
+            np.minimum(new[:, :-1], cost[:, 1:] + 2, out=new[:, :-1])  # or none
+            cost = np.minimum.accumulate(new, axis=1)  # or text characters are left out
+            if i + 1 in ends:
+                best[size == i + 1] = (cost + steps).min(axis=1)[size == i + 1]
         return best
 
+    def word_runs(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of runs of words that the text has in common with an item, letter by letter but for case."""
+        if not len(self.run_key):
+            return
+        ids = np.fromiter(map(self.words.get, text.lower().split(), itertools.repeat(-1)), np.int64)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        if len(ids) < self.run or not (at := np.flatnonzero(known[self.run :] - known[: -self.run] == self.run)).size:
+            return
+        h = _grams(ids.astype(np.uint64), self.run)[at]
+        first, last = np.searchsorted(self.run_key, h), np.searchsorted(self.run_key, h, side="right")
+        if not (last > first).any():
+            return
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        for p, x, y in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+            for k in set(self.run_of[x:y].tolist()):
+                yield k, spans[p][0], spans[p + self.run - 1][1]
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, windows found, fewest edits, start, end) per item that text holds a window of; code points of the text."""
+        """(item, windows found, fewest edits, start, end) per item that text holds a window or a run of words of; code points of the text."""
         a = lowered(text or "")
-        window, low = self.regions(a)
-        if not len(window):
-            return []
-        edits = self.aligned(a, window, low)
-        good = edits <= self.edits[window]
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
-        for w, at, e in zip(window[good].tolist(), low[good].tolist(), edits[good].tolist(), strict=True):
-            found.setdefault(int(self.item[w]), []).append((w, e, max(0, at), min(len(a), at + 2 * self.band + int(self.size[w]))))
-        return [(self.items[k], len({x[0] for x in v}), min(x[1] for x in v), min(x[2] for x in v), max(x[3] for x in v)) for k, v in found.items()]
+        found: dict[int, list] = {}  # item -> starts of windows found, fewest edits, start, end
+
+        def add(k: int, starts: list[int], edits: int, begin: int, end: int) -> None:
+            x = found.setdefault(k, [set(), edits, begin, end])
+            x[0].update(starts)
+            x[1:] = min(x[1], edits), min(x[2], begin), max(x[3], end)
+
+        near = []
+        for k, low, place, diagonal in self.regions(a):
+            same, at, left = self.windows(k, place, diagonal)
+            if len(same):
+                add(k, same.tolist(), 0, int((at + same).min()), int((at + same).max() + self.size[k]))
+            if len(left):
+                near.append((np.full(len(left), k), left, np.full(len(left), low)))
+        if near:
+            item, start, low = (np.concatenate(x) for x in zip(*near, strict=True))
+            for r, e in zip(*(x.tolist() for x in self.verified(a, item, start, low)), strict=True):
+                k, at = int(item[r]), int(low[r] + start[r])
+                add(k, [int(start[r])], e, max(0, at), min(len(a), at + 2 * self.band + int(self.size[k])))
+        for k, begin, end in self.word_runs(text or ""):
+            add(k, [], 0, begin, end)
+        return [(self.items[k], len(x[0]), *x[1:]) for k, x in found.items()]
+
+
+def _sorted(keys: list[np.ndarray], *others: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys in order, and what goes with them."""
+    if not keys:
+        return np.zeros(0, np.uint64), [np.zeros(0, np.int64) for _ in others]
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return key[order], [np.concatenate(x)[order] for x in others]
 
 
 HITS = "doc_id long, item_id long, n_windows int, edits int, region_start int, region_end int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """HITS: a row per document and benchmark item of which it holds a window (100 characters, or all of a shorter item)
-    within 8 percent edits. Case and kinds of white space don't count. The region is where the windows lie, to within a band.
+    """HITS: a row per document and benchmark item of which it holds a window (any 100 characters, or all of a shorter item)
+    within 8 percent edits, or a run of 13 words. Case and kinds of white space don't count, nor does the amount of it
+    between words of a run. n_windows counts the windows by their starts in the item; 0 if there is only a run of words. The
+    region is where they lie, to within a band.
 
     Null and empty texts, and items of under 10 characters, match nothing. An empty table gives an empty result. Documents
     or items that repeat give rows each. The benchmark is read in parts of at most PART characters (an item longer than

@@ -69,3 +69,26 @@ def test_decontamination_is_brute_force(frame):
     assert got == want and len(want) > 8
     none = frame([], "item_id long, text string")
     assert decontaminate.contaminated(frame(docs), none).count() == decontaminate.contaminated(frame([]), frame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_excerpts_at_all_offsets():
+    """Excerpts as long as a window, copied or with a few edits, and runs of words, wherever they are cut."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    item = " ".join(word() for _ in range(50))
+    index = decontaminate.Index([(7, item), (8, " ".join(word() for _ in range(50)))])
+    around = lambda s: " ".join(word() for _ in range(9)) + "\n" + s + "\t" + " ".join(word() for _ in range(9))
+    for s in range(len(item) - 99):
+        cut = item[s : s + 100]
+        for text in (cut, around(cut)):
+            assert [h[0] for h in index.search(text)] == [7], s
+        for k in range(8, 92, 14):  # six letters are replaced
+            cut = cut[:k] + "#" + cut[k + 1 :]
+        for text in (cut, around(cut)):
+            assert [h[0] for h in index.search(text)] == [7], s
+    words = item.split()
+    for s in range(len(words) - 12):
+        text = around("  ".join(words[s : s + 13]).upper())
+        (hit,) = index.search(text)
+        assert hit[0] == 7 and text[hit[3] : hit[4]].lower().split() == words[s : s + 13] or hit[1] > 0
+        assert not index.search(around(" ".join(words[s : s + 6])))
