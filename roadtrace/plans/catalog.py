@@ -260,7 +260,17 @@ by("rep_statistics_daily", "SELECT day, CAST(sum(n) AS BIGINT) AS messages, coun
 
 @query("rep_notification_routing", "SELECT perm.user_id, n.nid AS notification_id, a.position_id, unnest(string_split(n.via, ',')) AS notificator FROM (SELECT device_id, id AS position_id, unnest(string_split(alarm, ',')) AS alarm_type FROM p WHERE alarm IS NOT NULL AND device_id < 10) a JOIN (VALUES (1, 'sos', 'web,mail'), (2, 'fault,tow', 'sms')) n(nid, al, via) ON list_contains(string_split(n.al, ','), a.alarm_type) JOIN perm ON perm.device_id = a.device_id", ANCESTORS)
 def _(s, d):
-    e = ev.alarms(pos(s, d).where("device_id < 10")).withColumn("type", F.lit("alarm"))
+    return _routed(s, d, pos(s, d).where("device_id < 10"))
+
+
+@query("rep_notification_routing_all")
+def _(s, d):
+    """The alarms of all devices."""
+    return _routed(s, d, pos(s, d))
+
+
+def _routed(s, d, positions):
+    e = ev.alarms(positions).withColumn("type", F.lit("alarm"))
     rules = s.createDataFrame([(1, "alarm", "sos", "web,mail"), (2, "alarm", "fault,tow", "sms")], "notification_id int, type string, alarms string, notificators string")
     return reports.notifications(e, rules, perms(s, d))
 
