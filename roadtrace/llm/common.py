@@ -53,9 +53,9 @@ def small_batches(spark: SparkSession) -> None:
 MOST_IDS = 1_000_000
 
 
-def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs joined left_semi or left_anti with a written table of ids (doc_id); few are broadcast, so docs aren't shuffled."""
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", how)
+def picked(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs joined left_semi or left_anti with a written table of ids (key); few are broadcast, so docs aren't shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
 
 
 def matches(df: DataFrame, text: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -129,22 +129,33 @@ def _stars(root: dict[int, int], find) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": [find(x) for x in u]}, dtype="int64")
 
 
+#: Links that one task contracts at once.
+PACK = 200_000
+
+
+def _stars_of(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The links of a written table contracted within packs of PACK, and whether one pack held all of them."""
+    packs = max(1, -(-edges.count() // PACK))
+    found = edges.coalesce(packs).mapInPandas(_contracted, "u long, v long")
+    return written(found if packs == 1 else found.distinct(), "links"), packs == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node with an edge. Edges are undirected.
+    """(node, component): the smallest node reachable, for every node with an edge. Edges are undirected, in a written table.
 
-    Links are contracted within partitions, then large-star and small-star steps alternate (Kiveris et al., 2014), which
-    settle in about log(n) rounds; each round's links are written to the shared folder.
+    Links are contracted within packs, then large-star and small-star steps alternate (Kiveris et al., 2014), which
+    settle in about log(n) rounds; each round's links are written to the shared folder. What fits in a pack takes none.
     """
-    links = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInPandas(_contracted, "u long, v long"), "links")
+    links, done = _stars_of(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
     for _ in range(rounds):
         # A forest of stars: no node has two smaller neighbours, or both a smaller and a larger one.
         ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+        if done or ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         sym = links.union(links.select("v", "u"))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = written(small.distinct().mapInPandas(_contracted, "u long, v long").distinct(), "links")
+        links, done = _stars_of(written(small.distinct(), "stars"))
     raise RuntimeError("components did not settle")

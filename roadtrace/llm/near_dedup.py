@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, picked, small_batches, table, written
+from .common import MOST_IDS, components, picked, small_batches, table, written
 
 K = 48
 #: Of a union's 48 smallest values a pair at 0.8 shares 38; under 20 has a chance below 1e-8.
@@ -61,13 +60,17 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(g + np.uint64(n)).view(np.int64))
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _features(width: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t in b["text"]:
                 s = shingles(t, width)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:k]))
+                rows.append((len(s), _digest(s), s[:k]))
             out = pd.DataFrame(rows, columns=["n", "set", "sketch"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
@@ -78,17 +81,16 @@ def _features(width: int, k: int):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "all": [shingles(t, width) for t in b["text"]]})
+            rows = []
+            for i, want, t in zip(b["doc_id"], b["set"], b["text"]):
+                s = shingles(t, width)
+                if _digest(s) == want:
+                    rows.append((i, want, s))
+            yield pd.DataFrame(rows, columns=["rep", "set", "all"])
 
     return run
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, all): the full sets of the texts that pairs (a, b) name, as a written table."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    return written(picked(docs, ids, "left_semi").mapInPandas(_sets(width), "doc_id long, all array<long>").dropDuplicates(["doc_id"]), "sets")
-
-
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) whose union sketch doesn't rule out the similarity."""
     s = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).join(pairs, "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -98,8 +100,9 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), a written table, whose full sets are similar enough. Only the sets that pairs name are shuffled."""
-    side = lambda c: picked(sets, written(pairs.select(F.col(c).alias("doc_id")).distinct(), "side"), "left_semi").select(F.col("doc_id").alias(c), F.col("all").alias("s" + c))
-    s = side("a").join(pairs, "a").join(side("b"), "b")
+    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+    named = picked(sets, ids, "left_semi", "rep")
+    s = named.select(F.col("rep").alias("a"), F.col("all").alias("sa")).join(pairs, "a").join(named.select(F.col("rep").alias("b"), F.col("all").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return s.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -111,7 +114,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     ones first. p is a value's place in its set.
     """
     each = members.select("rep", "label", F.size("all").alias("n"), F.explode("all").alias("v"))
-    common = each.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v", "c")
+    common = written(each.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v", "c"), "common")
     ordered = each.join(common, "v").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("o"))
     # A partner that has enough in common shares one of the first n - ceil(percent * n) + 1 values.
     own = F.col("n") - F.size("o")
@@ -120,7 +123,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     firsts = written(firsts.select("rep", "label", "n", F.col("z.v").alias("v"), (F.col("own") + F.col("i")).alias("p")), "prefixes")
     # The label with most entries of a value meets only the others.
     main = firsts.groupBy("v", "label").count().groupBy("v").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rest = firsts.join(main.select("v", "main"), "v").where("label <> main").select("v", *[F.col(c).alias(f"{c}2") for c in ("rep", "label", "n", "p")])
+    rest = firsts.join(written(main.select("v", "main"), "main"), "v").where("label <> main").select("v", *[F.col(c).alias(f"{c}2") for c in ("rep", "label", "n", "p")])
     # The first value that two sets have in common leaves at most the values from it on to share.
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent) - 1e-9)
     met = firsts.join(rest, "v").where((F.col("label") != F.col("label2")) & (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) >= need))
@@ -141,7 +144,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = written(docs.mapInPandas(_features(width, k), "doc_id long, n long, set binary, sketch array<long>"), "sketches")
     classes = written(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "classes")
+    label = _labels(docs, classes, width, percent, k)
+
+    named = classes.select("set", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("c"))
+    out = rows.select("doc_id", "n", "set").join(named, "set", "left")
+    component = F.coalesce("c", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
 
+def _labels(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """(node, component) of the classes that have a link."""
     three = F.transform(F.sequence(F.lit(1), F.size("sketch") - 2), lambda i: F.xxhash64(F.col("sketch")[i - 1], F.col("sketch")[i], F.col("sketch")[i + 1]))
     two = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.lit(2), F.col("sketch")[i - 1], F.col("sketch")[i]))
     none = F.array().cast("array<long>")
@@ -149,34 +161,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     keys = classes.select("rep", F.explode(F.array_distinct(runs)).alias("key"))
     lists = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = written(keys.join(lists, "key"), "lists")
-    listed = written(lists.select(F.col("rep").alias("doc_id")).distinct(), "listed")
-    sketches = written(picked(classes.select(F.col("rep").alias("doc_id"), "sketch"), listed, "left_semi").withColumnRenamed("doc_id", "rep"), "sketches")
-    weight = lists.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weight = written(lists.groupBy("rep").agg(F.sum("size").alias("weight")), "listed")
+    # What the listed classes hold: sketches and full sets, once for all steps below.
+    listed = written(picked(classes, weight.select("rep"), "left_semi", "rep").select("rep", "set", "sketch"), "listed")
+    few, text = listed.select("rep", "set"), docs.where("doc_id is not null")
+    met = text.join(F.broadcast(few) if few.count() <= MOST_IDS else few, F.col("doc_id") == F.col("rep")).select("doc_id", "set", "text")
+    sets = written(met.mapInPandas(_sets(width), "rep long, set binary, all array<long>").dropDuplicates(["rep", "set"]).drop("set"), "sets")
+
     heads = lists.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("head"))
     pairs = lists.join(heads, "key").where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    pairs = written(_estimated(pairs, sketches, k), "pairs")
-    links = written(_confirmed(pairs, _sets_of(docs, pairs, width), percent), "links")
+    pairs = written(_estimated(pairs, listed, k), "pairs")
+    links = written(_confirmed(pairs, sets, percent), "links")
 
     label = components(links)
     labelled = lists.join(label, F.col("rep") == F.col("node"), "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     labelled = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    if labelled.isEmpty():
+        return label
     # Short lists pair their members; a row meets SHORT others at most.
     short = labelled.where(F.col("size") <= SHORT).drop("size")
     other = short.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"))
-    more = short.join(other, "key").where("rep < rep2 and label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = written(_estimated(more, sketches, k), "pairs")
+    more = short.join(other, "key").where("rep < rep2 and label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     # Members of long ones meet by their full sets.
     members = written(labelled.where(F.col("size") > SHORT).select("rep", "label").distinct(), "members")
-    long_ = _sets_of(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")), width)
-    across = written(_estimated(_across(members.join(long_.withColumnRenamed("doc_id", "rep"), "rep"), percent), sketches, k), "pairs")
-    more = written(more.union(across).distinct(), "pairs")
-    label = components(links.union(written(_confirmed(more, _sets_of(docs, more, width), percent), "links")))
-
-    named = classes.select("set", "rep").join(label, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", "n", "set").join(named, "set", "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    if not members.isEmpty():
+        more = more.union(_across(sets.join(members, "rep"), percent))
+    more = written(_estimated(more.distinct(), listed, k), "pairs")
+    if more.isEmpty():
+        return label
+    return components(written(links.union(_confirmed(more, sets, percent)), "links"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

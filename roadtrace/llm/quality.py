@@ -7,6 +7,7 @@ document's cosine with each of them is computed in blocks, and the nearest vote
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -70,32 +71,49 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, latent: int = 24, k: int = 25, prior: float = 2.0) -> Voters:
     """Learns from the labelled rows of docs whose crc32(doc_id) mod 5 is not 0.
 
-    The sample has at most per_label rows of each label, and only its term counts reach the driver. An id with several
-    labels takes the smallest; null ids, labels and texts are left out. Without labels every score is 0.5.
+    The sample has at most per_label rows of each label. One task, whose input that bounds, makes the model from the sample's
+    term counts; the driver gets the short vectors only. An id with several labels takes the smallest, one with several
+    texts the first in order; null ids, labels and texts are left out. Without labels every score is 0.5.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 0.5
-    pick = None
-    for y in sorted(counts):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        pick = some if pick is None else pick.union(some)
-    rows = []
-    if pick is not None:
-        counted = F.pandas_udf(_counted, "binary")
-        texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"])
-        rows = sorted(texts.select("doc_id", "y", counted("text").alias("f")).collect())
-    if not rows:
-        return Voters(*[np.zeros((0, 0))] * 4, np.zeros(0), rate, k, prior)
-    f = np.stack([np.frombuffer(r["f"], np.float16) for r in rows]).astype(np.float32)
-    weights = (np.log((len(f) + 1) / ((f > 0).sum(0) + 1)) + 1).astype(np.float32)
-    x = _unit(f * weights)
-    mean = x.mean(0)
-    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
-    model = Voters(weights, mean, np.ascontiguousarray(axes[:, ::-1][:, :latent]).astype(np.float32), np.zeros((0, 0)), np.array([r["y"] for r in rows], np.float32), rate, k, prior)
-    model.vectors = model.latent(f)
-    return model
+    none = Voters(*[np.zeros((0, 0))] * 4, np.zeros(0), rate, k, prior)
+    if not counts:
+        return none
+    pick = reduce(DataFrame.union, [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in sorted(counts)])
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = texts.select("doc_id", "y", F.pandas_udf(_counted, "binary")("text").alias("f"))
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        weights, mean, axes, vectors = _learnt([np.frombuffer(f, np.float16) for f in rows["f"]], latent)
+        return pd.DataFrame({"weights": [weights.tobytes()], "mean": [mean.tobytes()], "axes": [axes.tobytes()], "vectors": [vectors.tobytes()], "labels": [rows["y"].to_numpy("f4").tobytes()]})
+
+    made = sample.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weights binary, mean binary, axes binary, vectors binary, labels binary").collect()
+    if not made:
+        return none
+    weights, mean, axes, vectors, y = (np.frombuffer(x, np.float32) for x in made[0])
+    return Voters(weights, mean, axes.reshape(TERMS, -1), vectors.reshape(len(y), -1), y, rate, k, prior)
+
+
+def _learnt(counts: list[np.ndarray], latent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, mean, axes, vectors) of the sample. Sums are made block by block, so that its rows are held as counts only."""
+    blocks = [slice(lo, lo + 256) for lo in range(0, len(counts), 256)]
+    seen = sum(np.count_nonzero(np.stack(counts[b]), axis=0) for b in blocks)
+    weights = (np.log((len(counts) + 1) / (seen + 1)) + 1).astype(np.float32)
+    rows = lambda b: _unit(np.stack(counts[b]).astype(np.float32) * weights)
+    mean, gram = np.zeros(TERMS), np.zeros((TERMS, TERMS), np.float32)
+    for b in blocks:
+        x = rows(b)
+        mean += x.sum(0, dtype=np.float64)
+        gram += x.T @ x
+    mean = (mean / len(counts)).astype(np.float32)
+    gram -= np.outer(mean, mean) * np.float32(len(counts))
+    _, axes = np.linalg.eigh(gram)
+    axes = np.ascontiguousarray(axes[:, ::-1][:, :latent])
+    return weights, mean, axes, np.concatenate([_unit((rows(b) - mean) @ axes) for b in blocks])
 
 
 def _counted(texts: pd.Series) -> pd.Series:
@@ -106,8 +124,9 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, model: Voters, text: str = "text") -> DataFrame:
-    """docs with `score`, 0 to 1, and `predicted`, 1 from THRESHOLD on. Null, empty and blank texts take the rate of label 1.
+def score(docs: DataFrame, model: Voters, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with columns named by score, 0 to 1, and predicted, 1 from THRESHOLD on. Null, empty and blank texts take the rate of
+    label 1. Columns of docs that have those names are replaced; the other columns come out as they went in.
 
     The broadcast model holds 2 x PER_LABEL short vectors at most, whatever the size of docs.
     """
@@ -118,8 +137,8 @@ def score(docs: DataFrame, model: Voters, text: str = "text") -> DataFrame:
         for b in batches:
             yield pd.Series(shared.value.score(b.tolist()))
 
-    df = docs.withColumn("score", F.pandas_udf(scored, "double")(F.col(text)))
-    return df.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    df = docs.withColumn(score, F.pandas_udf(scored, "double")(F.col(text)))
+    return df.withColumn(predicted, F.when(F.col(score) >= THRESHOLD, 1).otherwise(0))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
