@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm import decontaminate, near_dedup, pii, quality, sentencepiece_bpe
-from roadtrace.llm.common import picked, table, written
+from roadtrace.llm.common import picked, table, unused, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. Empty ones take the rate of good labels and so are mostly kept."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").drop("score", "predicted")
+    """Documents that the classifier doesn't reject. Empty ones take the rate of good labels and so are mostly kept.
+
+    Columns of docs that are named score or predicted are no inputs and stay as they are.
+    """
+    model, x = quality.fit(docs, table(spark, sf_dir, "labels")), unused(docs)
+    return quality.score(docs, model, score=x + "score", predicted=x + "predicted").where(F.col(x + "predicted") == 1).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +32,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    hits = written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return picked(docs, hits, "left_anti").select(docs.columns)
+    """Documents that hold no benchmark passage. Each row is judged by its own text, whatever its doc_id."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind in brackets; n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with personal data replaced by its kind in brackets; n_chars follows, and stays where the text is null."""
+    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,34 +58,49 @@ def picked(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, how)
 
 
-def matches(df: DataFrame, text: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Adds column `m_<kind>` per rule: array<struct<start,end,hit>> of the leftmost non-overlapping matches.
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, whatever its case: for columns that an operator adds and drops again."""
+    prefix = "x_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "x" + prefix
+    return prefix
+
+
+#: So many matches are placed together. Arrays that grow by one element are copied each time, so they are kept this short.
+BLOCK = 256
+
+
+def matches(df: DataFrame, text: str, rules: dict[str, tuple[str, Column]], prefix: str = "m_", before: int = 0) -> DataFrame:
+    """Adds column `<prefix><kind>` per rule: array<struct<start,end,hit>> of the leftmost non-overlapping matches.
 
     rules: kind -> (Java pattern that never matches the empty string, cheap column that is false only where nothing
     can match). Offsets are code points, end exclusive. The text between matches comes from split() and the matches
-    from regexp_extract_all(), so running sums of their lengths give the offsets without a Python worker.
-    A null text counts as empty.
+    from regexp_extract_all(); sums of their lengths, first by blocks of matches and then within blocks, give the
+    offsets without a Python worker, in time that grows with the text. With before, a match also has `near`: up to so many
+    code points before it, back to the match before. A null text counts as empty.
     """
-    cols = {}
+    x, shape = unused(df), "struct<start:int,end:int,hit:string,near:string>" if before else "struct<start:int,end:int,hit:string>"
+    cut, steps = {}, [{}, {}, {}]
     for kind, (pattern, maybe) in rules.items():
-        none = F.array().cast("array<string>")
-        may = F.coalesce(maybe, F.lit(False))
-        cols[f"x_{kind}"] = F.when(may, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none)
-        cols[f"y_{kind}"] = F.when(may, F.transform(F.split(F.col(text), pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumns(cols)
-    found = {
-        f"m_{kind}": F.expr(
-            f"""aggregate(sequence(1, greatest(size(x_{kind}), 1)),
-                  named_struct('p', 0, 'o', cast(array() as array<struct<start:int,end:int,hit:string>>)),
-                  (a, i) -> if(size(x_{kind}) = 0, a, named_struct(
-                     'p', a.p + y_{kind}[i - 1] + length(x_{kind}[i - 1]),
-                     'o', array_append(a.o, named_struct('start', a.p + y_{kind}[i - 1],
-                           'end', a.p + y_{kind}[i - 1] + length(x_{kind}[i - 1]), 'hit', x_{kind}[i - 1])))),
-                  a -> a.o)"""
+        may, piece = F.coalesce(maybe, F.lit(False)), (lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(before)).alias("near"))) if before else (lambda p: F.struct(F.length(p).alias("n")))
+        cut[f"{x}h_{kind}"] = F.when(may, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+        cut[f"{x}g_{kind}"] = F.when(may, F.transform(F.split(F.col(text), pattern, -1), piece))
+        h, g, b, o = (f"`{x}{c}_{kind}`" for c in "hgbo")
+        near = f", 'near', b.g[i].near" if before else ""
+        steps[0][f"{x}b_{kind}"] = F.expr(f"transform(sequence(0, (size({h}) - 1) div {BLOCK}), k -> named_struct('h', slice({h}, k * {BLOCK} + 1, {BLOCK}), 'g', slice({g}, k * {BLOCK} + 1, {BLOCK})))")
+        steps[1][f"{x}o_{kind}"] = F.expr(
+            f"""aggregate({b}, named_struct('p', 0, 'o', cast(array() as array<int>)), (a, b) -> named_struct(
+                'p', a.p + aggregate(b.h, 0, (n, s) -> n + length(s)) + aggregate(slice(b.g, 1, size(b.h)), 0, (n, s) -> n + s.n), 'o', array_append(a.o, a.p)), a -> a.o)"""
+        )
+        steps[2][f"{prefix}{kind}"] = F.expr(
+            f"""if(coalesce(size({h}), 0) < 1, cast(array() as array<{shape}>), flatten(zip_with({b}, {o}, (b, p) -> aggregate(sequence(0, size(b.h) - 1),
+                named_struct('p', p, 'o', cast(array() as array<{shape}>)), (a, i) -> named_struct('p', a.p + b.g[i].n + length(b.h[i]), 'o', array_append(a.o,
+                named_struct('start', a.p + b.g[i].n, 'end', a.p + b.g[i].n + length(b.h[i]), 'hit', b.h[i]{near}))), a -> a.o))))"""
         )
-        for kind in rules
-    }
-    return df.withColumns(found).drop(*cols)
+    df = df.withColumns(cut)
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*[f"{x}{c}_{kind}" for c in "hgbo" for kind in rules])
 
 
 def _named(kind: str):
@@ -96,12 +111,12 @@ def _placed(kind: str, rank: int):
     return lambda s: F.struct(s["start"].alias("s"), F.lit(rank).alias("k"), _named(kind)(s).alias("t"))
 
 
-def spans_text(kinds: list[str], by_start: bool) -> Column:
-    """kind:start:end of the kept matches `m_<kind>`, comma-joined: by kind then start, or by start then kind."""
+def spans_text(kinds: list[str], by_start: bool, prefix: str = "m_") -> Column:
+    """kind:start:end of the kept matches `<prefix><kind>`, comma-joined: by kind then start, or by start then kind."""
     if by_start:
-        every = F.concat(*[F.transform(f"m_{k}", _placed(k, i)) for i, k in enumerate(kinds)])
+        every = F.concat(*[F.transform(f"{prefix}{k}", _placed(k, i)) for i, k in enumerate(kinds)])
         return F.array_join(F.transform(F.array_sort(every), lambda s: s["t"]), ",")
-    return F.array_join(F.concat(*[F.transform(f"m_{k}", _named(k)) for k in kinds]), ",")
+    return F.array_join(F.concat(*[F.transform(f"{prefix}{k}", _named(k)) for k in kinds]), ",")
 
 
 def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,21 +4,26 @@ A benchmark item's windows start at each of its characters. A window of w charac
 least w - q + 1 - q * e of its q-grams with it, at text-minus-window offsets (diagonals) that differ by e at most. So shared
 q-grams are counted in overlapping bands of diagonals, sums of them slide along the item, windows that meet the lemma's
 bound are kept, and a banded alignment verifies them. Besides, a run of 13 words of an item counts, as a passage of so many
-words may be shorter than a window.
+words may be shorter than a window. An item too short for q-grams counts where it stands letter by letter between word edges.
+
+A text is searched slice by slice, cut where so many shared q-grams have been met; slices overlap by more than a window.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 Q = 10
 WINDOW = 100
@@ -26,6 +31,7 @@ EDITS = 0.08  # of a window's characters
 RUN = 13  # words that are enough without edits, however short
 ROWS = 4096  # windows that are aligned together
 STRIDE = 32  # characters for which one window is aligned first
+SHARED = 1_000_000  # shared q-grams that one slice of a text holds
 #: Benchmark text is broadcast in parts of at most so many characters; each part is one pass over the documents.
 PART = 4_000_000
 
@@ -75,13 +81,14 @@ class Chars:
 class Index:
     """The q-grams of some items, whose windows start at every character, and their runs of words.
 
-    Items of under q characters have no windows, and match by no window.
+    Items of under q characters have no windows; they are looked up whole.
     """
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, edits: float = EDITS, run: int = RUN):
         self.q, self.run, self.items, self.texts, owner, size, grams, place = q, run, [i for i, _ in items], [], [], [], [], []
         self.words: dict[str, int] = {}
         runs, run_of = [], []
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by length, the items of under q characters
         for k, (_, text) in enumerate(items):
             a = np.array([self.words.setdefault(x, len(self.words)) for x in (text or "").lower().split()], np.int64)
             if len(a) >= run:
@@ -92,6 +99,8 @@ class Index:
             w = min(window, len(a))
             self.texts.append(a)
             size.append(w)
+            if 0 < len(a) < q:
+                self.short.setdefault(len(a), {}).setdefault(a.astype("<u4").tobytes(), []).append(k)
             if len(a) >= q:
                 grams.append(_grams(a, q))
                 owner.append(np.full(len(a) - q + 1, k))
@@ -107,6 +116,7 @@ class Index:
         self.keys, self.first, self.count = np.unique(self.gram, return_index=True, return_counts=True)
         self.bits = np.zeros(1 << 23, bool)  # a first test of text q-grams
         self.bits[self.keys >> np.uint64(41)] = True
+        self.overlap = int(self.size.max(initial=0)) + 4 * self.band + q
         self.run_key, (self.run_of,) = _sorted(runs, run_of)
 
     @property
@@ -123,8 +133,11 @@ class Index:
         """The edits that each window may have."""
         return np.repeat(self.allowed, self.starts)
 
-    def regions(self, a: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item, smallest diagonal of a band, places, diagonals) of bands of text a that share enough q-grams with some of the item."""
+    def slices(self, a: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(offset, piece of a, places of q-grams in it that items have, their numbers in keys) of slices that are worth a look.
+
+        Each piece of text of a window's length lies whole in one of them. A slice that is as one before it is left out.
+        """
         if len(a) < self.q or not len(self.keys):
             return
         h = _grams(a, self.q)
@@ -132,11 +145,35 @@ class Index:
         at = np.searchsorted(self.keys, h[pos]).clip(max=len(self.keys) - 1)
         hit = self.keys[at] == h[pos]
         pos, at = pos[hit], at[hit]
-        if len(pos) < self.least.min():
-            return
+        total = np.cumsum(self.count[at])
+        first, known = 0, set()
+        while first < len(pos) and len(pos) - first >= self.least.min():
+            lo = int(pos[first])
+            last = int(np.searchsorted(total, (total[first - 1] if first else 0) + SHARED, side="right"))
+            last = max(last, int(np.searchsorted(pos, lo + 2 * self.overlap)))
+            ends = last >= len(pos)
+            start, stop = max(0, lo - self.overlap), len(a) if ends else int(pos[last])
+            piece = a[start : min(len(a), stop + self.overlap)]
+            if (name := xxhash.xxh3_128_digest(piece.tobytes())) not in known:
+                known.add(name)
+                yield start, piece, pos[first:last] - start, at[first:last]
+            if ends:
+                return
+            first = int(np.searchsorted(pos, stop - self.overlap))
+
+    def regions(self, pos: np.ndarray, at: np.ndarray, done: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(item, smallest diagonal of a band, places, diagonals) of bands of a slice that share enough q-grams with some of the item.
+
+        Items that are done are left out.
+        """
         n = self.count[at]
         text_pos = np.repeat(pos, n)
         which = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if done.any():
+            left = ~done[self.owner[which]]
+            text_pos, which = text_pos[left], which[left]
+        if not len(which):
+            return
         item, place = self.owner[which], self.place[which]
         diagonal = text_pos - place
         # Bands [b * band, b * band + 2 * band): any diagonals that differ by less than band lie in one of them.
@@ -149,11 +186,15 @@ class Index:
         for some in np.split(mine, np.cumsum(count[enough])[:-1]) if len(mine) else ():
             k = key[some[0]]
             some = some % len(item)
+            if done[int(k >> 40)]:
+                continue
             yield int(k >> 40), (int(k & (1 << 40) - 1) - (1 << 30)) * self.band, place[some], diagonal[some]
 
-    def windows(self, item: int, place: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, item: int, place: np.ndarray, diagonal: np.ndarray, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, diagonals) of the item's windows that are letter by letter in a band, and starts of others that meet the lemma's bound.
 
+        skip: the windows that need no other place.
+
         Those of the first kind have all of their q-grams on one diagonal.
         """
         starts, all_of = int(self.starts[item]), int(self.size[item]) - self.q + 1
@@ -163,6 +204,8 @@ class Index:
             return sums[all_of:] - sums[:starts]
 
         enough = slid(place) >= self.least[item]
+        if skip is not None:
+            enough &= ~skip
         found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if enough.any():
             ds, n = np.unique(diagonal, return_counts=True)
@@ -242,31 +285,53 @@ class Index:
             for k in set(self.run_of[x:y].tolist()):
                 yield k, spans[p][0], spans[p + self.run - 1][1]
 
+    def whole(self, a: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items where they stand in text a between word edges."""
+        if not self.short or not len(a):
+            return
+        letter = np.concatenate([[False], np.fromiter((chr(c).isalnum() for c in a.tolist()), bool, len(a)), [False]])
+        for n, items in self.short.items():
+            if len(a) < n:
+                continue
+            at = np.flatnonzero(~(letter[: len(a) - n + 1] & letter[1 : len(a) - n + 2]) & ~(letter[n : len(a) + 1] & letter[n + 1 :]))
+            pieces = np.lib.stride_tricks.sliding_window_view(a, n)[at]
+            names = np.ascontiguousarray(pieces, "<u4").view(f"V{4 * n}").ravel()
+            for i, name in zip(at.tolist(), names.tolist()):
+                for k in items.get(name, ()):
+                    yield k, i, i + n
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, windows found, fewest edits, start, end) per item that text holds a window or a run of words of; code points of the text."""
+        """(item, windows found, fewest edits, start, end) per item that text holds a window or a run of words of; code points of the text.
+
+        Once an item has a window letter by letter, windows that have been found aren't looked for at other places.
+        """
         a = lowered(text or "")
-        found: dict[int, list] = {}  # item -> starts of windows found, fewest edits, start, end
+        found: dict[int, list] = {}  # item -> windows found, fewest edits, start, end
+        done = np.zeros(len(self.items), bool)
 
         def add(k: int, starts: list[int], edits: int, begin: int, end: int) -> None:
-            x = found.setdefault(k, [set(), edits, begin, end])
-            x[0].update(starts)
+            x = found.setdefault(k, [np.zeros(int(self.starts[k]), bool), edits, begin, end])
+            x[0][starts] = True
             x[1:] = min(x[1], edits), min(x[2], begin), max(x[3], end)
-
-        near = []
-        for k, low, place, diagonal in self.regions(a):
-            same, at, left = self.windows(k, place, diagonal)
-            if len(same):
-                add(k, same.tolist(), 0, int((at + same).min()), int((at + same).max() + self.size[k]))
-            if len(left):
-                near.append((np.full(len(left), k), left, np.full(len(left), low)))
-        if near:
-            item, start, low = (np.concatenate(x) for x in zip(*near, strict=True))
-            for r, e in zip(*(x.tolist() for x in self.verified(a, item, start, low)), strict=True):
-                k, at = int(item[r]), int(low[r] + start[r])
-                add(k, [int(start[r])], e, max(0, at), min(len(a), at + 2 * self.band + int(self.size[k])))
-        for k, begin, end in self.word_runs(text or ""):
+            done[k] = x[1] == 0 and bool(x[0].all()) and len(x[0]) > 0
+
+        for offset, piece, pos, at in self.slices(a):
+            near = []
+            for k, low, place, diagonal in self.regions(pos, at, done):
+                known = found.get(k)
+                same, on, left = self.windows(k, place, diagonal, known[0] if known and known[1] == 0 else None)
+                if len(same):
+                    add(k, same.tolist(), 0, offset + int((on + same).min()), offset + int((on + same).max() + self.size[k]))
+                if len(left):
+                    near.append((np.full(len(left), k), left, np.full(len(left), low)))
+            if near:
+                item, start, low = (np.concatenate(x) for x in zip(*near, strict=True))
+                for r, e in zip(*(x.tolist() for x in self.verified(piece, item, start, low)), strict=True):
+                    k, place = int(item[r]), offset + int(low[r] + start[r])
+                    add(k, [int(start[r])], e, max(0, place), min(len(a), place + 2 * self.band + int(self.size[k])))
+        for k, begin, end in itertools.chain(self.word_runs(text or ""), self.whole(a)):
             add(k, [], 0, begin, end)
-        return [(self.items[k], len(x[0]), *x[1:]) for k, x in found.items()]
+        return [(self.items[k], int(x[0].sum()), *x[1:]) for k, x in found.items()]
 
 
 def _sorted(keys: list[np.ndarray], *others: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -281,34 +346,97 @@ def _sorted(keys: list[np.ndarray], *others: list[np.ndarray]) -> tuple[np.ndarr
 HITS = "doc_id long, item_id long, n_windows int, edits int, region_start int, region_end int"
 
 
+def parts(benchmark: DataFrame, text: str = "text") -> Iterator[list[tuple[str, str]]]:
+    """The distinct item texts with their SHA-256, in parts of at most PART characters; a longer text is a part by itself.
+
+    The driver holds one part, and what goes with it by hash, at a time.
+    """
+    items = benchmark.where(F.length(F.trim(text)) > 0).select(F.sha2(text, 256).alias("name"), F.col(text).alias("text")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    dealt = -(-total // (PART // 2))
+    for p in range(dealt):
+        part, size = [], 0
+        for r in sorted(map(tuple, items.where(F.pmod(F.xxhash64("name"), F.lit(dealt)) == p).collect())):
+            if part and size + len(r[1]) > PART:
+                yield part
+                part, size = [], 0
+            part.append(r)
+            size += len(r[1])
+        if part:
+            yield part
+
+
+_indexes: dict[str, Index] = {}
+
+
+def _index(name: str, part: list[tuple[str, str]]) -> Index:
+    """One per worker process and part."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(part)
+    return _indexes[name]
+
+
+def _shared(spark: SparkSession, part: list[tuple[str, str]]):
+    """A function that gives the part's index on a worker."""
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(part)
+    return lambda: _index(name, sent.value)
+
+
+def _found(get):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = get()
+        for b in batches:
+            hits = [(k, *h) for k, t in zip(b["k"], b["t"], strict=True) for h in index.search(t)]
+            yield pd.DataFrame(hits, columns=["k", "name", "n_windows", "edits", "region_start", "region_end"])
+
+    return run
+
+
+def _holds(get):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = get()
+        for b in batches:
+            yield pd.Series([bool(index.search(t)) for t in b], dtype=bool)
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """HITS: a row per document and benchmark item of which it holds a window (any 100 characters, or all of a shorter item)
     within 8 percent edits, or a run of 13 words. Case and kinds of white space don't count, nor does the amount of it
-    between words of a run. n_windows counts the windows by their starts in the item; 0 if there is only a run of words. The
-    region is where they lie, to within a band.
+    between words of a run. n_windows counts the windows by their starts in the item; 0 if there is only a run of words, or
+    an item of under 10 characters, which counts where it stands letter by letter between word edges. The region is where they lie, to within a band.
 
-    Null and empty texts, and items of under 10 characters, match nothing. An empty table gives an empty result. Documents
-    or items that repeat give rows each. The benchmark is read in parts of at most PART characters (an item longer than
-    that is a part by itself), each broadcast for one pass over the documents, so its size isn't bound by memory.
+    Null and empty texts and items match nothing; null ids stay null. An empty table gives an empty result. Documents
+    or items that repeat give rows each. The benchmark's distinct texts are read in parts of at most PART characters, each
+    broadcast for one pass over the documents and let go, so its size isn't bound by memory.
     """
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = -(-total // (PART // 2)) or 1
-    spark, out = docs.sparkSession, None
-    for p in range(parts):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id").collect()]
-        shared = spark.sparkContext.broadcast(rows)
-        small_batches(spark)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
-            for b in batches:
-                hits = [(k, *h) for k, t in zip(b["k"], b["t"], strict=True) for h in index.search(t)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_windows", "edits", "region_start", "region_end"])
-
-        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, HITS)
-        out = found if out is None else out.union(found)
-    return out
+    spark, found = docs.sparkSession, []
+    small_batches(spark)
+    # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
+    asked = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    for part in parts(benchmark):
+        hits = asked.mapInPandas(_found(_shared(spark, part)), "k string, name string, n_windows int, edits int, region_start int, region_end int")
+        if found:
+            found[-1] = written(found[-1], "hits")
+        found.append(hits)
+    if not found:
+        return spark.createDataFrame([], HITS)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.sha2("text", 256).alias("name"))
+    every = reduce(DataFrame.union, found).join(items, "name")
+    return every.select(F.col("k").cast("long").alias("doc_id"), "item_id", "n_windows", "edits", "region_start", "region_end")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that hold no passage by the rules of contaminated(), whatever their ids and other columns.
+
+    Each part of the benchmark is one filter; a row that one takes out doesn't reach the next.
+    """
+    small_batches(docs.sparkSession)
+    for part in parts(benchmark):
+        docs = docs.where(~F.pandas_udf(_holds(_shared(docs.sparkSession, part)), "boolean")(F.col(text)))
+    return docs
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

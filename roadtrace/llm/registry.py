@@ -15,7 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
     "op10_url_filter": url_filter.op10,
-    "op10_url_filter_backoff": url_filter.op10_backoff,
+    "op10_url_filter_backoff": url_filter.op10,
 }
 SQL = {
     "op2_topk": topk.OP2_SQL,
@@ -24,4 +24,5 @@ SQL = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op9_sharding": sharding.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op10_url_filter_backoff": url_filter.OP10_SQL,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import matches, spans_text, table, written
+from .common import matches, spans_text, table, unused, written
 
 RULE_VERSION = "1"
 BASE = ["assign", "access", "hex"]
@@ -17,7 +17,8 @@ KINDS = [*BASE, "pem"]
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: A private key from its header to its END line; the header alone where no END line is the next with five dashes.
+PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[^-]|-[^-]|--[^-]|---[^-]|----[^-])*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
 LEAST = {"assign": 12, "access": 18, "hex": 16, "pem": 1}
 LEDGER = "blob string, rules string, findings array<struct<kind:string,start:int,end:int>>"
 
@@ -33,15 +34,36 @@ def scan(blobs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"m_assign": F.filter("m_assign", value), "m_access": F.filter("m_access", lambda s: F.length(s["hit"]) >= LEAST["access"])})
 
 
+def load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows at path, one for each blob and rule version that was scanned; none where nothing has been written yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
+def append_ledger(new: DataFrame, path: str) -> None:
+    """Adds ledger rows at path. Rows that a repeated scan adds again do no harm: readers take one of a blob and rule version."""
+    new.write.mode("append").parquet(path)
+
+
+def scan_to(versions: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """scan_versions() against the ledger at path, which then has the blobs that were new."""
+    found, new = scan_versions(versions, load_ledger(versions.sparkSession, path), text)
+    append_ledger(new, path)
+    return found
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(versions with `blob` and `m_<kind>` findings, new ledger rows) for a table with one row per version of a path.
 
     ledger: rows of LEDGER from earlier scans. A (blob, RULE_VERSION) pair that it has is not scanned again. Texts that
     are equal are one blob, however many rows hold them; a null text counts as the empty blob. The new ledger rows hold
-    every blob scanned now, with findings or without, so that the next scan skips them. Columns of versions named blob,
-    findings or m_<kind> are replaced.
+    every blob scanned now, with findings or without, so that the next scan skips them. Columns of versions named blob or
+    m_<kind> are replaced; all others but the text come out as they went in. Empty texts have no findings and take no part in
+    the join of findings to paths.
     """
-    at = versions.drop("findings", *[f"m_{k}" for k in KINDS]).withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    x = unused(versions)
+    at = versions.drop(*[f"m_{k}" for k in KINDS]).withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     blobs = at.select("blob", F.col(text).alias("body")).dropDuplicates(["blob"])
     seen = None
     if ledger is not None:
@@ -52,10 +74,12 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
     found = new.select("blob", "findings").where(F.size("findings") > 0)
     if seen is not None:
         found = found.union(seen.where(F.size("findings") > 0))
-    every = at.drop(text).join(found, "blob", "left")
-    for k in KINDS:
-        every = every.withColumn(f"m_{k}", F.coalesce(F.filter("findings", _is(k)), F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    return every.drop("findings"), new
+    blank = F.coalesce(F.col(text) == "", F.lit(True))
+    joined = at.where(~blank).drop(text).join(found.withColumnRenamed("findings", f"{x}found"), "blob", "left")
+    every = joined.unionByName(at.where(blank).drop(text), allowMissingColumns=True)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    every = every.withColumns({f"m_{k}": F.coalesce(F.filter(f"{x}found", _is(k)), none) for k in KINDS})
+    return every.drop(f"{x}found"), new
 
 
 def _tag(kind: str):
@@ -90,7 +114,7 @@ m AS (SELECT doc_id,
   {_sql("assign", ASSIGN, f"length(regexp_extract(x.h, '{_A}', 1)) >= 12")},
   {_sql("access", ACCESS, "length(x.h) >= 18")},
   {_sql("hex", "[0-9a-f]+", "length(x.h) >= 16")},
-  {_sql("pem", PEM, "true")}
+  {_sql("pem", PEM.replace("*+", "*"), "true")}
   FROM d)
 SELECT doc_id, {", ".join(f"coalesce(len(m_{k}), 0) AS n_{k}" for k in BASE)}, sha256({_ALL(BASE)}) AS base_sha256, {_ALL(KINDS)} AS spans
 FROM m
