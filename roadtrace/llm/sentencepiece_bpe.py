@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 SPACE = "▁"
-#: A unit: a run of spaces with what follows it up to the next space, tab or line feed, or one of the latter. No piece
-#: reaches over its edges (checked on load).
-UNIT = re.compile(f"[\\t\\n]|{SPACE}*[^{SPACE}\\t\\n]+|{SPACE}+")
+#: A unit: a word up to the next space, tab or line feed, with one space before it; a run of spaces, up to that one; a tab or
+#: line feed. No piece but those of spaces reaches over its edges, and spaces merge after everything else (checked on load).
+UNIT = re.compile(f"[\\t\\n]|{SPACE}?[^{SPACE}\\t\\n]+|{SPACE}+(?={SPACE}[^{SPACE}\\t\\n])|{SPACE}+")
+#: Longer units are encoded one by one, others many at once.
+LONG = 64
 
 
 class Table:
@@ -72,7 +74,7 @@ class Table:
 class Model:
     """Tables of one .model file. Up to about twice cache_units recent units are remembered."""
 
-    def __init__(self, path: str, cache_units: int = 250_000):
+    def __init__(self, path: str, cache_units: int = 100_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,11 +93,14 @@ class Model:
         self.rank = {i: -sp.get_score(i) for i in normal}
         self.chars = {p for p in self.ids if len(p) == 1}
         self.split: dict[int, tuple[int, int] | None] = {}
+        self.spaces()
         # Pieces that merging never makes stay out.
         self.build([(p, i) for p, i in self.ids.items() if len(p) == 1 or self.parts(i) is not None])
         self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ways: dict[tuple[int, str], int] = {}
+        self.fitting: dict[tuple[int, int], bool] = {}
         self.cache_units = cache_units
         self.head, self.tail = (array.array("I", [i]).tobytes() for i in (self.bos, self.eos))
         # What each id decodes to.
@@ -109,6 +114,30 @@ class Model:
         self.marks = {self.bos, self.eos}
         self.led = {i for i in normal if self.pieces[i].startswith(SPACE)}
 
+    def spaces(self) -> None:
+        """The last token's length of each run of spaces up to twice the longest such piece and more, from which longer runs repeat."""
+        runs = [i for p, i in self.ids.items() if not p.strip(SPACE)]
+        most = max(len(self.pieces[i]) for i in runs)
+        if max((self.rank[i] for p, i in self.ids.items() if p.strip(SPACE)), default=0) > min(self.rank[i] for i in runs if len(self.pieces[i]) > 1 or most == 1):
+            raise ValueError("spaces must merge last")
+        self.last_space, self.most_spaces = [0], most
+        for n in range(1, 4 * most + 1):
+            symbols = self.merged([SPACE] * n)
+            self.last_space.append(len(symbols[-1]))
+            if n > most and symbols[0] != SPACE * most:
+                raise ValueError("runs of spaces must begin with their longest piece")
+        self.lone = array.array("I", [self.ids[SPACE]]).tobytes()
+
+    def run(self, n: int) -> bytes:
+        """Ids of n spaces, read backwards from the end by the last token of each prefix."""
+        whole = max(0, n - 2 * self.most_spaces) // self.most_spaces
+        n -= whole * self.most_spaces
+        out = []
+        while n:
+            out.append(self.ids[SPACE * self.last_space[n]])
+            n -= self.last_space[n]
+        return array.array("I", [self.ids[SPACE * self.most_spaces]] * whole + out[::-1]).tobytes()
+
     def build(self, pieces: list[tuple[str, int]]) -> None:
         """The automaton: trie moves, fall-back states, and for each state the tokens that end there, longest first."""
         self.moves: list[dict[str, int]] = [{}]
@@ -169,7 +198,7 @@ class Model:
         return ok > 0
 
     def merged(self, symbols: list[str], stop: int = 1) -> list[str]:
-        """Plain merging, best score first and leftmost of equals: makes the pieces' own trees, and runs of spaces."""
+        """Plain merging, best score first and leftmost of equals: makes the pieces' own trees, and short runs of spaces, on load."""
         while len(symbols) > stop:
             best, at = float("inf"), -1
             for k in range(len(symbols) - 1):
@@ -267,26 +296,58 @@ class Model:
                 out[k] = raw[lo:hi]
         return out
 
+    def long(self, s: str) -> bytes:
+        """Ids of one long word of characters that the model has, by the same table, a character at a time."""
+        last, size, at = [-1] * (len(s) + 1), [0] * (len(s) + 1), 0
+        if len(self.ways) > 1_000_000 or len(self.fitting) > 1_000_000:
+            self.ways, self.fitting = {}, {}
+        ways, fitting, ends = self.ways, self.fitting, self.ends
+        for end, c in enumerate(s, 1):
+            to = ways.get((at, c))
+            if to is None:
+                to = ways[at, c] = self.step(at, c)
+            at = to
+            for i, length in ends[at]:
+                if length < end:
+                    p = last[end - length]
+                    ok = fitting.get((p, i))
+                    if ok is None:
+                        ok = fitting[p, i] = p >= 0 and self.fits(p, i)
+                    if not ok:
+                        continue
+                last[end], size[end] = i, length
+                break
+        out, end = [], len(s)
+        while end:
+            out.append(last[end])
+            end -= size[end]
+        return array.array("I", out[::-1]).tobytes()
+
     def unit(self, s: str) -> bytes:
         """Ids of any unit. Characters that the model lacks become their bytes."""
+        if not s.strip(SPACE):
+            return self.run(len(s))
         parts = []
         for known, group in itertools.groupby(s, self.chars.__contains__):
             run = "".join(group)
-            if not known:
-                parts.append(array.array("I", [self.byte[b] for b in run.encode()]).tobytes())
-            elif run.startswith(SPACE * 2):  # pieces of spaces tie in score, so these few units are merged plainly
-                parts.append(array.array("I", [self.ids[t] for t in self.merged(list(run))]).tobytes())
-            else:
-                parts.append(self.words([run])[0])
+            parts.append(self.long(run) if known else array.array("I", map(self.byte.__getitem__, run.encode())).tobytes())
         return b"".join(parts)
 
     def learn(self, units: set[str]) -> None:
         """Remembers the ids of units."""
-        plain = [u for u in units if len(u) <= 64 and not u.startswith(SPACE * 2)]
+        plain = [u for u in units if len(u) <= LONG and u.strip(SPACE)]
         if plain:
             self.young.update((u, ids) for u, ids in zip(plain, self.words(plain), strict=True) if ids is not None)
         self.young.update((u, self.unit(u)) for u in units if u not in self.young)
 
+    def joined(self, units: list[str]) -> bytes:
+        """Ids of a text's units. A run of spaces takes in the space before the next word where that merges with nothing else."""
+        parts = [*map(self.young.__getitem__, units)]
+        for k, u in enumerate(units[:-1]):
+            if u[-1] == SPACE and units[k + 1][0] == SPACE and parts[k + 1].startswith(self.lone):
+                parts[k], parts[k + 1] = self.run(len(u) + 1), parts[k + 1][4:]
+        return b"".join([self.head, *parts, self.tail])
+
     def encode_all(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
         """encode() for many texts, some chars' worth at a time."""
         k = 0
@@ -307,9 +368,9 @@ class Model:
                 new -= again
             self.learn(new)
             for g in group:
-                yield b"".join([self.head, *map(young.__getitem__, g), self.tail])
+                yield self.joined(g)
             for u in new:
-                if len(u) > 64:
+                if len(u) > LONG:
                     del young[u]
 
     def encode(self, text: str | None) -> bytes:
@@ -361,7 +422,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     path: the .model file; each executor needs it at that place.
     """
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
@@ -376,7 +437,9 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id"
             out.insert(0, "doc_id", b["k"].array)
             yield out
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
+    out = docs.select(F.col(key).cast("long").cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def default_model() -> str:
