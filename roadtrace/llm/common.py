@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def tidied(run):
+    """An iterator function for Python workers that, when a task ends, gives memory back that the worker would keep for the next one.
+
+    Workers live on over tasks and stages; what each leaves behind would add up in an executor.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 #: Up to so many ids (8 bytes each) are broadcast to pick rows; more are joined.
 MOST_IDS = 1_000_000
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, table, tidied, written
 
 Q = 10
 WINDOW = 100
@@ -384,6 +384,7 @@ def _shared(spark: SparkSession, part: list[tuple[str, str]]):
 
 
 def _found(get):
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = get()
         for b in batches:
@@ -394,6 +395,7 @@ def _found(get):
 
 
 def _holds(get):
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = get()
         for b in batches:

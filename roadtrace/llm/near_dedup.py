@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_IDS, components, picked, small_batches, table, written
+from .common import MOST_IDS, components, picked, small_batches, table, tidied, written
 
 K = 48
 #: Of a union's 48 smallest values a pair at 0.8 shares 38; under 20 has a chance below 1e-8.
@@ -49,7 +49,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(_words) > 100_000:
+    if len(_words) > 50_000:
         _words.clear()
     known, digest = _words, xxhash.xxh64_intdigest
     h = np.array([known.get(w) or known.setdefault(w, digest(w)) for w in words], np.uint64)
@@ -65,6 +65,7 @@ def _digest(s: np.ndarray) -> bytes | None:
 
 
 def _features(width: int, k: int):
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -74,11 +75,13 @@ def _features(width: int, k: int):
             out = pd.DataFrame(rows, columns=["n", "set", "sketch"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
+        _words.clear()
 
     return run
 
 
 def _sets(width: int):
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -87,6 +90,7 @@ def _sets(width: int):
                 if _digest(s) == want:
                     rows.append((i, want, s))
             yield pd.DataFrame(rows, columns=["rep", "set", "all"])
+        _words.clear()
 
     return run
 
@@ -142,7 +146,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         raise ValueError("runs of three find pairs from 80 percent")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = written(docs.mapInPandas(_features(width, k), "doc_id long, n long, set binary, sketch array<long>"), "sketches")
+    # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = named.mapInPandas(_features(width, k), "doc_id string, n long, set binary, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = written(rows, "sketches")
     classes = written(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("rep is not null"), "classes")
     label = _labels(docs, classes, width, percent, k)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 TERMS = 2048  # hashed byte pairs; the last three are taken by the signs of style
 #: The bound of the sample: so many labelled rows of each label at most, those with the smallest hash of their id.
@@ -133,6 +133,7 @@ def score(docs: DataFrame, model: Voters, text: str = "text", score: str = "scor
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(shared.value.score(b.tolist()))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 SPACE = "▁"
 #: A unit: a word up to the next space, tab or line feed, with one space before it; a run of spaces, up to that one; a tab or
@@ -74,7 +74,7 @@ class Table:
 class Model:
     """Tables of one .model file. Up to about twice cache_units recent units are remembered."""
 
-    def __init__(self, path: str, cache_units: int = 100_000):
+    def __init__(self, path: str, cache_units: int = 40_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -190,7 +190,7 @@ class Model:
         keys = left.astype(np.int64) << 20 | right
         ok = self.pairs.get(keys)
         if (ok < 0).any():
-            if self.pairs.n > 3_000_000:
+            if self.pairs.n > 400_000:
                 self.pairs = Table()
             new = np.unique(keys[ok < 0] if self.pairs.n else keys).tolist()
             self.pairs.put(new, [int(self.fits(k >> 20, k & (1 << 20) - 1)) for k in new])
@@ -299,7 +299,7 @@ class Model:
     def long(self, s: str) -> bytes:
         """Ids of one long word of characters that the model has, by the same table, a character at a time."""
         last, size, at = [-1] * (len(s) + 1), [0] * (len(s) + 1), 0
-        if len(self.ways) > 1_000_000 or len(self.fitting) > 1_000_000:
+        if len(self.ways) > 300_000 or len(self.fitting) > 300_000:
             self.ways, self.fitting = {}, {}
         ways, fitting, ends = self.ways, self.fitting, self.ends
         for end, c in enumerate(s, 1):
@@ -348,7 +348,7 @@ class Model:
                 parts[k], parts[k + 1] = self.run(len(u) + 1), parts[k + 1][4:]
         return b"".join([self.head, *parts, self.tail])
 
-    def encode_all(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+    def encode_all(self, texts: list[str | None], chars: int = 500_000) -> Iterator[bytes]:
         """encode() for many texts, some chars' worth at a time."""
         k = 0
         while k < len(texts):
@@ -424,6 +424,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     small_batches(docs.sparkSession)
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for b in batches:
@@ -436,6 +437,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id"
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", b["k"].array)
             yield out
+        m.young, m.old = {}, {}
 
     # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
     out = docs.select(F.col(key).cast("long").cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
