@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import partial
+from math import atan2, cos, radians, sin, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.units import KNOTS
 
@@ -38,142 +41,219 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable, sch
 EVENTS = "device_id long, type string, position_id long, event_ms long"
 
 
+def _metres(a, b, radius: float = 6_378_137.0) -> float:
+    y, x = sin(radians(b.latitude - a.latitude) / 2), sin(radians(b.longitude - a.longitude) / 2)
+    h = y * y + cos(radians(a.latitude)) * cos(radians(b.latitude)) * x * x
+    return 2 * atan2(sqrt(h), sqrt(1 - h)) * radius
+
+
 class OldMotion:
-    """Motion by duration or distance. A gap of no_data_s ends a trip at the position before it."""
+    """Motion by duration or distance. A gap of no_data_s ends a trip at the position before it.
+
+    decide(row) -> [(type, row that the event is about)]. moving: what the device does before the first row.
+    """
 
-    def __init__(self, distance_m=500, trip_s=300, parking_s=300, no_data_s=900, use_ignition=False):
+    needs = ["motion", "total_mm", "ignition"]
+
+    def __init__(self, distance_m=500, trip_s=300, parking_s=300, no_data_s=900, use_ignition=False, moving=False):
         self.d, self.trip, self.park, self.gap, self.ign = distance_m * 1000, trip_s * 1000, parking_s * 1000, no_data_s * 1000, use_ignition
-        self.streak = self.state = False
+        self.streak = self.state = moving
         self.mark = self.last = None
 
-    def step(self, r) -> list[tuple]:
+    def decide(self, r) -> list[tuple]:
         last, self.last = self.last, r
         if last is not None and self.streak and self.gap and r.fix_ms - last.fix_ms >= self.gap:
-            self.streak = self.state = False
-            self.mark = None
-            return [(r.device_id, "deviceStopped", last.id, last.fix_ms)]
-        if self.state == r.motion:
-            if self.mark is None:
-                return []
-            i, ms, total = self.mark
-            due = (r.fix_ms - ms >= self.trip or r.total_mm - total >= self.d) if r.motion else (r.fix_ms - ms >= self.park or (self.ign and r.ignition is not None and not r.ignition))
-            if not due:
-                return []
+            self.streak, self.state, self.mark = False, False, None
+            return [("deviceStopped", last)]
+        if self.state != r.motion:
+            self.state = r.motion
+            self.mark = None if self.streak == r.motion else r
+        elif self.mark is not None and self._due(self.mark, r):
+            kind, at = "deviceMoving" if r.motion else "deviceStopped", self.mark
             self.streak, self.mark = r.motion, None
-            return [(r.device_id, "deviceMoving" if r.motion else "deviceStopped", i, ms)]
-        self.state = r.motion
-        self.mark = None if self.streak == r.motion else (r.id, r.fix_ms, r.total_mm)
+            return [(kind, at)]
         return []
 
-    def finish(self) -> list[tuple]:
-        return []
+    def _due(self, since, r) -> bool:
+        if r.motion:
+            return r.fix_ms - since.fix_ms >= self.trip or r.total_mm - since.total_mm >= self.d
+        return r.fix_ms - since.fix_ms >= self.park or (self.ign and r.ignition is not None and not r.ignition)
 
 
 class NewMotion:
-    """Motion by displacement over a trailing deque of positions."""
+    """Motion by displacement, over the positions of the last duration_s and one before them."""
 
-    def __init__(self, distance_m=200, duration_s=180, gap_s=3600):
-        self.d, self.t, self.gap = distance_m, duration_s * 1000, gap_s * 1000
-        self.streak, self.q, self.event = False, deque(), None
-
-    @staticmethod
-    def _far(a, b) -> float:
-        from math import atan2, cos, radians, sin, sqrt
+    needs = ["latitude", "longitude", "distance_mm"]
 
-        y, x = sin(radians(b.latitude - a.latitude) / 2), sin(radians(b.longitude - a.longitude) / 2)
-        h = y * y + cos(radians(a.latitude)) * cos(radians(b.latitude)) * x * x
-        return 2 * atan2(sqrt(h), sqrt(1 - h)) * 6_378_137.0
+    def __init__(self, distance_m=200, duration_s=180, gap_s=3600, moving=False):
+        self.d, self.t, self.gap = distance_m, duration_s * 1000, gap_s * 1000
+        self.streak, self.q, self.event = moving, deque(), None
 
-    def _fast(self, a, b) -> bool:
-        return b.fix_ms > a.fix_ms and self._far(a, b) / (b.fix_ms - a.fix_ms) > self.d / self.t
+    def _fast(self, metres: float, ms: int) -> bool:
+        return ms > 0 and metres / ms > self.d / self.t
 
-    def step(self, r) -> list[tuple]:
-        made = self._decide(r) if self.q else []
-        if self.event is None:
+    def decide(self, r) -> list[tuple]:
+        made = self._made(r) if self.q else []
+        if made:
+            self.event = made[-1][1]
+        elif self.event is None:
             self.event = r
         self.q.append(r)
         while len(self.q) > 2 and r.fix_ms - self.q[1].fix_ms >= self.t:
             self.q.popleft()
-        return [(r.device_id, kind, p.id, p.fix_ms) for kind, p in made]
+        return made
 
-    def _decide(self, r) -> list[tuple]:
+    def _made(self, r) -> list[tuple]:
         last = self.q[-1]
-        if r.fix_ms - last.fix_ms > self.gap and self._far(last, r) >= self.d and self._fast(last, r):
-            made = ([("deviceStopped", last)] if self.streak else []) + [("deviceMoving", last), ("deviceStopped", r)]
-            self.streak, self.event = False, r
-            return made
-        if self.streak:
-            if any(self._far(p, r) >= self.d for p in self.q) or self._fast(last, r) or r.fix_ms - self.q[0].fix_ms < self.t:
+        gap, step = r.fix_ms - last.fix_ms, r.distance_mm / 1000
+        if gap > self.gap and step >= self.d and self._fast(step, gap):
+            was, self.streak = self.streak, False
+            return [("deviceStopped", last)] * was + [("deviceMoving", last), ("deviceStopped", r)]
+        if not self.streak:
+            if _metres(self.event, r) < self.d:
                 return []
-            self.streak, self.event = False, r
-            return [("deviceStopped", r)]
-        if self._far(self.event, r) >= self.d:
-            begin = r
-            for p in reversed(self.q):
-                if p.fix_ms < self.event.fix_ms or not self._fast(p, begin):
-                    break
-                begin = p
-            self.streak, self.event = True, begin
-            return [("deviceMoving", begin)]
-        return []
+            self.streak = True
+            return [("deviceMoving", self._began(r))]
+        if any(_metres(p, r) >= self.d for p in self.q) or self._fast(_metres(last, r), gap) or r.fix_ms - self.q[0].fix_ms < self.t:
+            return []
+        self.streak = False
+        return [("deviceStopped", r)]
 
-    def finish(self) -> list[tuple]:
-        return []
+    def _began(self, r):
+        """Back from r, whose own leg may be slow, over fast legs, but not to the last event."""
+        began = r
+        for p in reversed(self.q):
+            if p.fix_ms <= self.event.fix_ms or (began is not r and not self._fast(_metres(p, began), began.fix_ms - p.fix_ms)):
+                break
+            began = p
+        return began
 
 
 class MotionV2:
-    """UNKNOWN, MOVING, PAUSED, STOPPED by quality, gaps, speeds and step distances; a row per change of state."""
+    """UNKNOWN, MOVING, PAUSED, STOPPED by quality, gaps, Doppler speed and steps; an event per change of state.
 
-    def __init__(self, gap_s=300, stable_s=45, speed_mps=0.5, step_m=50):
-        self.gap, self.stable, self.v, self.far = gap_s * 1000, stable_s, speed_mps, step_m
-        self.state, self.since, self.last = "UNKNOWN", None, None
+    Rows that are not valid, off the globe or at (0, 0) move the time on but leave the place; the step of the next row
+    counts from the last place that was taken.
+    """
 
-    def step(self, r) -> list[tuple]:
-        last, self.last = self.last, r
-        dt = r.fix_ms - last.fix_ms if last is not None else None
-        if not r.valid or dt is None or dt > self.gap or dt <= 0 or r.quality != "GOOD":
-            return self._to("UNKNOWN", r)
-        moved = r.distance_mm / 1000
-        slow = r.speed / KNOTS["mps"] < self.v and moved / (dt / 1000) < self.v
-        if self.state == "UNKNOWN":
-            return self._to("PAUSED" if slow else "MOVING", r)
-        if self.state == "MOVING":
-            return self._to("PAUSED", r) if slow else []
-        if moved > self.far:
-            return self._to("MOVING", r)
-        if self.state == "PAUSED" and (r.fix_ms - self.since) // 1000 >= self.stable:
-            return self._to("STOPPED", r)
-        return []
+    needs = ["valid", "speed", "quality", "latitude", "longitude"]
+
+    def __init__(self, gap_s=300, stable_s=45, speed_mps=0.5, step_m=50, moving=False):
+        self.gap, self.stable, self.v, self.far = gap_s * 1000, stable_s, speed_mps, step_m
+        self.state, self.pause, self.ms, self.place = "UNKNOWN", 0, 0, None
 
-    def _to(self, state: str, r) -> list[tuple]:
+    def decide(self, r) -> list[tuple]:
+        state = self._next(r)
         if state == self.state:
             return []
-        self.state, self.since = state, r.fix_ms
-        return [(r.device_id, state, r.id, r.fix_ms)]
+        self.state = state
+        return [(state, r)]
+
+    def _next(self, r) -> str:
+        ms, before, place = self.ms, r.fix_ms - self.ms, self.place
+        if not r.valid or not (abs(r.latitude) <= 90 and abs(r.longitude) <= 180) or max(abs(r.latitude), abs(r.longitude)) < 1e-9:
+            self.ms = r.fix_ms
+            return "UNKNOWN"
+        if ms and before <= 0:
+            return "UNKNOWN"
+        self.ms, self.place = r.fix_ms, r
+        if (ms and before > self.gap) or r.quality != "GOOD":
+            return "UNKNOWN"
+        step = _metres(place, r, 6_371_000.0) if ms and place is not None else None
+        quiet = r.speed / KNOTS["mps"] < self.v and (step is None or step / (before / 1000) < self.v)
+        if self.state in ("PAUSED", "STOPPED"):
+            if step is not None and step > self.far:
+                return "MOVING"
+            return "STOPPED" if (r.fix_ms - self.pause) // 1000 >= self.stable else self.state
+        if quiet:
+            self.pause = r.fix_ms
+        return "PAUSED" if quiet else "MOVING"
+
+
+class Told:
+    """The events of a motion algorithm as rows of EVENTS."""
+
+    def __init__(self, motion):
+        self.motion = motion
+
+    def step(self, r) -> list[tuple]:
+        return [(r.device_id, kind, p.id, p.fix_ms) for kind, p in self.motion.decide(r)]
 
     def finish(self) -> list[tuple]:
         return []
 
 
+class Spans:
+    """Trips, or stops: from each event of one kind to the next of the other. The first row opens one if it does what is asked
+    for, and the last row ends one that is open. A span's top speed is that since the event before the one that ends it."""
+
+    def __init__(self, motion: Callable, trips: bool, fields: list[str]):
+        self.motion, self.trips, self.fields = motion, trips, fields
+        self.fold = self.open = self.last = None
+        self.top = 0.0
+
+    def step(self, r) -> list[tuple]:
+        if self.fold is None:
+            self.fold = self.motion(moving=bool(r.motion))
+            self.open = r if bool(r.motion) == self.trips else None
+        self.last, self.top = r, max(self.top, r.speed)
+        out, made = [], self.fold.decide(r)
+        for kind, p in made:
+            if (kind == "deviceMoving") == self.trips:
+                self.open = p
+            elif self.open is not None:
+                out.append(self._span(self.open, p))
+                self.open = None
+        if made:
+            self.top = 0.0
+        return out
+
+    def _span(self, a, b) -> tuple:
+        return (a.device_id, a.id, a.fix_ms, b.id, b.fix_ms, self.top, *[getattr(x, f) for f in self.fields for x in (a, b)])
+
+    def finish(self) -> list[tuple]:
+        return [self._span(self.open, self.last)] if self.open is not None else []
+
+
 class LastAccepted:
-    """Filters that look at the last accepted position; keeps those that pass."""
+    """The filters that look at the last accepted position, and those that don't, together: a row per position with the
+    names of the filters that drop it, joined by commas, and "" where it stays and is the last accepted one from then on.
+
+    r has `keys`, the names of its attributes, and `own`, the names of the filters without look-back that drop it. A filter that
+    is 0 or false is off. Duplicate, Static and Distance give way where the server waited over skip_limit_s for the row or it has one
+    of skip_keys; `exempt` rows pass everything.
+    """
 
-    def __init__(self, min_distance_m=0.0, max_speed_kn=0.0, min_period_s=0, duplicates=False, daily_limit=0):
-        self.opt = (min_distance_m, max_speed_kn, min_period_s * 1000, duplicates, daily_limit)
+    def __init__(self, min_distance_m=0.0, max_speed_kn=0.0, min_period_s=0, duplicates=False, daily_limit=0, daily_interval_s=None, skip_limit_s=0, skip_keys=()):
+        self.near, self.fast, self.period, self.same = min_distance_m, max_speed_kn, min_period_s * 1000, duplicates
+        self.limit, self.wait, self.skip, self.skip_keys = daily_limit, daily_interval_s, skip_limit_s * 1000, set(skip_keys)
         self.last, self.day, self.count = None, None, 0
 
+    def _names(self, r) -> list[str]:
+        last, names = self.last, set(r.own.split(",")) - {""}
+        dt = r.fix_ms - last.fix_ms if last is not None else None
+        if last is not None:
+            metres = _metres(last, r)
+            names |= {
+                n for n, hit in (
+                    ("Duplicate", self.same and dt == 0 and set(r.keys) <= set(last.keys)), ("Distance", self.near and metres < self.near),
+                    ("MaxSpeed", self.fast and dt > 0 and metres / (dt / 1000) * KNOTS["mps"] > self.fast), ("MinPeriod", 0 < dt < self.period),
+                ) if hit
+            }
+        if self.limit and self.count >= self.limit and (self.wait is None or r.fix_ms - (last.fix_ms if last is not None else 0) < self.wait * 1000):
+            names.add("DailyLimit")
+        waited = self.skip and last is not None and r.server_ms - last.server_ms > self.skip
+        if waited or not self.skip_keys.isdisjoint(r.keys):
+            names -= {"Duplicate", "Static", "Distance"}
+        return sorted(names)
+
     def step(self, r) -> list[tuple]:
-        near, fast, period, duplicates, limit = self.opt
         if r.fix_ms // 86_400_000 != self.day:
             self.day, self.count = r.fix_ms // 86_400_000, 0
-        if limit and self.count >= limit:
-            return []
-        if self.last is not None:
-            dt, d = r.fix_ms - self.last.fix_ms, NewMotion._far(self.last, r)
-            if (duplicates and dt == 0) or (near and d < near) or (period and 0 < dt < period) or (fast and dt > 0 and d / (dt / 1000) * KNOTS["mps"] > fast):
-                return []
-        self.last, self.count = r, self.count + 1
-        return [(r.device_id, r.id, r.fix_ms)]
+        names = [] if r.exempt else self._names(r)
+        if not names:
+            self.last, self.count = r, self.count + 1
+        return [(r.device_id, r.id, r.fix_ms, ",".join(names))]
 
     def finish(self) -> list[tuple]:
         return []
@@ -187,7 +267,7 @@ class Decimate:
 
     def step(self, r) -> list[tuple]:
         self.last = r
-        if self.kept is None or NewMotion._far(self.kept, r) >= self.m or r.fix_ms - self.kept.fix_ms >= self.ms:
+        if self.kept is None or _metres(self.kept, r) >= self.m or r.fix_ms - self.kept.fix_ms >= self.ms:
             self.kept = r
             return [(r.device_id, r.id, r.fix_ms)]
         return []
@@ -196,14 +276,38 @@ class Decimate:
         return [(self.last.device_id, self.last.id, self.last.fix_ms)] if self.last is not None and self.last.id != self.kept.id else []
 
 
+ALGORITHMS = {"old": OldMotion, "new": NewMotion, "v2": MotionV2}
+
+
 def motion_events(df: DataFrame, algorithm: str = "old", **options) -> DataFrame:
-    kind = {"old": OldMotion, "new": NewMotion, "v2": MotionV2}[algorithm]
-    names = {"old": ["motion", "total_mm", "ignition"], "new": ["latitude", "longitude"], "v2": ["valid", "speed", "quality", "distance_mm"]}[algorithm]
-    return ordered_fold(df.select("device_id", "id", "fix_ms", *names), "device_id", ["fix_ms", "id"], lambda: kind(**options), EVENTS)
+    kind = ALGORITHMS[algorithm]
+    return ordered_fold(df.select("device_id", "id", "fix_ms", *kind.needs), "device_id", ["fix_ms", "id"], lambda: Told(kind(**options)), EVENTS)
+
+
+def motion_spans(df: DataFrame, trips: bool, fields: list[str], algorithm: str = "old", **options) -> DataFrame:
+    """device_id, start_id, start_ms, end_id, end_ms, max_speed, and start_ and end_ of fields: trips or stops of each device."""
+    kind = ALGORITHMS[algorithm]
+    names = list(dict.fromkeys(["motion", "speed", *kind.needs, *fields]))
+    types = dict(df.dtypes)
+    schema = "device_id long, start_id long, start_ms long, end_id long, end_ms long, max_speed double" + "".join(f", {x}_{f} {types[f]}" for f in fields for x in ("start", "end"))
+    return ordered_fold(df.select("device_id", "id", "fix_ms", *names), "device_id", ["fix_ms", "id"], lambda: Spans(partial(kind, **options), trips, fields), schema)
+
+
+#: Attributes that a position has where they are not null.
+KEYS = ["alarm", "fuel", "ignition", "driver_unique_id"]
+
+
+def judged(df: DataFrame, own: dict[str, Column] | None = None, exempt: Column | None = None, keys: list[str] = KEYS, **options) -> DataFrame:
+    """device_id, id, fix_ms, filters: what LastAccepted says of each position. own: filter name -> condition without look-back."""
+    named = F.array_join(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in (own or {}).items()]), ",")
+    has = F.filter(F.array(*[F.when(F.col(k).isNotNull(), k) for k in keys]), lambda x: x.isNotNull())
+    rows = df.select("device_id", "id", "fix_ms", "server_ms", "latitude", "longitude", named.alias("own"), has.alias("keys"), F.coalesce(exempt if exempt is not None else F.lit(False), F.lit(False)).alias("exempt"))
+    return ordered_fold(rows, "device_id", ["fix_ms", "id"], lambda: LastAccepted(**options), "device_id long, id long, fix_ms long, filters string")
 
 
 def accepted(df: DataFrame, **options) -> DataFrame:
-    return ordered_fold(df.select("device_id", "id", "fix_ms", "latitude", "longitude"), "device_id", ["fix_ms", "id"], lambda: LastAccepted(**options), "device_id long, id long, fix_ms long")
+    """Positions that judged() keeps."""
+    return judged(df, **options).where("filters = ''").drop("filters")
 
 
 def decimated(df: DataFrame, **options) -> DataFrame:

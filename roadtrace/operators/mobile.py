@@ -29,12 +29,13 @@ def classified(messages: DataFrame) -> DataFrame:
     return m.withColumn("outcome", F.when(F.row_number().over(w) == 1, "accepted").when(F.col("hash") == first, "duplicate").otherwise("rejected"))
 
 
+#: What an attempt that ended without a stage is told to lack, in the order in which stages are looked for. Fixed values.
+LACKS = [("RECEIVED", "TIMEOUT_NO_DELIVERY"), ("FGS_ACTIVE", "TIMEOUT_NO_FGS"), ("TRACKING_ACTIVE", "TIMEOUT_NO_TRACKING"), ("GPS_CONFIRMED", "TIMEOUT_NO_GPS")]
+
+
 def timeout_reason(stages: Column) -> Column:
-    """The first stage that an attempt didn't reach."""
-    reason = F.lit(None).cast("string")
-    for stage in reversed(STAGES):
-        reason = F.when(~F.array_contains(stages, stage), "NO_" + stage).otherwise(reason)
-    return reason
+    """Why an attempt with these stages (array<string>) ran out of time."""
+    return F.coalesce(*[F.when(~F.array_contains(stages, stage), reason) for stage, reason in LACKS], F.lit("TIMEOUT_NO_SERVER_ACK"))
 
 
 def telemetry_ring(df: DataFrame, value: str, size: int = 24) -> DataFrame:

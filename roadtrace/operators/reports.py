@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import KNOTS
 from ..sources.adapter import DAY, by_time
+from .folds import motion_spans
 
 
 def summary(df: DataFrame, by: list[str], max_speed: bool = True) -> DataFrame:
@@ -24,7 +25,7 @@ def summary(df: DataFrame, by: list[str], max_speed: bool = True) -> DataFrame:
     hours = F.col("end_hours") - F.col("start_hours")
     distance = (F.col("t1") - F.col("t0")) / 1000.0
     return g.select(
-        *by, "start_ms", "end_ms", distance.alias("distance"), "max_speed", F.when(F.col("f0") > F.col("f1"), F.col("f0") - F.col("f1")).otherwise(0.0).alias("spent_fuel"),
+        *by, "start_ms", "end_ms", distance.alias("distance"), "max_speed", (F.col("f0") - F.col("f1")).alias("spent_fuel"),
         "start_hours", "end_hours", F.round(F.when(hours > 0, distance * 1000 / hours * KNOTS["mps"]).otherwise(0.0), 6).alias("average_speed"),
     )
 
@@ -46,35 +47,88 @@ def paired(events: DataFrame, start_type: str, stop_type: str) -> DataFrame:
     return e.select("device_id", F.col("position_id").alias("start_id"), F.col("event_ms").alias("start_ms"), "end_id", "end_ms")
 
 
-def trips(df: DataFrame, events: DataFrame) -> DataFrame:
-    """Trips with distance, mean and top speed and fuel. The last open one ends at the device's last position."""
-    return _intervals(df, paired(events, "deviceMoving", "deviceStopped"))
+def check_period(low: int, high: int, limit_s: int) -> None:
+    """Refuses a range of over limit_s seconds; 0 allows any."""
+    if limit_s > 0 and high - low > limit_s * 1000:
+        raise ValueError("Time period exceeds the limit")
 
 
-def stops(df: DataFrame, events: DataFrame) -> DataFrame:
-    return _intervals(df, paired(events, "deviceStopped", "deviceMoving"))
+#: Ranges of more seconds take the fast path.
+FAST_S = 86_400
 
 
-def _intervals(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each position is in one interval of its device at most, so intervals are spread over positions by a forward fill."""
-    marks = spans.select("device_id", F.col("start_ms").alias("fix_ms"), F.lit(0).cast("long").alias("id"), F.struct("start_id", "start_ms", "end_id", "end_ms").alias("span"))
-    rows = df.select("device_id", "fix_ms", "id", "speed", "total_mm", "fuel", "hours_ms", F.lit(None).cast("struct<start_id:long,start_ms:long,end_id:long,end_ms:long>").alias("span")).union(
-        marks.select("device_id", "fix_ms", "id", F.lit(None).cast("double"), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("long"), "span")
-    )
-    rows = rows.withColumn("span", F.last("span", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    inside = rows.where((F.col("id") > 0) & F.col("span").isNotNull() & (F.col("span.end_ms").isNull() | (F.col("fix_ms") <= F.col("span.end_ms"))))
-    first, last = F.struct("fix_ms", "id"), F.struct("fix_ms", -F.col("id"))
-    g = inside.groupBy("device_id", F.col("span.start_ms").alias("start_ms")).agg(
-        F.max("fix_ms").alias("end_ms"), F.max("speed").alias("max_speed"), F.min_by("total_mm", first).alias("t0"), F.max_by("total_mm", last).alias("t1"),
-        F.min_by("fuel", first).alias("f0"), F.max_by("fuel", last).alias("f1"), F.min_by("hours_ms", first).alias("h0"), F.max_by("hours_ms", last).alias("h1"),
+def spent_fuel(df: DataFrame, capacity: str | None = None) -> Column:
+    """Of start_ and end_ columns: fuel used, else the drop of fuel, else that of its level in percent of the capacity; else 0.
+    The first that both ends have counts, also where it is negative."""
+    rules = [("fuel_used", lambda a, b: b - a), ("fuel", lambda a, b: a - b)] + ([("fuel_level", lambda a, b: (a - b) / 100 * F.col(capacity))] if capacity else [])
+    known = [rule(F.col(f"start_{c}"), F.col(f"end_{c}")) for c, rule in rules if f"start_{c}" in df.columns]
+    return F.coalesce(*known, F.lit(0.0))
+
+
+def metres(df: DataFrame, ignore_odometer: bool = False) -> Column:
+    """Of start_ and end_ columns: the odometers' difference where both are there and not 0, else that of the total distance."""
+    total = (F.col("end_total_mm") - F.col("start_total_mm")) / 1000.0
+    if ignore_odometer or "start_odometer" not in df.columns:
+        return total
+    return F.when((F.col("start_odometer") != 0) & (F.col("end_odometer") != 0), F.col("end_odometer") - F.col("start_odometer")).otherwise(total)
+
+
+FIELDS = ["total_mm", "odometer", "fuel_used", "fuel", "fuel_level", "hours_ms", "driver_unique_id", "latitude", "longitude"]
+
+
+def trips(spans: DataFrame, ignore_odometer: bool = False, capacity: str | None = None) -> DataFrame:
+    """Trips with distance, mean and top speed, fuel and driver, from spans with start_ and end_ of FIELDS as far as they are known."""
+    ms, d = F.col("end_ms") - F.col("start_ms"), metres(spans, ignore_odometer)
+    return spans.select(
+        "device_id", "start_id", "start_ms", "end_id", "end_ms", ms.alias("duration"), d.alias("distance"), F.round(F.when(ms > 0, d * 1000 / ms * KNOTS["mps"]).otherwise(0.0), 6).alias("average_speed"),
+        "max_speed", spent_fuel(spans, capacity).alias("spent_fuel"), *([F.coalesce("start_driver_unique_id", "end_driver_unique_id").alias("driver")] if "start_driver_unique_id" in spans.columns else []),
     )
-    ms, metres = F.col("end_ms") - F.col("start_ms"), (F.col("t1") - F.col("t0")) / 1000.0
-    return g.select(
-        "device_id", "start_ms", "end_ms", ms.alias("duration"), metres.alias("distance"), F.round(F.when(ms > 0, metres * 1000 / ms * KNOTS["mps"]).otherwise(0.0), 6).alias("average_speed"),
-        "max_speed", F.when(F.col("f0") > F.col("f1"), F.col("f0") - F.col("f1")).otherwise(0.0).alias("spent_fuel"), (F.col("h1") - F.col("h0")).alias("engine_hours"),
+
+
+def stops(spans: DataFrame, ignore_odometer: bool = False, capacity: str | None = None) -> DataFrame:
+    """Stops with their duration, engine hours and fuel."""
+    return spans.select(
+        "device_id", "start_id", "start_ms", "end_id", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration"),
+        (F.col("end_hours_ms") - F.col("start_hours_ms")).alias("engine_hours"), spent_fuel(spans, capacity).alias("spent_fuel"),
     )
 
 
+def slow_spans(df: DataFrame, is_trips: bool, algorithm: str = "old", **options) -> DataFrame:
+    """Spans by the motion of the positions themselves."""
+    return motion_spans(df, is_trips, [f for f in FIELDS if f in df.columns], algorithm, **options)
+
+
+def fast_spans(df: DataFrame, events: DataFrame, is_trips: bool) -> DataFrame:
+    """Spans between stored events deviceMoving and deviceStopped. A device whose first position moves has one open from there,
+    trips and stops alike; what is open at the end ends at the last position. The top speed stays 0.
+
+    Each event brings its position along by a join on the id, so positions are neither sorted nor windowed.
+    """
+    fields = [f for f in FIELDS if f in df.columns]
+    at = df.select("device_id", "id", "fix_ms", "motion", *fields)
+    first, last = F.struct("fix_ms", "id"), F.struct("fix_ms", -F.col("id"))
+    row = F.struct("id", "fix_ms", *fields)
+    edge = at.groupBy("device_id").agg(F.min_by(F.struct(row.alias("row"), "motion"), first).alias("a"), F.max_by(row, last).alias("z"))
+    marks = events.where(F.col("type").isin("deviceMoving", "deviceStopped")).select(
+        "device_id", F.col("position_id").alias("id"), "event_ms", ((F.col("type") == "deviceMoving") == F.lit(is_trips)).alias("opens"))
+    known = marks.join(at.drop("device_id"), "id").select("device_id", F.col("event_ms").alias("ms"), "opens", F.col("id").alias("key"), row.alias("row"))
+    known = known.union(edge.where("a.motion").select("device_id", F.lit(-1).cast("long"), F.lit(True), F.lit(-1).cast("long"), "a.row"))
+    w = Window.partitionBy("device_id").orderBy("ms", "key")
+    known = known.withColumns({"next": F.lead("opens").over(w), "end": F.lead("row").over(w)}).where(F.col("opens") & ~F.coalesce("next", F.lit(False)))
+    spans = known.join(edge.select("device_id", "z"), "device_id").withColumn("end", F.coalesce("end", "z"))
+    both = [F.col(f"{c}.{f}").alias(f"{n}_{f}") for f in fields for c, n in (("row", "start"), ("end", "end"))]
+    return spans.select("device_id", F.col("row.id").alias("start_id"), F.col("row.fix_ms").alias("start_ms"), F.col("end.id").alias("end_id"), F.col("end.fix_ms").alias("end_ms"), F.lit(0.0).alias("max_speed"), *both)
+
+
+def spans(df: DataFrame, events: DataFrame, low: int, high: int, is_trips: bool, limit_s: int = 0, fast_s: int = FAST_S, algorithm: str = "old", **options) -> DataFrame:
+    """Spans of a range: by the stored events where it is longer than fast_s, else by the positions."""
+    check_period(low, high, limit_s)
+    rows = df.where(F.col("fix_ms").between(low, high))
+    if high - low > fast_s * 1000:
+        return fast_spans(rows, events.where(F.col("event_ms").between(low, high)), is_trips)
+    return slow_spans(rows, is_trips, algorithm, **options)
+
+
 def geofence_visits(events: DataFrame) -> DataFrame:
     """Enter to exit per device and geofence; a later enter replaces an open one, and unclosed ones are left out."""
     w = Window.partitionBy("device_id", "geofence_id").orderBy("event_ms", "position_id", "type")

@@ -1,0 +1,3 @@
+"""The queries: catalog first, then the modules that add to it."""
+
+from . import catalog, motion  # noqa: F401

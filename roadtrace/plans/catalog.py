@@ -118,7 +118,6 @@ for _kind, _ids in (("circle", (1, 2, 3)), ("polygon", (4, 5)), ("polyline", (6,
     by(f"geofence_{_kind}", f"SELECT id, geofence_id FROM t WHERE geofence_id IN ({', '.join(map(str, _ids))})", lambda s, d, ids=_ids: pipeline.tagged(pos(s, d), adapter.geofences(s).where(F.col("geofence_id").isin(*ids))).select("id", "geofence_id"), TAGS)
 by("geofence_tagging", "SELECT id, device_id, count(*) AS n, min(geofence_id) AS first_id FROM t GROUP BY ALL", lambda s, d: pipeline.tagged(pos(s, d), adapter.geofences(s)).groupBy("id", "device_id").agg(F.count("*").alias("n"), F.min("geofence_id").alias("first_id")), TAGS)
 by("geofence_altitude", "SELECT id FROM t JOIN p USING (id) WHERE geofence_id = 2 AND altitude BETWEEN 20 AND 60", lambda s, d: pipeline.tagged(pos(s, d).where("altitude between 20 and 60"), adapter.geofences(s).where("geofence_id = 2")).select("id"), TAGS)
-by("wgs84_to_gcj02", None, lambda s, d: pos(s, d).select("id", geo.gcj02(F.col("latitude"), F.col("longitude") + 120).alias("g")).select("id", F.round("g.lat", 6).alias("lat"), F.round("g.lon", 6).alias("lon")))
 
 # Pipeline
 by("time_rollover", f"SELECT id, CAST(o + CASE WHEN {NOW} - o - {pipeline.GPS_CYCLE_MS - pipeline.NINETY_DAYS_MS} > 0 THEN ceil(({NOW} - o - {pipeline.GPS_CYCLE_MS - pipeline.NINETY_DAYS_MS}) / {pipeline.GPS_CYCLE_MS}) * {pipeline.GPS_CYCLE_MS} ELSE 0 END AS BIGINT) AS ms FROM (SELECT id, fix_ms - (id % 3) * {pipeline.GPS_CYCLE_MS} AS o FROM p)", lambda s, d: pos(s, d).select("id", pipeline.rollover(F.col("fix_ms") - F.col("id") % 3 * pipeline.GPS_CYCLE_MS, NOW).cast("long").alias("ms")))
@@ -146,21 +145,6 @@ by("filter_accuracy_static", "SELECT id FROM p WHERE NOT (accuracy > 100 OR spee
 by("filter_future_past", f"SELECT id FROM p WHERE NOT (fix_ms > {NOW} OR fix_ms < {NOW - 5 * HOUR})", lambda s, d: _f(s, d, "future", "past"))
 
 
-def _accepted_sql(keep: str) -> tuple[str, str]:
-    """Steps through each device's rows with the last accepted one."""
-    far_ = sql_haversine("a.la", "a.lo", "r.latitude", "r.longitude")
-    ok = keep.replace("DIST", far_).replace("DT", "(r.fix_ms - a.ms)")
-    day = "r.fix_ms // 86400000"
-    return (f"r AS (SELECT *, row_number() OVER {W} AS rn FROM p)", f"""a AS (SELECT device_id, rn, id, true AS ok, fix_ms AS ms, latitude AS la, longitude AS lo, fix_ms // 86400000 AS day, 1 AS n FROM r WHERE rn = 1 UNION ALL
-  SELECT r.device_id, r.rn, r.id, {ok}, CASE WHEN {ok} THEN r.fix_ms ELSE a.ms END, CASE WHEN {ok} THEN r.latitude ELSE a.la END, CASE WHEN {ok} THEN r.longitude ELSE a.lo END,
-    {day}, CASE WHEN {day} = a.day THEN a.n ELSE 0 END + CASE WHEN {ok} THEN 1 ELSE 0 END FROM a JOIN r ON r.device_id = a.device_id AND r.rn = a.rn + 1)""")
-
-
-for _name, _keep, _opts in (
-    ("filter_max_speed", "NOT (DT > 0 AND DIST / (DT / 1000.0) * 1.94384 > 3)", {"max_speed_kn": 3}), ("filter_min_period", "NOT (DT > 0 AND DT < 400000)", {"min_period_s": 400}),
-    ("filter_distance", "NOT (DIST < 150)", {"min_distance_m": 150}), ("filter_duplicate", "DT <> 0", {"duplicates": True}), ("filter_daily_limit", "NOT (CASE WHEN r.fix_ms // 86400000 = a.day THEN a.n ELSE 0 END >= 20)", {"daily_limit": 20}),
-):
-    by(_name, "SELECT device_id, id FROM a WHERE ok", lambda s, d, o=_opts: folds.accepted(pos(s, d), **o).select("device_id", "id"), *_accepted_sql(_keep))
 by("mobile_quality_verdict", f"""SELECT id, CASE WHEN lag(latitude) OVER {W} = latitude AND lag(longitude) OVER {W} = longitude AND speed = 0 AND lag(speed) OVER {W} = 0 AND fix_ms - lag(fix_ms) OVER {W} BETWEEN 0 AND 120000 THEN 'DUPLICATE'
   WHEN accuracy > 80 OR (fix_ms - lag(fix_ms) OVER {W} > 0 AND round(distance_mm / (fix_ms - lag(fix_ms) OVER {W}) * 1.94384, 6) > 140) THEN 'HIDE' ELSE 'ACCEPT' END AS verdict FROM d""", lambda s, d: pipeline.quality(far(s, d)).select("id", "verdict"), SQL_DISTANCE)
 
@@ -197,33 +181,11 @@ by("ev_inactive", f"SELECT device_id, {NOW} - fix_ms AS silent_ms FROM l WHERE {
 by("ev_presence", f"SELECT device_id, CASE WHEN {NOW} - fix_ms > 600000 THEN 'OFFLINE' WHEN {NOW} - fix_ms > 300000 THEN 'SUSPECT' ELSE 'ONLINE' END AS state FROM l", lambda s, d: ev.presence(request.latest(pos(s, d)), NOW), STALE)
 by("ev_telemetry", f"SELECT {_e}, fuel FROM (SELECT *, lag(fuel) OVER {W} AS b FROM p) WHERE b > 10 AND fuel <= 10", lambda s, d: ev.battery_low(pos(s, d)))
 
-OLD_MOTION = (f"r AS (SELECT *, row_number() OVER {W} AS rn, lag(id) OVER {W} AS pid, lag(fix_ms) OVER {W} AS pms FROM d)", """m AS (SELECT device_id, CAST(1 AS BIGINT) AS rn, false AS streak, motion AS state, CASE WHEN motion THEN id END AS mid, CASE WHEN motion THEN fix_ms END AS mms, CASE WHEN motion THEN total_mm END AS mt,
-    CAST(NULL AS VARCHAR) AS type, CAST(NULL AS BIGINT) AS position_id, CAST(NULL AS BIGINT) AS event_ms FROM r WHERE rn = 1 UNION ALL
-  SELECT device_id, rn, CASE WHEN g THEN false WHEN due THEN motion ELSE streak END, CASE WHEN g THEN false ELSE motion END,
-    CASE WHEN g OR due OR (state <> motion AND streak = motion) THEN NULL WHEN state <> motion THEN id ELSE mid END, CASE WHEN g OR due OR (state <> motion AND streak = motion) THEN NULL WHEN state <> motion THEN fix_ms ELSE mms END,
-    CASE WHEN g OR due OR (state <> motion AND streak = motion) THEN NULL WHEN state <> motion THEN total_mm ELSE mt END,
-    CASE WHEN g THEN 'deviceStopped' WHEN due AND motion THEN 'deviceMoving' WHEN due THEN 'deviceStopped' END, CASE WHEN g THEN pid WHEN due THEN mid END, CASE WHEN g THEN pms WHEN due THEN mms END
-  FROM (SELECT r.device_id, r.rn, r.id, r.fix_ms, r.total_mm, r.motion, r.pid, r.pms, m.streak, m.state, m.mid, m.mms, m.mt, m.streak AND r.fix_ms - r.pms >= 900000 AS g,
-      m.state = r.motion AND m.mid IS NOT NULL AND (r.fix_ms - m.mms >= 300000 OR (r.motion AND r.total_mm - m.mt >= 500000)) AND NOT (m.streak AND r.fix_ms - r.pms >= 900000) AS due
-    FROM m JOIN r ON r.device_id = m.device_id AND r.rn = m.rn + 1))""", "me AS (SELECT device_id, type, position_id, event_ms FROM m WHERE type IS NOT NULL)")
-by("ev_motion_old", "SELECT device_id, type, position_id, event_ms FROM me", lambda s, d: folds.motion_events(far(s, d)), SQL_DISTANCE, *OLD_MOTION)
-by("ev_motion_new", None, lambda s, d: folds.motion_events(pos(s, d), "new"))
-by("ev_motion_v2", None, lambda s, d: folds.motion_events(far(s, d).withColumns({"valid": F.lit(True), "quality": F.when(F.col("accuracy") > 80, "POOR").otherwise("GOOD")}), "v2"))
-by("decimation", None, lambda s, d: folds.decimated(pos(s, d)))
-
 # Reports
 by("rep_route", f"SELECT id, device_id, fix_ms, latitude, longitude, speed FROM p WHERE fix_ms BETWEEN {LOW} AND {HIGH} AND device_id IN (SELECT device_id FROM perm WHERE user_id = 2)", lambda s, d: hierarchy.permitted(request.in_range(pos(s, d), LOW, HIGH), perms(s, d), 2).select("id", "device_id", "fix_ms", "latitude", "longitude", "speed"), ANCESTORS)
 by("rep_events", f"SELECT {_e}, unnest(string_split(alarm, ',')) AS alarm_type FROM p WHERE alarm IS NOT NULL AND fix_ms BETWEEN {LOW} AND {HIGH}", lambda s, d: ev.alarms(request.in_range(pos(s, d), LOW, HIGH)))
-_pair = lambda a, b: f"""pr AS (SELECT device_id, event_ms AS start_ms, e AS end_ms FROM (SELECT *, lead(type) OVER w AS n, lead(event_ms) OVER w AS e FROM me WINDOW w AS (PARTITION BY device_id ORDER BY event_ms, position_id)) WHERE type = '{a}' AND (n IS NULL OR n = '{b}'))"""
-INTERVALS = """SELECT device_id, start_ms, end_ms, end_ms - start_ms AS duration, distance, round(CASE WHEN end_ms > start_ms THEN distance * 1000 / (end_ms - start_ms) * 1.94384 ELSE 0 END, 6) AS average_speed, max_speed, spent_fuel, engine_hours FROM (
-  SELECT pr.device_id, pr.start_ms, max(h.fix_ms) AS end_ms, (arg_max(total_mm, fix_ms) - arg_min(total_mm, fix_ms)) / 1000 AS distance, max(speed) AS max_speed, greatest(arg_min(fuel, fix_ms) - arg_max(fuel, fix_ms), 0) AS spent_fuel, arg_max(hours_ms, fix_ms) - arg_min(hours_ms, fix_ms) AS engine_hours
-  FROM pr JOIN h ON h.device_id = pr.device_id AND h.fix_ms >= pr.start_ms AND (pr.end_ms IS NULL OR h.fix_ms <= pr.end_ms) AND h.fix_ms < coalesce((SELECT min(q.start_ms) FROM pr q WHERE q.device_id = pr.device_id AND q.start_ms > pr.start_ms), 9e18) GROUP BY 1, 2)"""
-by("rep_trips_slow", INTERVALS, lambda s, d: reports.trips(full(s, d), folds.motion_events(far(s, d))), SQL_DISTANCE, HOURS_SQL, *OLD_MOTION, _pair("deviceMoving", "deviceStopped"))
-by("rep_stops_slow", INTERVALS, lambda s, d: reports.stops(full(s, d), folds.motion_events(far(s, d))), SQL_DISTANCE, HOURS_SQL, *OLD_MOTION, _pair("deviceStopped", "deviceMoving"))
-by("rep_trips_fast", "SELECT device_id, start_ms, end_ms FROM pr", lambda s, d: reports.paired(folds.motion_events(far(s, d)), "deviceMoving", "deviceStopped").select("device_id", "start_ms", "end_ms"), SQL_DISTANCE, *OLD_MOTION, _pair("deviceMoving", "deviceStopped"))
-by("rep_stops_fast", "SELECT device_id, start_ms, end_ms FROM pr", lambda s, d: reports.paired(folds.motion_events(far(s, d)), "deviceStopped", "deviceMoving").select("device_id", "start_ms", "end_ms"), SQL_DISTANCE, *OLD_MOTION, _pair("deviceStopped", "deviceMoving"))
 _summary = lambda by_, src: f"""SELECT {by_}, start_ms, end_ms, distance, max_speed, spent_fuel, start_hours, end_hours, round(CASE WHEN end_hours > start_hours THEN distance * 1000 / (end_hours - start_hours) * 1.94384 ELSE 0 END, 6) AS average_speed FROM (
-  SELECT {by_}, min(fix_ms) AS start_ms, max(fix_ms) AS end_ms, (arg_max(total_mm, fix_ms) - arg_min(total_mm, fix_ms)) / 1000 AS distance, max(speed) AS max_speed, greatest(arg_min(fuel, fix_ms) - arg_max(fuel, fix_ms), 0) AS spent_fuel, arg_min(hours_ms, fix_ms) AS start_hours, arg_max(hours_ms, fix_ms) AS end_hours FROM {src} GROUP BY {by_})"""
+  SELECT {by_}, min(fix_ms) AS start_ms, max(fix_ms) AS end_ms, (arg_max(total_mm, fix_ms) - arg_min(total_mm, fix_ms)) / 1000 AS distance, max(speed) AS max_speed, arg_min(fuel, fix_ms) - arg_max(fuel, fix_ms) AS spent_fuel, arg_min(hours_ms, fix_ms) AS start_hours, arg_max(hours_ms, fix_ms) AS end_hours FROM {src} GROUP BY {by_})"""
 by("rep_summary", _summary("device_id", "h"), lambda s, d: reports.summary(full(s, d), ["device_id"]), SQL_DISTANCE, HOURS_SQL)
 by("rep_summary_daily", _summary("device_id, day", f"(SELECT *, unnest(CASE WHEN fix_ms % {DAY} = 0 THEN [fix_ms // {DAY}, fix_ms // {DAY} - 1] ELSE [fix_ms // {DAY}] END) AS day FROM h)"), lambda s, d: reports.daily_summary(full(s, d)), SQL_DISTANCE, HOURS_SQL)
 by("rep_geofences", "SELECT device_id, geofence_id, event_ms AS start_ms, e AS end_ms FROM (SELECT *, lead(type) OVER w AS n, lead(event_ms) OVER w AS e FROM ge WINDOW w AS (PARTITION BY device_id, geofence_id ORDER BY event_ms, position_id, type)) WHERE type = 'geofenceEnter' AND n = 'geofenceExit'", lambda s, d: reports.geofence_visits(geo_events(s, d)), TAGS, SETS, GEO_EVENTS)
@@ -258,9 +220,9 @@ by("rep_admin_alerts", f"""SELECT device_id, fix_ms AS ts, 'silence' AS kind, CA
 by("rep_statistics_daily", "SELECT day, CAST(sum(n) AS BIGINT) AS messages, count(*) AS devices, " + ", ".join(f"count(*) FILTER (protocol = '{x}') AS devices_{x}" for x in ("osmand", "h02", "mobile")) + f" FROM (SELECT fix_ms // {DAY} AS day, device_id, count(*) AS n, arg_max(protocol, (server_ms - {START_MS}) * 10000000 + id) AS protocol FROM p GROUP BY 1, 2) GROUP BY 1", lambda s, d: reports.daily_statistics(pos(s, d)))
 
 
-@query("rep_notification_routing", "SELECT perm.user_id, n.nid AS notification_id, a.position_id, unnest(string_split(n.via, ',')) AS notificator FROM (SELECT device_id, id AS position_id, unnest(string_split(alarm, ',')) AS alarm_type FROM p WHERE alarm IS NOT NULL AND device_id < 10) a JOIN (VALUES (1, 'sos', 'web,mail'), (2, 'fault,tow', 'sms')) n(nid, al, via) ON list_contains(string_split(n.al, ','), a.alarm_type) JOIN perm ON perm.device_id = a.device_id", ANCESTORS)
+@query("rep_notification_routing", "SELECT perm.user_id, n.nid AS notification_id, a.position_id, unnest(string_split(n.via, ',')) AS notificator FROM (SELECT device_id, id AS position_id, unnest(string_split(alarm, ',')) AS alarm_type FROM p WHERE alarm IS NOT NULL) a JOIN (VALUES (1, 'sos', 'web,mail'), (2, 'fault,tow', 'sms')) n(nid, al, via) ON list_contains(string_split(n.al, ','), a.alarm_type) JOIN perm ON perm.device_id = a.device_id", ANCESTORS)
 def _(s, d):
-    return _routed(s, d, pos(s, d).where("device_id < 10"))
+    return _routed(s, d, pos(s, d))
 
 
 @query("rep_notification_routing_all")
@@ -289,10 +251,8 @@ def _(s, d):
     return mobile.classified(m).select("id", "outcome")
 
 
-by("recovery_timeout_reason", None, lambda s, d: pos(s, d).select("id", mobile.timeout_reason(F.slice(F.array(*map(F.lit, mobile.STAGES)), 1, (F.col("id") % 6).cast("int"))).alias("reason")))
 by("rollout_bucket", "SELECT id, CAST('0x' || substr(sha256(name), 1, 4) AS INT) % 100 AS bucket FROM dev", lambda s, d: adapter.devices(s, d).select("id", text.rollout_bucket(F.col("name")).alias("bucket")))
 by("telemetry_ring", "SELECT device_id, array_to_string(list(CAST(fuel AS DECIMAL(4, 1)) ORDER BY fix_ms, id), ',') AS ring FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY fix_ms DESC, id DESC) <= 24) GROUP BY 1", lambda s, d: mobile.telemetry_ring(pos(s, d), "fuel"))
-by("throttle", None, lambda s, d: mobile.throttled(pos(s, d), 600))
 by("health_snapshot", f"SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'event_type' WHEN NOT event_id * 2000 + {START_MS} BETWEEN {NOW - 7 * DAY} AND {NOW + 300_000} THEN 'ts' END AS reason, greatest(event_id % 9 - 4, 0) AS outbox FROM events", lambda s, d: mobile.health(adapter.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("event_id") * 2000 + START_MS).alias("ts"), (F.col("event_id") % 9 - 4).alias("outbox")), NOW, ["click", "view"]).select("id", "reason", "outbox"))
 
 # Egress
@@ -301,7 +261,6 @@ by("gpx_export", "SELECT device_id, id, '<trkpt lat=\"' || printf('%.5f', latitu
 by("kml_coordinates", "SELECT device_id, id, printf('%.5f,%.5f,%.1f', longitude, latitude, altitude) AS coord FROM p", lambda s, d: egress.kml_coordinates(pos(s, d)))
 by("kafka_payload", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"id\":' || id || ',\"protocol\":\"' || protocol || '\"}' AS value FROM p", lambda s, d: egress.payload(pos(s, d), "device_id", ["id", "protocol"]))
 by("url_forward", "SELECT id, 'http://x/?id=' || device_id || '&a=' || coalesce(replace(alarm, ',', '%2C'), '') || '&s=' || CASE WHEN alarm IS NOT NULL THEN '0xF841' WHEN speed < 1 THEN '0xF020' ELSE '0xF11C' END AS url FROM p", lambda s, d: egress.templated(pos(s, d), "http://x/?id={device_id}&a={alarm}&s={statusCode}", ["device_id", "alarm"]))
-by("gprmc", None, lambda s, d: egress.gprmc(pos(s, d)))
 
 # Joins, guards and counts beside the pipeline
 def _open_hours(s):
