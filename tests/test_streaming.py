@@ -39,5 +39,17 @@ def test_once(spark, tmp_path):
 
 
 def test_inactivity(spark, tmp_path):
-    df, out = run(spark, tmp_path, live.inactivity)
-    assert out.count() > 0
+    """Sessions of two minutes close once the watermark, ten minutes behind the last row that has been seen, has passed them."""
+    df, out = run(spark, tmp_path, lambda s: live.inactivity(s, "2 minutes"))
+    rows = {}
+    for r in df.orderBy("device_id", "fix_ms").collect():
+        ends = rows.setdefault(r.device_id, [])
+        if ends and r.fix_ms - ends[-1] < 120_000:
+            ends[-1] = r.fix_ms
+        else:
+            ends.append(r.fix_ms)
+    last = max(r.fix_ms for r in df.collect())
+    before = max(r.fix_ms for r in df.where("id * 3 < 2002").collect())  # when the last file came
+    closed = lambda mark: {(d, t) for d, ends in rows.items() for t in ends if t + 120_000 < mark - 600_000}
+    got = {tuple(r) for r in out.collect()}
+    assert got and closed(before) <= got <= closed(last + 1)
