@@ -1,3 +1,6 @@
+import os
+import random
+import time
 from collections import Counter, defaultdict
 
 from roadtrace.llm import html_text, sharding, url_filter
@@ -17,14 +20,66 @@ def test_html(frame):
     assert html_text.extract(frame(rows, PAGE).where("false")).count() == 0
 
 
-def test_longest_common_subsequence():
-    a, b = [1, 2, 3, 2, 4, 1], [2, 4, 3, 1, 2, 1]
-    best = len(html_text.shared(a, b))
-    table = [[0] * 7 for _ in range(7)]
+def common_lines(a, b):
+    """Indices of a in one longest common subsequence, and its length, by the whole table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert best == table[6][6]
+    return table[-1][-1]
+
+
+def test_longest_common_subsequence():
+    r = random.Random(1)
+    for _ in range(2000):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(12))] for _ in range(2))
+        got = sorted(html_text.shared(a, b))
+        rest = iter(b)
+        assert len(got) == common_lines(a, b) and all(any(a[i] == y for y in rest) for i in got)
+    began = time.perf_counter()
+    assert len(html_text.shared([1] * 20_000, [1] * 15_000)) == 15_000 and len(html_text.shared([1, 2] * 10_000, [2, 2, 1] * 7000)) > 10_000
+    assert [len(html_text.lines(x)) for x in ("<a " * 200_000, "<div>" * 50_000 + "</section>" * 50_000, "<p>same</p>" * 20_000)] == [1, 0, 20_000]
+    assert time.perf_counter() - began < 30
+
+
+def test_html_pairs_are_brute_force(frame):
+    """Pages outside <article>: the nearest URL of other lines, by plain comparison, takes its lines away."""
+    r = random.Random(4)
+    site = [f"Menu {i}" for i in range(6)]
+    pages = []
+    for i in range(40):
+        own = [f"Story {i} part {k}" for k in range(r.randrange(1, 5))]
+        body = site[:3] + own + site[3:] if i % 9 else site[:3] + ["Story twin"] * 4 + site[3:]
+        pages.append((i, f"http://h.io/{'ab'[i % 2]}/{r.randrange(1000):03d}/{i}", "".join(f"<p>{x}</p>" for x in body), body))
+    got = {x.page_id: x.text for x in html_text.extract(frame([p[:3] for p in pages], PAGE)).collect()}
+    first = {}
+    for i, url, _, body in sorted(pages, key=lambda p: p[1]):
+        first.setdefault(tuple(body), url)
+    order = sorted(first.items(), key=lambda x: x[1])
+    prefix = lambda a, b: len(os.path.commonprefix([a, b]))
+    for i, _, _, body in pages:
+        k = next(k for k, (b, _) in enumerate(order) if list(b) == body)
+        near = sorted([k + d for d in (-1, 1) if 0 <= k + d < len(order)], key=lambda j: (-prefix(order[k][1], order[j][1]), j))
+        want = body
+        for j in near:
+            other = list(order[j][0])
+            if common_lines(body, other) < 0.9 * len(body):
+                gone = html_text.shared([hash(x) for x in body], [hash(x) for x in other])
+                want = [x for m, x in enumerate(body) if m not in gone]
+                break
+        assert got[i] == " ".join(want), i
+
+
+def test_html_twins_and_articles(frame):
+    story, menu = "<p>A long story.</p><p>It goes on.</p>", "<div>Site</div>"
+    article = lambda t, more="": f"{menu}<article><p>{t}</p><p>Quoted by all.</p></article>{more}"
+    rows = [
+        (1, "http://t.io/a/1", story), (2, "http://t.io/a/2", story), (3, "http://one.io/x", menu + story),
+        (4, "http://q.io/n/1", article("First.", "<p>Only here.</p>")), (5, "http://q.io/n/2", article("Second.")), (6, "http://q.io/n/3", article("Third.")), (7, "http://s.io/1", article("Alone.", "<p>Beside.</p>")),
+    ]
+    got = {x.page_id: x.text for x in html_text.extract(frame(rows, PAGE)).collect()}
+    assert got[1] == got[2] == "A long story. It goes on." and got[3] == "Site A long story. It goes on."
+    assert got[4] == "First. Quoted by all. Only here." and got[5] == "Second. Quoted by all." and got[6] == "Third. Quoted by all." and got[7] == "Alone. Quoted by all."
 
 
 def test_url_rules_and_tree(frame):
@@ -49,6 +104,22 @@ def test_url_tree_backs_off(frame):
     assert [r.verdict for r in sorted(got)] == ["block", "block", "allow", "block", "allow", "allow", "allow"]
 
 
+def test_deep_paths_differ_in_their_last_segment(frame):
+    deep = "/".join("abcdefghij")
+    labels = frame([("h.io", f"/{deep}/spam", 1)] * 30 + [("h.io", f"/{deep}/news", 0)] * 30, "host string, path string, bad int")
+    urls = frame([(1, f"http://h.io/{deep}/spam", "k", 0.5), (2, f"http://h.io/{deep}/news", "k", 0.5)], "page_id long, url string, x_key string, x_share double")
+    got = url_filter.verdicts(urls, labels=labels).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow"] and {(r.x_key, r.x_share) for r in got} == {("k", 0.5)}
+
+
+def test_written_shards(frame, tmp_path):
+    docs = frame([(i, f"t{i}") for i in range(200)])
+    sharding.write_shards(docs, str(tmp_path / "s"), [1.0, 2.0])
+    back = docs.sparkSession.read.parquet(str(tmp_path / "s"))
+    want = {r.doc_id: r.shard for r in sharding.assign(docs, [1.0, 2.0], [1.0, 2.0]).collect()}
+    assert {r.doc_id: r.shard for r in back.collect()} == want and set(want.values()) == {0, 1}
+
+
 def test_shards(frame):
     docs = frame([(i, "t" * (i % 50), 1) for i in range(3000)] + [(7, "t" * 7, 1), (None, None, 1), (None, "é", 1)], "doc_id long, text string, shard int")
     rows = sharding.assign(docs, [1.0] * 16, [1.0] * 17).collect()

@@ -40,3 +40,25 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_leave_extra_columns_alone(spark):
+    """Every name that an operator uses for itself, as an extra column of documents."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["score", "predicted", "m_email", "m_ip", "m_iban", "x_email", "x_all", "x_score", "x_predicted", "x_h_email", "xx_g_ip", "blob", "rep", "set", "sketch", "component_id", "kept", "item_id", "k", "t", "n", "all"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    odd = spark.createDataFrame([(None, None), (7, None), (7, ""), (None, "only one of these")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'web' as source", "0 as n_chars", *[f"'{n}' as {n}" for n in names])
+    docs = docs.limit(60).union(odd.select([odd[c].cast(t).alias(c) for c, t in docs.dtypes]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert 0 < len(rows) <= 64 and all(r[n] == n for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 64
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(None, item), (None, "clean text"), (3, item), (3, "another clean one")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.decontamination_stage(spark, docs, SF).collect()) == ["another clean one", "clean text"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from roadtrace.llm import pii, secrets
 from roadtrace.llm.common import spans_text
@@ -49,6 +50,56 @@ def test_pii_method(frame):
     assert r[1].m_card[0].score > r[1].m_card[1].score
 
 
+def test_context_decides_added_spans(frame):
+    r = pii.find(frame([(1, "ssn 123-45-6789, 123-45-6789"), (2, "Social: 123-45-6789 123-456-789")])).orderBy("doc_id").collect()
+    assert [[(s.start, s.score) for s in x.m_ssn] for x in r] == [[(4, 0.5)], [(8, 0.5)]]
+
+
+def plain_redaction(text):
+    spans = sorted((a, k, b) for k, kind in enumerate(pii.BASE) for a, b in found(BASE, text)[kind])
+    out, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{pii.BASE[k].upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_is_brute_force(frame):
+    texts = [t for t in TEXTS if t and "iban" not in t] + ["a@b.co, 10.0.0.1 " * 700, "+49 30 901820 10.0.0.1 4111 1111 1111 1111", "4111111111111111@b.co+4930901820"]
+    rows = pii.redact(frame([(i, t, "e", "a") for i, t in enumerate(texts)], "doc_id long, text string, m_email string, x_ip string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {i: plain_redaction(t) for i, t in enumerate(texts)}
+    assert {(r.m_email, r.x_ip) for r in rows} == {("e", "a")} and list(rows[0].asDict()) == ["doc_id", "text", "m_email", "x_ip"]
+
+
+def test_long_texts(frame):
+    texts = {1: " ".join(map(str, range(200_000))), 2: "a@b.co " * 40_000, 3: "x" * 1_000_000, 4: "token: " * 60_000, 5: "-----BEGIN PRIVATE KEY-----\n" * 5000, 6: "0123456789abcdef " * 20_000}
+    df = frame(list(texts.items()))
+    began = time.perf_counter()
+    n = {r.doc_id: (r.e, r.h) for r in secrets.scan(pii.find(df)).selectExpr("doc_id", "size(m_email) e", "size(m_hex) h").collect()}
+    assert (n[2][0], n[6][1], n[1][0], n[3]) == (40_000, 20_000, 0, (0, 0))
+    assert {r.doc_id: r.n for r in pii.redact(df).selectExpr("doc_id", "length(text) n").collect()}[2] == 8 * 40_000
+    assert time.perf_counter() - began < 120
+
+
+def test_ledger_over_three_scans(frame, spark, tmp_path):
+    path, versions = str(tmp_path / "ledger"), "doc_id long, text string, blob string"
+    blobs = lambda: spark.read.parquet(path).count()
+    first = secrets.scan_to(frame([(1, "token=" + "a" * 12, "b"), (2, None, "b")], versions), path)
+    assert {r.doc_id: len(r.m_assign) for r in first.collect()} == {1: 1, 2: 0} and blobs() == 2
+    second = secrets.scan_to(frame([(1, "token=" + "a" * 12, "b"), (3, "token=" + "c" * 12, "b"), (4, "", "b")], versions), path)
+    assert {r.doc_id: len(r.m_assign) for r in second.collect()} == {1: 1, 3: 1, 4: 0} and blobs() == 3
+    third = secrets.scan_to(frame([(i, "token=" + "a" * 12, "b") for i in range(9)], versions), path)
+    assert {len(r.m_assign) for r in third.collect()} == {1} and blobs() == 3
+
+
+def test_private_keys_reach_their_end(frame):
+    body = "Proc-Type: 4,ENCRYPTED\nMIIE+/a=\n" * 50
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    r = secrets.scan(frame([(1, f"x {key} y"), (2, "-----BEGIN PRIVATE KEY-----\nabc")])).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in x.m_pem] for x in r] == [[(2, 2 + len(key))], [(0, 27)]]
+
+
 def test_redaction(frame):
     r = {x.doc_id: x.text for x in pii.redact(frame([(1, "to a@b.co, from 10.0.0.1."), (2, None), (3, "none")])).collect()}
     assert r == {1: "to [EMAIL], from [IP].", 2: None, 3: "none"}

@@ -1,5 +1,8 @@
 import hashlib
+import random
 import struct
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +25,18 @@ def test_tokens_match_the_library(frame):
     assert sentencepiece_bpe.tokenize(df.where("false"), PATH).count() == 0
 
 
+def test_runs_and_long_words_match_the_library():
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PATH), sentencepiece_bpe.Model(PATH)
+    ids = lambda t: list(struct.unpack(f"<{len(own.encode(t)) // 4}I", own.encode(t)))
+    r = random.Random(3)
+    bits = [" ", "   ", "a", "the", "ing", "漢", "é", "\t", "\n", "▁", "🎉", "x" * 70, " " * 17]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(3000)] + [a + " " * k + b for k in range(70) for a, b in (("", ""), ("a", "b"), ("\n", "\tq"), ("", "漢"))]
+    texts += [" " * 100_000, "x" * 100_000, " " * 30_000 + "漢" + " " * 20_000 + "b", "".join(r.choice("abcdefghij") for _ in range(50_000))]
+    assert all(ids(t) == lib.encode(t, add_bos=True, add_eos=True) for t in texts)
+    began = time.perf_counter()
+    assert len(own.encode(" " * 100_000 + "w" * 1_000_000)) > 4 * 100_000 and time.perf_counter() - began < 30
+
+
 def test_documents_match_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
     sf = "/root/testdata/sf0.001"
@@ -63,3 +78,25 @@ def test_quality_edges(frame):
     assert all(r.score > 0.5 if r.doc_id % 2 else r.score < 0.5 for r in scored if r.doc_id is not None and r.doc_id < 40)
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
     assert quality.score(docs.where("false"), quality.fit(docs, labels)).count() == 0
+
+
+def test_quality_is_brute_force(frame):
+    """Scores by plain loops over the sample's latent vectors."""
+    r = random.Random(6)
+    words = ["plain", "words", "and", "sense", "###", "$$$", "GO", "GO", "7 7"]
+    texts = [" ".join(r.choice(words[:5] if i % 2 else words[3:]) for _ in range(30)) for i in range(120)]
+    model = quality.fit(frame(list(enumerate(texts))), frame([(i, i % 2) for i in range(90)], "doc_id long, quality int"), k=7)
+    assert len(model.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(90))
+
+    def plain(text):
+        v = quality.terms(text) * model.weights
+        v = v / np.linalg.norm(v) - model.mean
+        v = v @ model.axes
+        v = v / np.linalg.norm(v)
+        near = sorted(((float(v @ x), y) for x, y in zip(model.vectors, model.labels)), reverse=True)[:7]
+        w = [max(c, 0) for c, _ in near]
+        return (sum(c * y for c, (_, y) in zip(w, near)) + model.prior * model.rate) / (sum(w) + model.prior)
+
+    assert np.allclose(model.score(texts, block=16), [plain(t) for t in texts], atol=1e-4)
+    scored = quality.score(frame([(1, texts[0], 9.0)], "doc_id long, text string, score double"), model, score="s", predicted="p").first()
+    assert scored.score == 9.0 and abs(scored.s - plain(texts[0])) < 1e-4
