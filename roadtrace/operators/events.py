@@ -77,8 +77,14 @@ def geofence(tags: DataFrame, df: DataFrame) -> DataFrame:
     return _at(rows, "e.type", "e.geofence_id")
 
 
-def proximity(df: DataFrame, links: DataFrame, metres: float) -> DataFrame:
-    """Linked devices (device_id, linked_id) that come within metres, or leave, by the other's last position at that time.
+def command_result(df: DataFrame, result: str) -> DataFrame:
+    """An event per position that has the attribute result."""
+    return _at(df.where(F.col(result).isNotNull()), F.col(result).alias("result"))
+
+
+def proximity(df: DataFrame, links: DataFrame, metres: float, leave: float | None = None) -> DataFrame:
+    """Linked devices (device_id, linked_id) that come within metres, or go farther than leave (metres, unless given), by the other's
+    last position at that time. Between the two distances things stay as they were.
 
     Both devices' rows are merged in time order and carried forward, so no row meets a range of others.
     """
@@ -90,7 +96,9 @@ def proximity(df: DataFrame, links: DataFrame, metres: float) -> DataFrame:
     w = Window.partitionBy("device_id", "linked_id").orderBy("fix_ms", "id")
     seen = lambda c: F.last(F.when(~F.col("own"), F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     m = own.unionByName(other).withColumns({"la": seen("latitude"), "lo": seen("longitude")}).where("own and la is not null")
-    m = m.withColumn("near", distance_mm("latitude", "longitude", "la", "lo") <= int(metres * 1000))
+    far = distance_mm("latitude", "longitude", "la", "lo")
+    side = F.when(far <= int(metres * 1000), True).when(far > int((leave or metres) * 1000), False)
+    m = m.withColumn("near", F.coalesce(F.last(side, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
     m = m.withColumn("old", F.lag("near").over(w))
     kind = F.when(F.col("near") & ~F.coalesce("old", F.lit(False)), "proximityEnter").when(~F.col("near") & F.col("old"), "proximityExit")
     return _at(m.withColumn("type", kind).where("type is not null"), "type", "linked_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +58,34 @@ def engine_hours(df: DataFrame) -> DataFrame:
     return df.withColumn("hours_ms", F.sum("x_on").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("x_on")
 
 
-def computed(df: DataFrame, expressions: list[tuple[str, str]]) -> DataFrame:
-    """Computed attributes in order: (name, Spark SQL expression); `last_<column>` is the value before. Failures give null."""
-    w = by_time()
+@dataclass
+class Computed:
+    """An attribute that a Spark SQL expression gives. kind: number, boolean or string, or as it comes. Higher priorities come first."""
+
+    name: str
+    expression: str
+    kind: str | None = None
+    priority: int = 0
+
+
+def computed(df: DataFrame, expressions: list[Computed | tuple[str, str]]) -> DataFrame:
+    """Computed attributes by priority, then in order; `last_<column>` is the value before, and earlier ones can be used.
+
+    What fails for a row, as a division by zero or a text that is no number, is null there: expressions are built without ANSI
+    errors, which doesn't touch the session's other queries. A name that df has is overwritten.
+    """
+    w, spark = by_time(), df.sparkSession
     before = {f"last_{c}": F.lag(c).over(w) for c in ("speed", "fuel", "altitude", "ignition")}
     df = df.withColumns(before)
-    for name, text in expressions:
-        df = df.withColumn(name, F.expr(text))
+    own = [x if isinstance(x, Computed) else Computed(*x) for x in expressions]
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        for x in sorted(own, key=lambda x: -x.priority):
+            made = F.expr(x.expression)
+            df = df.withColumn(x.name, made if x.kind is None else made.cast({"number": "double"}.get(x.kind, x.kind)))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
     return df.drop(*before)
 
 
@@ -74,6 +98,24 @@ def filters(now_ms: int, accuracy: float = 100, future_s: int = 86_400, past_s:
     return out | ({"past": F.col("fix_ms") < now_ms - past_s * 1000} if past_s is not None else {})
 
 
+def flagged(df: DataFrame) -> dict[str, Column]:
+    """Such conditions by the flags valid, outdated and approximate, as far as df has them; a missing flag means nothing."""
+    sign = {"valid": ("invalid_flag", False), "outdated": ("outdated", True), "approximate": ("approximate", True)}
+    return {name: F.coalesce(F.col(c) == value, F.lit(False)) for c, (name, value) in sign.items() if c in df.columns}
+
+
+def kept(df: DataFrame, *conditions: Column, skip: Column | None = None) -> DataFrame:
+    """Rows for which no condition holds, or for which skip does."""
+    drop = reduce(Column.__or__, conditions)
+    return df.where(~F.coalesce(drop, F.lit(False)) | (F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)))
+
+
+def at_altitude(df: DataFrame, floor: float = 0, ceiling: float = 0) -> DataFrame:
+    """Positions between a geofence's floor and ceiling; 0 means that there is none."""
+    df = df.where(F.col("altitude") >= floor) if floor else df
+    return df.where(F.col("altitude") <= ceiling) if ceiling else df
+
+
 def tagged(positions: DataFrame, geofences: DataFrame, cell: float = 0.05) -> DataFrame:
     """(id, device_id, fix_ms, geofence_id) for positions inside geofences (geofence_id, area).
 

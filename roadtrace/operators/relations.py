@@ -33,6 +33,12 @@ def named_drivers(df: DataFrame, drivers: DataFrame) -> DataFrame:
     return df.join(drivers.select("driver_unique_id", "driver_name").dropDuplicates(["driver_unique_id"]), "driver_unique_id", "left")
 
 
+def linked_drivers(df: DataFrame, links: DataFrame) -> DataFrame:
+    """driver_unique_id as it is, else the one that is linked to the device (device_id, linked_driver)."""
+    met = df.join(links.dropDuplicates(["device_id"]), "device_id", "left")
+    return met.withColumn("driver_unique_id", F.coalesce("driver_unique_id", "linked_driver")).drop("linked_driver")
+
+
 def latest_on_arrival(df: DataFrame) -> DataFrame:
     """is_latest: in order of arrival, no row of the device before this one has a later fix."""
     before = Window.partitionBy("device_id").orderBy("server_ms", "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -196,18 +196,19 @@ def delivery_delays(df: DataFrame, late_ms: int = 300_000, critical_ms: int = 3_
     return r.withColumn("severity", F.when(F.col("largest") >= critical_ms, "critical").otherwise("warning"))
 
 
-def recovery(df: DataFrame) -> DataFrame:
-    """Attempts (device_id, attempt, stage, ts): start, end, stages seen and how they ended."""
-    g = df.groupBy("device_id", "attempt").agg(F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages"))
-    return g.withColumn("outcome", F.when(F.col("stages").contains("purchase"), "success").when(F.col("n") >= 3, "timeout").otherwise("open"))
+def recovery(df: DataFrame, success: str, timeout_after: int) -> DataFrame:
+    """Attempts (device_id, attempt, stage, ts): start, end, stages seen and how they ended: well with the stage success, in a timeout
+    with timeout_after reports or more, else they are open."""
+    g = df.groupBy("device_id", "attempt").agg(F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"), F.count("*").alias("n"), F.array_sort(F.collect_set("stage")).alias("s"))
+    outcome = F.when(F.array_contains("s", success), "success").when(F.col("n") >= timeout_after, "timeout").otherwise("open")
+    return g.select("device_id", "attempt", "start_ms", "end_ms", "n", F.array_join("s", ",").alias("stages"), outcome.alias("outcome"))
 
 
-def daily_statistics(df: DataFrame) -> DataFrame:
-    """Per day: messages, devices and the devices per last protocol."""
+def daily_statistics(df: DataFrame, protocols: list[str]) -> DataFrame:
+    """Per day: messages, devices, and the devices whose last message came by each of the protocols."""
     day = F.floor(F.col("fix_ms") / DAY).cast("long")
     per = df.groupBy(day.alias("day"), "device_id").agg(F.count("*").alias("n"), F.max_by("protocol", F.struct("server_ms", "id")).alias("protocol"))
-    one = lambda p: F.count_if(F.col("protocol") == p).alias(f"devices_{p}")
-    return per.groupBy("day").agg(F.sum("n").alias("messages"), F.count("*").alias("devices"), one("osmand"), one("h02"), one("mobile"))
+    return per.groupBy("day").agg(F.sum("n").alias("messages"), F.count("*").alias("devices"), *[F.count_if(F.col("protocol") == p).alias(f"devices_{p}") for p in protocols])
 
 
 def admin_alerts(latest: DataFrame, now_ms: int) -> DataFrame:
@@ -224,5 +225,5 @@ def notifications(events: DataFrame, rules: DataFrame, links: DataFrame) -> Data
     """(user_id, notification_id, position_id, notificator): events (device_id, type, alarm_type) met by rules
     (notification_id, type, alarms, notificators) for the users of the device. Alarm events need their alarm in the list."""
     r = rules.withColumnRenamed("type", "r_type")
-    hit = events.join(F.broadcast(r), (F.col("type") == F.col("r_type")) & ((F.col("type") != "alarm") | F.array_contains(F.split("alarms", ","), F.col("alarm_type"))))
+    hit = events.join(r, (F.col("type") == F.col("r_type")) & ((F.col("type") != "alarm") | F.array_contains(F.split("alarms", ","), F.col("alarm_type"))))
     return hit.join(links, "device_id").select("user_id", "notification_id", "position_id", F.explode(F.split("notificators", ",")).alias("notificator"))

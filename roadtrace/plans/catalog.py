@@ -67,7 +67,7 @@ by("permission_direct", "SELECT user_id, device_id FROM ud", lambda s, d: perms(
 by("permission_group_expanded", "SELECT user_id, device_id FROM perm", lambda s, d: perms(s, d), ANCESTORS)
 by("permission_exclude_groups", "SELECT id, fix_ms FROM p WHERE device_id IN (SELECT device_id FROM ud WHERE user_id = 5)", lambda s, d: hierarchy.permitted(pos(s, d), perms(s, d, False), 5).select("id", "fix_ms"))
 by("permission_reverse", "SELECT device_id, count(*) AS users FROM perm GROUP BY 1", lambda s, d: perms(s, d).groupBy("device_id").agg(F.count("*").alias("users")), ANCESTORS)
-by("accessible_devices_by_group", "SELECT dev.id FROM dev WHERE group_id IN (SELECT id FROM grp WHERE id = 1001 OR group_id = 1001)", lambda s, d: adapter.devices(s, d).join(hierarchy.descendants(s, adapter.groups(s, d), [1001]).withColumnRenamed("id", "group_id"), "group_id", "left_semi").select("id"))
+by("accessible_devices_by_group", "SELECT dev.id FROM dev WHERE group_id IN (SELECT id FROM grp WHERE id = 1001 OR group_id = 1001)", lambda s, d: adapter.devices(s, d).join(hierarchy.descendants(adapter.groups(s, d), [1001]).withColumnRenamed("id", "group_id"), "group_id", "left_semi").select("id"))
 
 
 @query("attribute_lookup", """SELECT dev.id, CAST(coalesce(CASE WHEN dev.id % 10 = 0 THEN dev.id * 1.0 END, CASE WHEN dev.group_id % 5 = 0 THEN dev.group_id + 100.0 END, CASE WHEN g.group_id % 2 = 0 THEN g.group_id + 0.5 END, 7.0) AS DOUBLE) AS value
@@ -117,7 +117,7 @@ TAGS = "t AS (" + " UNION ALL ".join(f"SELECT id, device_id, fix_ms, {i} AS geof
 for _kind, _ids in (("circle", (1, 2, 3)), ("polygon", (4, 5)), ("polyline", (6,))):
     by(f"geofence_{_kind}", f"SELECT id, geofence_id FROM t WHERE geofence_id IN ({', '.join(map(str, _ids))})", lambda s, d, ids=_ids: pipeline.tagged(pos(s, d), adapter.geofences(s).where(F.col("geofence_id").isin(*ids))).select("id", "geofence_id"), TAGS)
 by("geofence_tagging", "SELECT id, device_id, count(*) AS n, min(geofence_id) AS first_id FROM t GROUP BY ALL", lambda s, d: pipeline.tagged(pos(s, d), adapter.geofences(s)).groupBy("id", "device_id").agg(F.count("*").alias("n"), F.min("geofence_id").alias("first_id")), TAGS)
-by("geofence_altitude", "SELECT id FROM t JOIN p USING (id) WHERE geofence_id = 2 AND altitude BETWEEN 20 AND 60", lambda s, d: pipeline.tagged(pos(s, d).where("altitude between 20 and 60"), adapter.geofences(s).where("geofence_id = 2")).select("id"), TAGS)
+by("geofence_altitude", "SELECT id FROM t JOIN p USING (id) WHERE geofence_id = 2 AND altitude BETWEEN 20 AND 60", lambda s, d: pipeline.tagged(pipeline.at_altitude(pos(s, d), 20, 60), adapter.geofences(s).where("geofence_id = 2")).select("id"), TAGS)
 
 # Pipeline
 by("time_rollover", f"SELECT id, CAST(o + CASE WHEN {NOW} - o - {pipeline.GPS_CYCLE_MS - pipeline.NINETY_DAYS_MS} > 0 THEN ceil(({NOW} - o - {pipeline.GPS_CYCLE_MS - pipeline.NINETY_DAYS_MS}) / {pipeline.GPS_CYCLE_MS}) * {pipeline.GPS_CYCLE_MS} ELSE 0 END AS BIGINT) AS ms FROM (SELECT id, fix_ms - (id % 3) * {pipeline.GPS_CYCLE_MS} AS o FROM p)", lambda s, d: pos(s, d).select("id", pipeline.rollover(F.col("fix_ms") - F.col("id") % 3 * pipeline.GPS_CYCLE_MS, NOW).cast("long").alias("ms")))
@@ -128,16 +128,11 @@ by("distance_total", "SELECT id, distance_mm, total_mm FROM d", lambda s, d: far
 by("motion_flag", f"SELECT id, speed > 0.01 OR CASE WHEN fix_ms - lag(fix_ms) OVER {W} > 0 THEN round(distance_mm / (fix_ms - lag(fix_ms) OVER {W}) * 1.94384, 6) > 0.5 ELSE distance_mm > 0 END AS moving FROM d", lambda s, d: pipeline.motion_flag(far(s, d)).select("id", "moving"), SQL_DISTANCE)
 by("engine_hours", "SELECT id, hours_ms FROM h", lambda s, d: full(s, d).select("id", "hours_ms"), SQL_DISTANCE, HOURS_SQL)
 by("copy_attributes", "SELECT id, last_value(alarm IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY fix_ms, id ROWS UNBOUNDED PRECEDING) AS alarm FROM p", lambda s, d: pipeline.copied(pos(s, d), ["alarm"]).select("id", "alarm"))
-by("driver_link", "SELECT p.id, coalesce(CASE WHEN p.id % 2 = 0 THEN driver_unique_id END, 'C' || dev.group_id) AS driver FROM p LEFT JOIN dev ON dev.id = p.device_id", lambda s, d: pos(s, d).join(adapter.devices(s, d).select(F.col("id").alias("device_id"), "group_id"), "device_id", "left").select("id", F.coalesce(F.when(F.col("id") % 2 == 0, F.col("driver_unique_id")), F.concat(F.lit("C"), F.col("group_id").cast("string"))).alias("driver")))
-by("computed_attribute", f"SELECT id, speed - lag(speed) OVER {W} AS delta, CASE WHEN fuel > 0 THEN speed / fuel END AS ratio FROM p", lambda s, d: pipeline.computed(pos(s, d), [("delta", "speed - last_speed"), ("ratio", "try_divide(speed, fuel)")]).select("id", "delta", "ratio"))
-_f = lambda s, d, *names: pos(s, d).where(~F.expr("false") & ~sum_or([pipeline.filters(NOW, past_s=5 * 3600, future_s=0)[n] for n in names])).select("id")
-
-
-def sum_or(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+by("driver_link", "SELECT p.id, coalesce(CASE WHEN p.id % 2 = 0 THEN driver_unique_id END, 'C' || dev.group_id) AS driver FROM p LEFT JOIN dev ON dev.id = p.device_id",
+   lambda s, d: relations.linked_drivers(pos(s, d).withColumn("driver_unique_id", F.when(F.col("id") % 2 == 0, F.col("driver_unique_id"))), adapter.devices(s, d).select(F.col("id").alias("device_id"), F.concat(F.lit("C"), F.col("group_id").cast("string")).alias("linked_driver"))).select("id", F.col("driver_unique_id").alias("driver")))
+by("filter_flags", "SELECT id FROM p WHERE NOT (id % 17 = 0 OR id % 13 = 0 OR id % 11 = 0)", lambda s, d: (lambda df: pipeline.kept(df, *pipeline.flagged(df).values()).select("id"))(pos(s, d).withColumns({"valid": F.col("id") % 17 != 0, "outdated": F.col("id") % 13 == 0, "approximate": F.when(F.col("id") % 11 == 0, True)})))
+by("computed_attribute", f"SELECT id, speed - lag(speed) OVER {W} AS delta, CASE WHEN fuel <> 0 THEN speed / fuel END AS ratio, CAST(NULL AS DOUBLE) AS first, speed AS second FROM p", lambda s, d: pipeline.computed(pos(s, d), [("delta", "speed - last_speed"), pipeline.Computed("ratio", "speed / fuel"), pipeline.Computed("first", "CAST(driver_unique_id AS INT)", "number", 9), pipeline.Computed("second", "coalesce(first, 0) + speed")]).select("id", "delta", "ratio", "first", "second"))
+_f = lambda s, d, *names: pipeline.kept(pos(s, d), *[pipeline.filters(NOW, past_s=5 * 3600, future_s=0)[n] for n in names]).select("id")
 
 
 by("filter_invalid_zero", "SELECT id FROM p WHERE NOT (abs(latitude) > 90 OR abs(longitude) > 180 OR (latitude = 0 AND longitude = 0))", lambda s, d: _f(s, d, "invalid", "zero"))
@@ -151,7 +146,7 @@ by("mobile_quality_verdict", f"""SELECT id, CASE WHEN lag(latitude) OVER {W} = l
 # Events
 _e = "device_id, id AS position_id, fix_ms AS event_ms"
 by("ev_media", f"SELECT {_e}, 'alarm' AS media, alarm AS file FROM p WHERE alarm IS NOT NULL", lambda s, d: ev.media(pos(s, d), ["alarm"]))
-by("ev_command_result", f"SELECT {_e} FROM p WHERE alarm = 'sos'", lambda s, d: pos(s, d).where("alarm = 'sos'").select("device_id", F.col("id").alias("position_id"), F.col("fix_ms").alias("event_ms")))
+by("ev_command_result", f"SELECT {_e}, 'done' AS result FROM p WHERE alarm = 'sos'", lambda s, d: ev.command_result(pos(s, d).withColumn("result", F.when(F.col("alarm") == "sos", "done")), "result"))
 by("ev_overspeed", f"""SELECT {_e}, speed, CAST(60.0 AS DOUBLE) AS speed_limit FROM (SELECT *, fix_ms - min(fix_ms) OVER (PARTITION BY device_id, run) AS since FROM
   (SELECT *, sum(CASE WHEN speed > 60 THEN 0 ELSE 1 END) OVER (PARTITION BY device_id ORDER BY fix_ms, id) AS run FROM p) WHERE speed > 60) WHERE since >= 300000 QUALIFY row_number() OVER (PARTITION BY device_id, run ORDER BY fix_ms, id) = 1""", lambda s, d: ev.overspeed(pos(s, d), F.lit(60.0), 300))
 by("ev_behavior", f"SELECT {_e}, CASE WHEN r >= 0.1 THEN 'hardAcceleration' ELSE 'hardBraking' END AS type FROM (SELECT *, round((speed - lag(speed) OVER {W}) / 1.94384 * 1000 / (fix_ms - lag(fix_ms) OVER {W}), 9) AS r FROM p) WHERE abs(r) >= 0.1", lambda s, d: ev.behavior(pos(s, d), 0.1, 0.1))
@@ -209,15 +204,15 @@ by("rep_timeline_delays", f"SELECT *, CASE WHEN largest >= 3600000 THEN 'critica
 by("rep_timeline_backlog", _runs("fuel > 50", "fuel"), lambda s, d: reports.runs(pos(s, d), F.col("fuel") > 50, F.col("fuel")))
 
 
-@query("rep_timeline_recovery", "SELECT *, CASE WHEN contains(stages, 'purchase') THEN 'success' WHEN n >= 3 THEN 'timeout' ELSE 'open' END AS outcome FROM (SELECT user_id AS device_id, event_id // 500 AS attempt, min(event_id) AS start_ms, max(event_id) AS end_ms, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS stages FROM events GROUP BY 1, 2)")
+@query("rep_timeline_recovery", "SELECT *, CASE WHEN list_contains(string_split(stages, ','), 'purchase') THEN 'success' WHEN n >= 3 THEN 'timeout' ELSE 'open' END AS outcome FROM (SELECT user_id AS device_id, event_id // 500 AS attempt, min(event_id) AS start_ms, max(event_id) AS end_ms, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS stages FROM events GROUP BY 1, 2)")
 def _(s, d):
     e = adapter.read(s, d, "events").select(F.col("user_id").alias("device_id"), F.floor(F.col("event_id") / 500).cast("long").alias("attempt"), F.col("event_type").alias("stage"), F.col("event_id").alias("ts"))
-    return reports.recovery(e)
+    return reports.recovery(e, "purchase", 3)
 
 
 by("rep_admin_alerts", f"""SELECT device_id, fix_ms AS ts, 'silence' AS kind, CASE WHEN {NOW} - fix_ms >= 1800000 THEN 'critical' ELSE 'warning' END AS severity FROM l WHERE {NOW} - fix_ms >= 600000 UNION ALL
   SELECT device_id, fix_ms, 'battery', CASE WHEN fuel <= 5 THEN 'critical' ELSE 'info' END FROM l WHERE fuel <= 15""", lambda s, d: reports.admin_alerts(request.latest(pos(s, d)), NOW).orderBy(text.severity_rank(F.col("severity")).desc(), F.desc("ts")), STALE)
-by("rep_statistics_daily", "SELECT day, CAST(sum(n) AS BIGINT) AS messages, count(*) AS devices, " + ", ".join(f"count(*) FILTER (protocol = '{x}') AS devices_{x}" for x in ("osmand", "h02", "mobile")) + f" FROM (SELECT fix_ms // {DAY} AS day, device_id, count(*) AS n, arg_max(protocol, (server_ms - {START_MS}) * 10000000 + id) AS protocol FROM p GROUP BY 1, 2) GROUP BY 1", lambda s, d: reports.daily_statistics(pos(s, d)))
+by("rep_statistics_daily", "SELECT day, CAST(sum(n) AS BIGINT) AS messages, count(*) AS devices, " + ", ".join(f"count(*) FILTER (protocol = '{x}') AS devices_{x}" for x in ("osmand", "h02", "mobile")) + f" FROM (SELECT fix_ms // {DAY} AS day, device_id, count(*) AS n, arg_max(protocol, (server_ms - {START_MS}) * 10000000 + id) AS protocol FROM p GROUP BY 1, 2) GROUP BY 1", lambda s, d: reports.daily_statistics(pos(s, d), ["osmand", "h02", "mobile"]))
 
 
 @query("rep_notification_routing", "SELECT perm.user_id, n.nid AS notification_id, a.position_id, unnest(string_split(n.via, ',')) AS notificator FROM (SELECT device_id, id AS position_id, unnest(string_split(alarm, ',')) AS alarm_type FROM p WHERE alarm IS NOT NULL) a JOIN (VALUES (1, 'sos', 'web,mail'), (2, 'fault,tow', 'sms')) n(nid, al, via) ON list_contains(string_split(n.al, ','), a.alarm_type) JOIN perm ON perm.device_id = a.device_id", ANCESTORS)
@@ -256,7 +251,7 @@ by("telemetry_ring", "SELECT device_id, array_to_string(list(CAST(fuel AS DECIMA
 by("health_snapshot", f"SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'event_type' WHEN NOT event_id * 2000 + {START_MS} BETWEEN {NOW - 7 * DAY} AND {NOW + 300_000} THEN 'ts' END AS reason, greatest(event_id % 9 - 4, 0) AS outbox FROM events", lambda s, d: mobile.health(adapter.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("event_id") * 2000 + START_MS).alias("ts"), (F.col("event_id") % 9 - 4).alias("outbox")), NOW, ["click", "view"]).select("id", "reason", "outbox"))
 
 # Egress
-by("csv_export", "SELECT id, id || ',' || device_id || ',' || protocol || ',' || coalesce(alarm, '') || ',' || CASE WHEN regexp_matches(CAST(id - 100 AS VARCHAR), '^[=+@-]') THEN '' ELSE CAST(id - 100 AS VARCHAR) END AS line FROM p", lambda s, d: egress.csv_lines(pos(s, d).withColumn("x", F.col("id") - 100), ["id", "device_id", "protocol", "alarm", "x"]))
+by("csv_export", "SELECT id, id || ',' || device_id || ',' || protocol || ',' || CASE WHEN contains(alarm, ',') THEN chr(34) || alarm || chr(34) ELSE coalesce(alarm, '') END || ',' || CASE WHEN regexp_matches(CAST(id - 100 AS VARCHAR), '^[=+@-]') THEN '' ELSE CAST(id - 100 AS VARCHAR) END AS line FROM p", lambda s, d: egress.csv_lines(pos(s, d).withColumn("x", F.col("id") - 100), ["id", "device_id", "protocol", "alarm", "x"]))
 by("gpx_export", "SELECT device_id, id, '<trkpt lat=\"' || printf('%.5f', latitude) || '\" lon=\"' || printf('%.5f', longitude) || '\"><time>' || strftime(epoch_ms(fix_ms), '%Y-%m-%dT%H:%M:%SZ') || '</time></trkpt>' AS trkpt FROM p", lambda s, d: egress.gpx_points(pos(s, d)))
 by("kml_coordinates", "SELECT device_id, id, printf('%.5f,%.5f,%.1f', longitude, latitude, altitude) AS coord FROM p", lambda s, d: egress.kml_coordinates(pos(s, d)))
 by("kafka_payload", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"id\":' || id || ',\"protocol\":\"' || protocol || '\"}' AS value FROM p", lambda s, d: egress.payload(pos(s, d), "device_id", ["id", "protocol"]))
@@ -275,7 +270,7 @@ _keys = ["alarm", "fuel", "ignition", "driver_unique_id", "motion"]
 
 by("filter_calendar", f"SELECT id FROM p WHERE device_id % 3 = 2 OR (device_id % 3 = 0 AND fix_ms >= {START_MS + HOUR} AND fix_ms < {START_MS + 3 * HOUR}) OR (device_id % 3 = 1 AND fix_ms >= {START_MS + 3 * HOUR} AND fix_ms < {START_MS + 4 * HOUR})",
    lambda s, d: relations.in_calendar(pos(s, d).withColumn("calendar_id", _calendar()), _open_hours(s)).select("id"))
-by("filter_skip_attributes", "SELECT id FROM p WHERE NOT (speed = 0 AND alarm IS NULL)", lambda s, d: pos(s, d).where(~(pipeline.filters(NOW)["static"] & F.col("alarm").isNull())).select("id"))
+by("filter_skip_attributes", "SELECT id FROM p WHERE NOT (speed = 0 AND alarm IS NULL)", lambda s, d: pipeline.kept(pos(s, d), pipeline.filters(NOW)["static"], skip=F.col("alarm").isNotNull()).select("id"))
 by("event_visibility", "SELECT device_id % 3 AS user_id, device_id, position_id, event_ms, type, geofence_id FROM ge WHERE (device_id % 3 + geofence_id) % 2 = 1", lambda s, d: relations.visible_events(geo_events(s, d).withColumn("user_id", F.col("device_id") % 3), _links(s)).select("user_id", "device_id", "position_id", "event_ms", "type", "geofence_id"), TAGS, SETS, GEO_EVENTS)
 by("event_with_position", "SELECT ge.position_id, ge.type, ge.geofence_id, p.latitude, p.longitude FROM ge LEFT JOIN p ON p.id = ge.position_id", lambda s, d: geo_events(s, d).join(pos(s, d).select(F.col("id").alias("position_id"), "latitude", "longitude"), "position_id", "left").select("position_id", "type", "geofence_id", "latitude", "longitude"), TAGS, SETS, GEO_EVENTS)
 by("driver_name", "SELECT id, CASE WHEN CAST(substr(driver_unique_id, 2) AS INT) < 5 THEN 'Driver ' || substr(driver_unique_id, 2) END AS driver_name FROM p", lambda s, d: relations.named_drivers(pos(s, d), _drivers(s)).select("id", "driver_name"))

@@ -187,3 +187,11 @@ def _(s, d):
 
 by("event_forward", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"type\":\"alarm\",\"alarm\":\"' || alarm || '\",\"positionId\":' || id || '}' AS value FROM p WHERE alarm IS NOT NULL",
    lambda s, d: pos(s, d).where("alarm is not null").select(F.col("device_id").cast("string").alias("key"), F.to_json(F.struct(F.lit("alarm").alias("type"), "alarm", F.col("id").alias("positionId"))).alias("value")))
+
+
+@query("ev_proximity_hysteresis", f"""SELECT device_id, id AS position_id, fix_ms AS event_ms, CASE WHEN near THEN 'proximityEnter' ELSE 'proximityExit' END AS type, linked_id FROM
+  (SELECT *, lag(near) OVER w AS old FROM (SELECT *, coalesce(last_value(side IGNORE NULLS) OVER (PARTITION BY device_id, linked_id ORDER BY fix_ms, id ROWS UNBOUNDED PRECEDING), false) AS near FROM (SELECT *, CASE WHEN far <= 1500000 THEN true WHEN far > 4000000 THEN false END AS side FROM
+    (SELECT a.device_id, a.id, a.fix_ms, a.device_id + 1 AS linked_id, round({sql_haversine("a.latitude", "a.longitude", "b.latitude", "b.longitude")} * 1000) AS far FROM p a ASOF JOIN p b ON b.device_id = a.device_id + 1 AND a.fix_ms >= b.fix_ms))) WINDOW w AS (PARTITION BY device_id, linked_id ORDER BY fix_ms, id)) WHERE (near AND NOT coalesce(old, false)) OR (NOT near AND old)""")
+def _(s, d):
+    p = pos(s, d)
+    return ev.proximity(p, p.select("device_id", (F.col("device_id") + 1).alias("linked_id")).distinct(), 1500, 4000)

@@ -13,8 +13,9 @@ def iso(ms: Column) -> Column:
 
 
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
-    """id and a CSV line; cells that would run as formulas are emptied."""
-    cells = [cell_guard(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    """id and a CSV line; cells that would run as formulas are emptied, and ones with commas, quotes or line ends are quoted."""
+    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [quoted(cell_guard(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]
     return df.select("id", F.concat_ws(",", *cells).alias("line"))
 
 

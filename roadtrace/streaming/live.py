@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import canonical_hash
+
 POSITION = "id long, device_id long, fix_ms long, server_ms long, speed double, motion boolean, total_mm long, ignition boolean"
 EVENT = "device_id long, type string, position_id long, event_ms long"
 
@@ -84,6 +87,57 @@ def inactivity(stream: DataFrame, silent: str = "30 minutes") -> DataFrame:
     return with_time(stream).groupBy("device_id", F.session_window("fix_time", silent)).agg(F.max("fix_ms").alias("last_ms")).select("device_id", "last_ms")
 
 
+def sliding_counts(stream: DataFrame, length: str = "10 minutes", step: str = "5 minutes") -> DataFrame:
+    """Messages per device and sliding window."""
+    return with_time(stream).groupBy("device_id", F.window("fix_time", length, step)).agg(F.count("*").alias("messages"))
+
+
+def reordered(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Positions of each device in order of fix and server time, held until the watermark has passed them; later ones are left out.
+
+    What a device has waiting is its positions within the delay; a timer by event time lets it go when nothing new comes.
+    """
+    names = [c.split()[0] for c in POSITION.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            for f in frames:
+                rows += [tuple(None if pd.isna(x) else x for x in r) for r in f[names].astype(object).itertuples(index=False)]
+        mark, at = state.getCurrentWatermarkMs(), names.index("fix_ms")
+        rows.sort(key=lambda r: (r[at], r[names.index("server_ms")], r[0]))
+        ready, waiting = [r for r in rows if r[at] < mark], [r for r in rows if r[at] >= mark]
+        if waiting:
+            state.update((json.dumps(waiting),))
+            state.setTimeoutTimestamp(max(mark, waiting[0][at]) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(ready, columns=names)
+
+    return with_time(stream, delay).groupBy("device_id").applyInPandasWithState(step, POSITION, "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ledger(stream: DataFrame, keep: str = "7 days") -> DataFrame:
+    """(message_id, id, outcome) for messages (message_id, id, device_id, sequence, payload): accepted for the first of an id, duplicate for
+    ones like it, rejected for others. An id is forgotten keep after it came last."""
+    hashed = stream.withColumn("hash", canonical_hash(F.col("device_id"), F.col("sequence"), F.col("payload"))).select("message_id", "id", "hash")
+    wait = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, out = state.get[0] if state.exists else None, []
+        for r in pd.concat(list(frames)).sort_values("id").itertuples(index=False):
+            out.append((key[0], int(r.id), "accepted" if first is None else "duplicate" if r.hash == first else "rejected"))
+            first = r.hash if first is None else first
+        state.update((first,))
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame(out, columns=["message_id", "id", "outcome"])
+
+    return hashed.groupBy("message_id").applyInPandasWithState(step, "message_id string, id long, outcome string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def latest_sink(path: str):
     """foreachBatch writer: each micro-batch's latest position per device, in a folder of its own that a retry overwrites."""
 

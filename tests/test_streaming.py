@@ -53,3 +53,37 @@ def test_inactivity(spark, tmp_path):
     closed = lambda mark: {(d, t) for d, ends in rows.items() for t in ends if t + 120_000 < mark - 600_000}
     got = {tuple(r) for r in out.collect()}
     assert got and closed(before) <= got <= closed(last + 1)
+
+
+def test_reordered(spark, tmp_path):
+    """Each device's positions come in order, once the watermark has passed them, and none twice."""
+    df, out = run(spark, tmp_path, live.reordered)
+    rows, last = df.collect(), max(r.fix_ms for r in df.collect())
+    got = out.collect()
+    before = max(r.fix_ms for r in df.where("id * 3 < 2002").collect())
+    passed = lambda mark: {r.id for r in rows if r.fix_ms < mark - 600_000}
+    assert len(got) == len({r.id for r in got}) and passed(before) <= {r.id for r in got} <= passed(last + 1) != set()
+    at = {}
+    for r in got:
+        assert at.get(r.device_id, 0) <= r.fix_ms
+        at[r.device_id] = r.fix_ms
+
+
+def test_ledger_rejects_conflicts(spark, tmp_path):
+    message = lambda s: s.selectExpr("cast(id div 3 as string) as message_id", "id", "device_id % 1 as device_id", "id div 3 as sequence", "if(id % 3 = 2 and id % 2 = 0, 'x', 'y') as payload")
+    df, out = run(spark, tmp_path, lambda s: live.ledger(message(s)))
+    first, want = {}, {}
+    for r in message(df).orderBy("id").collect():
+        h = (r.device_id, r.sequence, r.payload)
+        want[r.id] = "accepted" if r.message_id not in first else "duplicate" if first[r.message_id] == h else "rejected"
+        first.setdefault(r.message_id, h)
+    assert {r.id: r.outcome for r in out.collect()} == want and set(want.values()) == {"accepted", "duplicate", "rejected"}
+
+
+def test_sliding_and_daily_counts(spark, tmp_path):
+    df, out = run(spark, tmp_path, live.sliding_counts, "complete")
+    want = {}
+    for r in df.collect():
+        for start in (r.fix_ms // 300_000 * 300_000, r.fix_ms // 300_000 * 300_000 - 300_000):
+            want[r.device_id, start] = want.get((r.device_id, start), 0) + 1
+    assert {(r.device_id, round(r.s * 1000)): r.messages for r in out.selectExpr("device_id", "cast(window.start as double) s", "messages").collect()} == want
