@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from roadtrace.llm import quality, sentencepiece_bpe, topk
@@ -62,6 +63,21 @@ def test_topk_is_brute_force(frame):
     assert topk.search(v.where("false"), v, 5).count() == topk.search(v, v.where("false"), 5).count() == 0
 
 
+def test_topk_of_large_numbers_is_exact(frame):
+    r = random.Random(5)
+    rows = [(i, [r.randrange(-(2**30), 2**30) for _ in range(3)]) for i in range(60)] + [(60, []), (100, [])]
+    v = frame(rows, "id long, v array<long>")
+    got = topk.search(v.where("id % 50 = 0"), v, 4, block=16).collect()
+    want = []
+    for q, a in rows:
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q and len(a) == len(b))[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(Exception, match="64-bit"):
+        topk.search(*[frame([(0, [2**62]), (1, [2**62])], "id long, v array<long>")] * 2, 1).collect()
+
+
 def test_quality_is_right_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op5(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
