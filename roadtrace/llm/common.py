@@ -31,9 +31,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, has no lineage and outlives lost executors."""
+    """df as a table in the shared folder: it is computed once, has no lineage and outlives lost executors.
+
+    Tables lie in a folder of the application, which can be deleted once its results are written.
+    """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
