@@ -138,5 +138,5 @@ ENVELOPES = "array<struct<messageId:string,sequence:long,observedAt:long,latitud
 def batch_rows(batches: DataFrame, body: str = "body") -> DataFrame:
     """A row per envelope of JSON arrays, speeds in knots. What is no array gives none."""
     return batches.withColumn("e", F.explode(F.from_json(F.col(body), ENVELOPES))).select(
-        *[c for c in batches.columns if c != body], F.col("e.messageId").alias("message_id"), "e.sequence", F.col("e.observedAt").alias("fix_ms"), "e.latitude", "e.longitude", F.round(F.col("e.speedKmh") * 0.539957, 6).alias("speed")
+        *[c for c in batches.columns if c != body], F.col("e.messageId").alias("message_id"), "e.sequence", F.col("e.observedAt").alias("fix_ms"), "e.latitude", "e.longitude", F.round(F.col("e.speedKmh") * 0.539957, 9).alias("speed")
     )

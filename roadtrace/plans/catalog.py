@@ -220,10 +220,7 @@ def _(s, d):
     return _routed(s, d, pos(s, d))
 
 
-@query("rep_notification_routing_all")
-def _(s, d):
-    """The alarms of all devices."""
-    return _routed(s, d, pos(s, d))
+QUERIES["rep_notification_routing_all"], SQL["rep_notification_routing_all"] = QUERIES["rep_notification_routing"], SQL["rep_notification_routing"]
 
 
 def _routed(s, d, positions):

@@ -179,7 +179,7 @@ def _(s, d):
     return codec.decoded(rows).select("id", "unique_id", "fix_ms", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "course")
 
 
-@query("mobile_http_batch", "SELECT device_id, 'msg-' || id AS message_id, id AS sequence, fix_ms, latitude, longitude, round(speed * 0.539957, 6) AS speed FROM p")
+@query("mobile_http_batch", "SELECT device_id, 'msg-' || id AS message_id, id AS sequence, fix_ms, latitude, longitude, round(speed * 0.539957, 9) AS speed FROM p")
 def _(s, d):
     e = F.struct(F.concat(F.lit("msg-"), F.col("id").cast("string")).alias("messageId"), F.col("id").alias("sequence"), F.col("fix_ms").alias("observedAt"), "latitude", "longitude", F.col("speed").alias("speedKmh"))
     return codec.batch_rows(pos(s, d).groupBy("device_id", F.floor(F.col("id") / 100).alias("k")).agg(F.to_json(F.collect_list(e)).alias("body")).drop("k"))
