@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk, url_filter
+from . import collocations, decontaminate, html_text, jaccard_join, near_dedup, pii, quality, secrets, sentencepiece_bpe, sharding, topk, url_filter, vector_codes
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_sharding": sharding.op9,
     "op10_url_filter": url_filter.op10,
-    "op10_url_filter_backoff": url_filter.op10,
+    "op11_ngram_join": jaccard_join.op11,
+    "op12_collocations": collocations.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 SQL = {
     "op2_topk": topk.OP2_SQL,
@@ -24,5 +26,7 @@ SQL = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op9_sharding": sharding.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
-    "op10_url_filter_backoff": url_filter.OP10_SQL,
+    "op11_ngram_join": jaccard_join.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
