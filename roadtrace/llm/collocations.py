@@ -31,9 +31,11 @@ from .common import small_batches, table, tidied, written
 UPPER, BREAKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\x0a\x0b\x0c\x0d"
 PLAIN = bytes.maketrans(UPPER + BREAKS + b"\t", UPPER.lower() + b"\n" * len(BREAKS) + b" ")
 #: Keys of one minimal perfect hash; keys or slots that one pass holds, in eights; places of one array that tasks hand over.
-PART, GROUP, SLICE = 1_000_000, 8_000_000, 1 << 16
+PART, GROUP, SLICE = 1 << 16, 8_000_000, 1 << 16
 #: Arrays that one task adds up.
 FAN = 32
+#: Words that one row of the state holds.
+CHUNK = 1 << 19
 #: Hashed counters: one for every 16 words, between these powers of two, so at most 8 MB as bits.
 FEWEST_BITS, MOST_BITS = 16, 26
 
@@ -107,22 +109,22 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in raw.split(b" ") if w] + [b"\n"]
 
 
-def _hashed(seed: int):
-    """(h): word hashes of each text, 0 for a break; equal words of different languages differ."""
-
-    @tidied
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[bytes, int]] = {}
-        for b in batches:
-            rows = []
-            for lang, text in zip(b["lang"], b["text"]):
-                if sum(map(len, known.values())) > 200_000:
-                    known.clear()
-                ids = known.setdefault(lang, {b"\n": 0})
-                rows.append(np.array([ids[w] if w in ids else ids.setdefault(w, word_hash(lang, w, seed)) for w in words_of(text)], np.int64))
-            yield pd.DataFrame({"h": rows})
-
-    return run
+def _chunked(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[np.ndarray]:
+    """Word hashes of the texts, CHUNK or more at a time, with 0 for a break; equal words of different languages differ."""
+    known: dict[str, dict[bytes, int]] = {}
+    rows, size = [], 0
+    for b in batches:
+        for lang, text in zip(b["lang"], b["text"]):
+            if sum(map(len, known.values())) > 200_000:
+                known.clear()
+            ids = known.setdefault(lang, {b"\n": 0})
+            rows.append(np.array([ids[w] if w in ids else ids.setdefault(w, word_hash(lang, w, seed)) for w in words_of(text)], np.int64))
+            size += len(rows[-1])
+            if size >= CHUNK:
+                yield np.concatenate(rows)
+                rows, size = [], 0
+    if rows:
+        yield np.concatenate(rows)
 
 
 def word_hash(lang: str, word: bytes, seed: int) -> int:
@@ -155,6 +157,15 @@ def _with_hash(seed: int):
     return run
 
 
+def _slotted(slots):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(slot=slots.value.find(b["key"].to_numpy(np.int64)))
+            yield b.loc[b["slot"] >= 0, ["slot", "lang", "word", "f"]]
+
+    return run
+
+
 def _packed(a: np.ndarray) -> bytes:
     kind = np.min_scalar_type(int(a.max(initial=0)))
     return kind.char.encode() + zlib.compress(a.astype(kind).tobytes(), 1)
@@ -165,29 +176,31 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _arrays(size: int, places, cap: int | None = None):
-    """Iterator function: bincounts the numbers that places(batch) gives into one array of size, handed over in slices. With cap, no count exceeds it."""
+    """Iterator function: bincounts the numbers in the arrays that places(batch) gives into one array of size, handed over in slices. With cap, no count exceeds it."""
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.uint8 if cap else np.int64)
         for b in batches:
-            if cap:
-                at, n = np.unique(places(b), return_counts=True)
-                total[at] = np.minimum(total[at] + n, cap)
-            else:
-                total += np.bincount(places(b), minlength=size)
-        rows = [(lo // SLICE, _packed(total[lo : lo + SLICE])) for lo in range(0, size, SLICE) if total[lo : lo + SLICE].any()]
-        out = pd.DataFrame(rows, columns=["slice", "counts"])
-        yield out.assign(task=TaskContext.get().partitionId())
+            for x in places(b):
+                at, n = np.unique(x, return_counts=True)
+                total[at] = np.minimum(total[at] + n, cap) if cap else total[at] + n
+        yield handed(total)
 
     return run
 
 
+def handed(total: np.ndarray) -> pd.DataFrame:
+    rows = [(lo // SLICE, _packed(total[lo : lo + SLICE])) for lo in range(0, len(total), SLICE) if total[lo : lo + SLICE].any()]
+    return pd.DataFrame(rows, columns=["slice", "counts"]).assign(task=TaskContext.get().partitionId())
+
+
 def tree_summed(df: DataFrame, run, cap: int | None = None) -> DataFrame:
     """(slice, counts): the arrays of run over df, added up FAN at a time."""
-    tasks = df.rdd.getNumPartitions()
-    out = df.mapInPandas(run, "slice long, counts binary, task long")
+    return added(df.mapInPandas(run, "slice long, counts binary, task long"), df.rdd.getNumPartitions(), cap)
 
+
+def added(out: DataFrame, tasks: int, cap: int | None = None) -> DataFrame:
     def add(b: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(c) for c in b["counts"])
         return pd.DataFrame({"slice": b["slice"][:1], "counts": [_packed(np.minimum(total, cap) if cap else total)], "task": b["task"][:1] // FAN})
@@ -218,53 +231,104 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (at >= 0) & (bits[np.maximum(at, 0) >> 3] >> (7 - (np.maximum(at, 0) & 7)) & 1 == 1) if len(bits) else np.zeros(len(at), bool)
 
 
-def _flat(column) -> np.ndarray:
-    return np.concatenate([np.asarray(x, np.int64) for x in column]) if len(column) else np.zeros(0, np.int64)
+def _blob(a: np.ndarray) -> bytes:
+    """Slots, -1 for none, in the narrowest of 2 and 4 bytes."""
+    return b"h" + a.astype("<i2").tobytes() if a.max(initial=0) < 1 << 15 else b"i" + a.astype("<i4").tobytes()
+
 
+def _flat(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i2" if blob[:1] == b"h" else "<i4", offset=1).astype(np.int64)
 
-def _open(b: pd.DataFrame, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a batch where a phrase of k words may be frequent, their keys, and the slots of the phrase without its first word."""
-    s, w = _flat(b["s"]), _flat(b["w"])
+
+def _open(w: np.ndarray, s: np.ndarray, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where a phrase of k words may be frequent, their keys, and the slots of the phrase without its first word."""
     good = _set(frequent, s)
-    at = np.flatnonzero(good[:-1] & good[1:]) if len(s) > 1 else np.zeros(0, np.int64)
+    at = np.flatnonzero(good[:-1] & good[1:])
     at = at[at + k - 1 < len(w)]
     return at, s[at] << 32 | w[at + k - 1], s[at + 1]
 
 
-def _candidates(k: int, sent, bits: int):
-    """(key, pre, suf, last) of the distinct open keys whose counter doesn't rule them out."""
+def _places(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for w, s in zip(b["w"], b["s"]):
+        yield _flat(w), _flat(s)
+
+
+def _shortened(w: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The state without words that no phrase of k words covers; one place stays for each run of them, as a break."""
+    cover = s >= 0
+    for j in range(1, k):
+        cover[j:] |= s[: max(0, len(s) - j)] >= 0
+    keep = cover.copy()
+    keep[1:] |= cover[:-1]
+    return np.where(cover, w, -1)[keep], s[keep]
+
+
+def _candidates(k: int, sent, bits: int, parts: int):
+    """(part, task, data): distinct open keys whose counter doesn't rule them out, as pairs of key and suffix slot."""
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, counters = sent.value
-        keys, sufs = [], []
+        keys, sufs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def out() -> pd.DataFrame:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             key, at = np.unique(np.concatenate(keys), return_index=True)
             suf = np.concatenate(sufs)[at]
             keys[:], sufs[:] = [key], [suf]
-            return pd.DataFrame({"key": key, "pre": key >> 32, "suf": suf, "last": key & 0xFFFFFFFF})
+            return key, suf
+
+        def out() -> pd.DataFrame:
+            key, suf = merged()
+            keys[:], sufs[:] = [key[:0]], [suf[:0]]
+            return _dealt(key, suf, parts).assign(task=TaskContext.get().partitionId())
 
         for b in batches:
-            _, key, suf = _open(b, k, frequent)
-            may = _set(counters, (_mix(key, 5) >> np.uint64(64 - bits)).astype(np.int64))
-            keys.append(key[may])
-            sufs.append(suf[may])
-            if sum(map(len, keys)) > 2_000_000:
-                found = out()
-                if len(found) > 1_000_000:
-                    yield found
-                    keys.clear()
-                    sufs.clear()
-        if keys:
-            yield out()
+            for w, s in _places(b):
+                _, key, suf = _open(w, s, k, frequent)
+                may = _set(counters, (_mix(key, 5) >> np.uint64(64 - bits)).astype(np.int64))
+                keys.append(key[may])
+                sufs.append(suf[may])
+            if sum(map(len, keys)) > 4_000_000 and len(merged()[0]) > 2_000_000:
+                yield out()
+        yield out()
 
     return run
 
 
-def _built(b: pd.DataFrame) -> pd.DataFrame:
-    keys = b["key"].to_numpy(np.int64)
-    return pd.DataFrame({"part": b["part"][:1], "size": [len(keys)], "keys": [PerfectHash(keys).keys.tobytes()]})
+def _dealt(key: np.ndarray, suf: np.ndarray, parts: int) -> pd.DataFrame:
+    part = _part(key, parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    both = np.stack([key, suf], axis=1)[order]
+    rows = [(p, both[ends[p] : ends[p + 1]].tobytes()) for p in range(parts) if ends[p] < ends[p + 1]]
+    return pd.DataFrame(rows, columns=["part", "data"])
+
+
+def _pairs(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, 2)
+
+
+def tree_merged(out: DataFrame, tasks: int) -> DataFrame:
+    """(part, data): the distinct pairs of each part, merged FAN tasks at a time."""
+
+    def merge(b: pd.DataFrame) -> pd.DataFrame:
+        both = np.concatenate([_pairs(d) for d in b["data"]])
+        _, at = np.unique(both[:, 0], return_index=True)
+        return pd.DataFrame({"part": b["part"][:1], "data": [both[at].tobytes()], "task": b["task"][:1] // FAN})
+
+    while True:
+        out = out.withColumn("node", F.expr(f"task div {FAN}")).groupBy("part", "node").applyInPandas(merge, "part long, data binary, task long")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            return out.select("part", "data")
+
+
+def _built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each part's pairs in the order of their slots."""
+    for b in batches:
+        both = [_pairs(d) for d in b["data"]]
+        data = [x[np.argsort(PerfectHash(x[:, 0]).find(x[:, 0]))].tobytes() for x in both]
+        yield pd.DataFrame({"part": b["part"], "size": [len(x) for x in both], "data": data})
 
 
 def _sliced(slots: np.ndarray, lo: int, size: int) -> np.ndarray:
@@ -272,22 +336,12 @@ def _sliced(slots: np.ndarray, lo: int, size: int) -> np.ndarray:
 
 
 class Level:
-    """The candidates of one length: (key, ...) rows with their slots, and the state of the texts with these slots."""
-
-    def __init__(self, keys: DataFrame, extra: str):
-        """keys: a written table of distinct (key, extra columns)."""
-        self.spark = keys.sparkSession
-        self.count = keys.count()
-        if self.count >= 1 << 31:
-            raise ValueError("slots are 31-bit numbers")
-        parts = self.parts = max(1, -(-self.count // PART))
-
-        def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"key": b["key"], "part": _part(b["key"].to_numpy(np.int64), parts)})
+    """The candidates of one length, by parts: each part's keys lie in the order of their slots."""
 
-        built = keys.select("key").mapInPandas(dealt, "key long, part long").groupBy("part").applyInPandas(_built, "part long, size long, keys binary")
-        self.hashes = written(built, "hashes")
+    def __init__(self, dealt: DataFrame, parts: int):
+        """dealt: (part, data), pairs of key and one more number, distinct by key."""
+        self.spark, self.parts = dealt.sparkSession, parts
+        self.hashes = written(dealt.mapInPandas(_built, "part long, size long, data binary"), "hashes")
         self.groups, first, size = [{}], 0, 0
         for part, n in sorted(map(tuple, self.hashes.select("part", "size").collect())):
             if size + n > GROUP and self.groups[-1]:
@@ -295,64 +349,92 @@ class Level:
                 size = 0
             self.groups[-1][part] = first
             first, size = first + n, size + n
-        self.keys = self.slotted(keys, "slot long, key long" + extra, lambda slots: self._rows(slots))
+        self.count = first
+        if self.count >= 1 << 31:
+            raise ValueError("slots are 31-bit numbers")
+
+    def sent(self, group: dict[int, int]):
+        """The group's perfect hashes as a broadcast of GROUP keys at most, where a part holds less."""
+        rows = self.hashes.where(F.col("part").isin(list(group))).select("part", "data").toLocalIterator()
+        return self.spark.sparkContext.broadcast(Slots(self.parts, {r["part"]: (group[r["part"]], PerfectHash(_pairs(bytes(r["data"]))[:, 0])) for r in rows}))
+
+    def listed(self, frequent: np.ndarray) -> DataFrame:
+        """(slot, pre, last, suf) of the slots whose bits are set."""
+        sent = self.spark.sparkContext.broadcast(({p: first for g in self.groups for p, first in g.items()}, frequent))
 
-    def _rows(self, slots):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            first, bits = sent.value
             for b in batches:
-                b.insert(0, "slot", slots.value.find(b["key"].to_numpy(np.int64)))
-                yield b[b["slot"] >= 0]
-
-        return run
+                for p, data in zip(b["part"], b["data"]):
+                    both = _pairs(data)
+                    slot = first[p] + np.arange(len(both))
+                    own = _set(bits, slot)
+                    key, suf = both[own].T
+                    yield pd.DataFrame({"slot": slot[own], "pre": key >> 32, "last": key & 0xFFFFFFFF, "suf": suf})
 
-    def sent(self, group: dict[int, int]):
-        """The group's perfect hashes as a broadcast; GROUP keys at most, if a part holds less."""
-        rows = self.hashes.where(F.col("part").isin(list(group))).select("part", "keys").collect()
-        return self.spark.sparkContext.broadcast(Slots(self.parts, {r["part"]: (group[r["part"]], PerfectHash(np.frombuffer(bytes(r["keys"]), np.int64))) for r in rows}))
-
-    def slotted(self, df: DataFrame, schema: str, run) -> DataFrame:
-        """run with each group's hashes over df, one pass a group, as one written table."""
-        out = None
-        for group in self.groups:
-            found = df.mapInPandas(run(self.sent(group)), schema)
-            out = found if out is None else out.union(found)
-        return written(out, "slots")
+        return self.hashes.select("part", "data").mapInPandas(run, "slot long, pre long, last long, suf long")
 
     def placed(self, state: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
         """state (w, s) with the slots of this level as s; each group's pass adds what it finds."""
         old = self.spark.sparkContext.broadcast(frequent)
 
-        def run(slots, more: bool):
+        def run(slots, first: bool, last: bool):
             @tidied
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
-                    if k == 1:
-                        key = _flat(b["h"])
-                        new = np.where(key != 0, slots.value.find(key), -1)
-                    else:
-                        at, key, _ = _open(b, k, old.value)
-                        new = np.full(int(b["w"].map(len).sum()), -1, np.int64)
-                        new[at] = slots.value.find(key)
-                    if more:
-                        new = np.maximum(new, _flat(b["t"]))
-                    ends = np.cumsum(b["h" if k == 1 else "w"].map(len).to_numpy())[:-1]
-                    yield b.assign(t=np.split(new.astype(np.int32), ends) if len(b) else [])
+                    rows = []
+                    for i, (w, s) in enumerate(_places(b)):
+                        new = np.full(len(w), -1, np.int64) if first else _flat(b["t"].iloc[i])
+                        at, key, _ = _open(w, s, k, old.value)
+                        new[at] = np.maximum(new[at], slots.value.find(key))
+                        if last:
+                            w, new = _shortened(w, new, k)
+                            rows.append((_blob(w), _blob(new), None))
+                        else:
+                            rows.append((_blob(w), _blob(s), _blob(new)))
+                    yield pd.DataFrame(rows, columns=["w", "s", "t"])
 
             return run
 
-        schema = "h array<long>" if k == 1 else "w array<int>, s array<int>"
         for i, group in enumerate(self.groups):
-            state = state.mapInPandas(run(self.sent(group), i > 0), f"{schema}, t array<int>")
-            if i + 1 < len(self.groups):
-                state = written(state, "state")
-        return written(state.select(F.col("t").alias("w"), F.col("t").alias("s")) if k == 1 else state.select("w", F.col("t").alias("s")), "state")
+            state = written(state.mapInPandas(run(self.sent(group), i == 0, i + 1 == len(self.groups)), "w binary, s binary, t binary"), "state")
+        return state.select("w", "s")
+
+    def read(self, docs: DataFrame, seed: int) -> DataFrame:
+        """The texts' first state: each word's slot, or -1. The hashes are kept where they need several passes."""
+
+        def looked(slots, h: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
+            new = np.where(h != 0, slots.value.find(h), -1)
+            return new if old is None else np.maximum(new, old)
+
+        def texts(slots, keep: bool):
+            @tidied
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for h in _chunked(batches, seed):
+                    yield pd.DataFrame({"h": [h.tobytes() if keep else None], "w": [_blob(looked(slots, h))]})
+
+            return run
+
+        def hashes(slots):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    yield b.assign(w=[_blob(looked(slots, np.frombuffer(h, np.int64), _flat(w))) for h, w in zip(b["h"], b["w"])])
+
+            return run
+
+        schema, several = "h binary, w binary", len(self.groups) > 1
+        state = written(docs.mapInPandas(texts(self.sent(self.groups[0]), several), schema), "state")
+        for group in self.groups[1:]:
+            state = written(state.mapInPandas(hashes(self.sent(group)), schema), "state")
+        return state.select("w", F.col("w").alias("s"))
 
     def counts(self, state: DataFrame) -> list[tuple[int, int, DataFrame]]:
         """(first slot, slots, sums) for each GROUP of slots."""
         out = []
         for lo in range(0, self.count, GROUP):
             size = min(GROUP, self.count - lo)
-            out.append((lo, size, written(tree_summed(state, _arrays(size, lambda b, lo=lo, size=size: _sliced(_flat(b["s"]), lo, size))), "counts")))
+            places = lambda b, lo=lo, size=size: (_sliced(_flat(s), lo, size) for s in b["s"])
+            out.append((lo, size, written(tree_summed(state, _arrays(size, places)), "counts")))
         return out
 
 
@@ -385,18 +467,24 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[list[D
         if hashed.groupBy("key").count().where("count > 1").isEmpty():  # no word is taken for another
             break
         seed += 1
-    level = Level(written(hashed.where(F.col("f") >= least), "frequent"), ", lang string, word string, f long")
-    # The columns come in the order of the table.
-    state = level.placed(written(docs.mapInPandas(_hashed(seed), "h array<long>"), "hashed"), 1, np.zeros(0, np.uint8))
-    one = level.keys.select("slot", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("fl"), F.array("f").alias("fr"))
+    often = written(hashed.where(F.col("f") >= least), "frequent")
+    parts = max(1, -(-often.count() // PART))
+    dealt = lambda batches: (_dealt(b["key"].to_numpy(np.int64), np.zeros(len(b), np.int64), parts).assign(task=TaskContext.get().partitionId()) for b in batches)
+    level = Level(tree_merged(often.select("key").mapInPandas(dealt, "part long, data binary, task long"), often.rdd.getNumPartitions()), parts)
+    state = level.read(docs, seed)
+    slots = None
+    for group in level.groups:
+        rows = often.mapInPandas(_slotted(level.sent(group)), "slot long, lang string, word string, f long")
+        slots = rows if slots is None else slots.union(rows)
+    one = written(slots.select("slot", "lang", F.col("word").alias("phrase"), "f", F.array("f").alias("fl"), F.array("f").alias("fr")), "phrases")
     found, frequent = [one], np.full(-(-level.count // 8), 255, np.uint8)
     for k in range(2, longest + 1):
         sent = spark.sparkContext.broadcast(frequent)
-        places = lambda b, k=k, sent=sent: (_mix(_open(b, k, sent.value)[1], 5) >> np.uint64(64 - bits)).astype(np.int64)
+        places = lambda b, k=k, sent=sent: ((_mix(_open(w, s, k, sent.value)[1], 5) >> np.uint64(64 - bits)).astype(np.int64) for w, s in _places(b))
         counters = _bits(tree_summed(state, _arrays(1 << bits, places, least), least), 1 << bits, least)
-        both = spark.sparkContext.broadcast((frequent, counters))
-        keys = state.mapInPandas(_candidates(k, both, bits), "key long, pre long, suf long, last long")
-        level = Level(written(keys.groupBy("key").agg(*[F.first(c).alias(c) for c in ("pre", "suf", "last")]), "candidates"), ", pre long, suf long, last long")
+        parts = max(1, -(-int(np.bitwise_count(counters).sum()) // PART))
+        keys = state.mapInPandas(_candidates(k, spark.sparkContext.broadcast((frequent, counters)), bits, parts), "part long, data binary, task long")
+        level = Level(tree_merged(keys, state.rdd.getNumPartitions()), parts)
         if not level.count:
             break
         state = level.placed(state, k, frequent)
@@ -406,7 +494,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[list[D
         for lo, _, sums in counts:
             rows = sums.mapInPandas(_listed(lo, least), "slot long, f long")
             f = rows if f is None else f.union(rows)
-        known = level.keys.join(f, "slot")
+        known = level.listed(frequent).join(f, "slot")
         pre = found[-1].select(F.col("slot").alias("pre"), "lang", F.col("phrase").alias("head"), "fl")
         suf = found[-1].select(F.col("slot").alias("suf"), "fr")
         last = one.select(F.col("slot").alias("last"), F.col("phrase").alias("word"))
