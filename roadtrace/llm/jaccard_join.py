@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
 1. Texts with equal shingle sets form a class; the rest works on classes, named by their smallest doc_id.
-2. Values have one global order, rare ones first as far as hashed counters tell. Two sets of the asked similarity share one of
-   each one's first n - ceil(percent * n) + 1 values, so inverted lists of these (class, set size, position) find every pair.
+2. Values have one global order, rare ones first as far as hashed counters tell, which numpy arrays in tasks and a tree of sums make. Two sets of the asked similarity share one of
+   each one's first n - ceil(percent * n) + 1 values, so inverted lists of these (class, set size, position) find every pair. Values
+   that a second set of hashed counters shows in one set only aren't shuffled.
 3. Answers of similar sets first: the member of a list with the least position, whose values few other values precede, is the
    list's head. Members are verified against heads, which leaves with every linked class a base: a head whose overlap is known.
 4. Lists go on whose members are still in several components. They are cut into blocks of one component and set size, sorted
@@ -24,55 +25,128 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, picked, small_batches, table, tidied, written
+from .collocations import _arrays, _bits, _unpacked, SLICE, added, handed, tree_summed
+from .common import MOST_IDS, components, small_batches, table, tidied, written
 from .near_dedup import _digest as digest
 from .near_dedup import shingles
 
 #: Entries of one block; more are dealt out over several.
 BLOCK = 1024
-#: Hashed counters: one for every 16 values, between these powers of two. Those far above the mean, a fourth at most, are broadcast.
-FEWEST_BITS, MOST_BITS, FAR = 16, 24, 4
+#: Hashed counters of all values, of which those FAR above the mean, a fourth at most, are broadcast; and the most for lists, 8 MB as bits.
+BITS, FAR, MOST_BITS = 22, 4, 26
 
 
-def _sets(width: int):
+def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _features(width: int):
+    """Each text's set size and digest; and at the end, in rows of their own, the task's counters in slices."""
+
     @tidied
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << BITS, np.uint8)  # a task counts to 255
+        for b in batches:
+            sets = [shingles(t, width) for t in b["text"]]
+            at, n = np.unique(_bucket(np.concatenate(sets), BITS), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255)
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": pd.array([len(s) for s in sets], "Int64"), "set": [digest(s) for s in sets], "slice": pd.array([None] * len(b), "Int64"), "counts": None, "task": pd.array([None] * len(b), "Int64")})
+        out = handed(total)
+        yield pd.DataFrame({"doc_id": None, "n": pd.array([None] * len(out), "Int64"), "set": None, "slice": out["slice"].astype("Int64"), "counts": out["counts"], "task": out["task"].astype("Int64")})
+
+    return run
+
+
+def _far(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(len(s), digest(s), s) for s in (shingles(t, width) for t in b["text"])]
-            out = pd.DataFrame(rows, columns=["n", "set", "all"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
+            for s, c in zip(b["slice"], b["counts"]):
+                n = _unpacked(c)
+                at = np.flatnonzero(n >= least)
+                yield pd.DataFrame({"bucket": s * SLICE + at, "n": n[at]})
 
     return run
 
 
-def _prefixes(sent, bits: int, percent: int):
-    """Each set's first values by (level, value): level 0 for values whose counter isn't broadcast."""
+def _levels(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counters far above the mean, and the logarithms of their counts."""
+    every = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sums = added(rows.where("slice is not null").select("slice", "counts", "task"), rows.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1)
+    far = sums.mapInPandas(_far(FAR * max(1.0, every / (1 << BITS))), "bucket long, n long").toPandas().sort_values("bucket")
+    return far["bucket"].to_numpy(np.int64), np.array([int(4 * log2(c)) for c in far["n"]], np.int64)
+
+
+def _ordered(s: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set by (level, value): level 0 for values whose counter isn't broadcast."""
+    often, level = far
+    if not len(often):
+        return s
+    bucket = _bucket(s, BITS)
+    at = np.minimum(np.searchsorted(often, bucket), len(often) - 1)
+    return s[np.argsort(np.where(often[at] == bucket, level[at], 0), kind="stable")]
+
+
+def _prefixes(width: int, percent: int, sent):
+    """(rep, n, first): the first values of the sets that are asked for, as bytes."""
+
+    @tidied
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])):
+                if digest(s) == want:
+                    rows.append((rep, len(s), _ordered(s, sent.value)[: len(s) + 1 - -(-percent * len(s) // 100)].tobytes()))
+            yield pd.DataFrame(rows, columns=["rep", "n", "first"])
+
+    return run
+
 
+def _wholes(width: int):
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, level = sent.value
         for b in batches:
-            out = []
-            for s in b["all"]:
-                s = np.asarray(s, np.int64)
-                if len(often):
-                    bucket = (s.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(often, bucket), len(often) - 1)
-                    s = s[np.argsort(np.where(often[at] == bucket, level[at], 0), kind="stable")]
-                out.append(s[: len(s) + 1 - -(-percent * len(s) // 100)])
-            yield pd.DataFrame({"rep": b["rep"], "n": b["n"], "first": out})
+            rows = [(rep, s) for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])) if digest(s) == want]
+            yield pd.DataFrame(rows, columns=["rep", "all"])
+
+    return run
+
+
+def _first(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int64)
+
+
+def _entries(sent, bits: int):
+    """(v, rep, n, p) of the values that more sets than one may have among their first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        several = sent.value
+        for b in batches:
+            for rep, n, blob in zip(b["rep"], b["n"], b["first"]):
+                v = _first(blob)
+                bucket = _bucket(v, bits)
+                p = np.flatnonzero(several[bucket >> 3] >> (7 - (bucket & 7)) & 1)
+                yield pd.DataFrame({"v": v[p], "rep": rep, "n": n, "p": p})
 
     return run
 
 
-def _levels(classes: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Hashed counters far above the mean, and the logarithms of their counts; and the number of bits that name a counter."""
-    every = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(FEWEST_BITS, (every // 16).bit_length()))
-    counts = classes.select(F.explode("all").alias("v")).groupBy(F.shiftrightunsigned("v", 64 - bits).alias("bucket")).count()
-    far = counts.where(F.col("count") >= FAR * max(1.0, every / 2**bits)).toPandas().sort_values("bucket")
-    return (far["bucket"].to_numpy(np.int64), np.array([int(4 * log2(c)) for c in far["count"]], np.int64)), bits
+class Texts:
+    """The texts that name classes, by class."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, named: DataFrame, width: int):
+        self.docs, self.width = docs.where("doc_id is not null"), width
+        self.named = named.select(F.col("row").alias("rep"), F.col("rep").alias("doc_id"), "set")
+        self.repeated = not rows.where("n > 0").groupBy("doc_id", "set").count().where("count > 1").isEmpty()
+
+    def mapped(self, run, schema: str, ids: DataFrame | None = None) -> DataFrame:
+        """run over (rep, set, text) of all classes, or those of ids (rep); one row a class."""
+        named = self.named if ids is None else self.named.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
+        met = self.docs.join(F.broadcast(named) if named.count() <= MOST_IDS else named, "doc_id").select("rep", "set", "text")
+        found = met.mapInPandas(run, schema)
+        return found.dropDuplicates(["rep"]) if self.repeated else found
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        return self.mapped(_wholes(self.width), "rep long, all array<long>", ids)
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -84,10 +158,9 @@ def _need(percent: int) -> Column:
     return F.expr(f"((n + m) * {percent} + {99 + percent}) div {100 + percent}")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...), a written table, with `both`: the overlap of the full sets. Only sets that pairs name are shuffled."""
-    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
-    named = picked(sets, ids, "left_semi", "rep")
+def _overlaps(pairs: DataFrame, sets) -> DataFrame:
+    """pairs (a, b, ...), a written table, with `both`: the overlap of the full sets. sets(ids) gives the sets that pairs name."""
+    named = sets(written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids"))
     with_a = named.select(F.col("rep").alias("a"), F.col("all").alias("sa")).join(pairs, "a")
     both = with_a.join(named.select(F.col("rep").alias("b"), F.col("all").alias("sb")), "b")
     return both.withColumn("both", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
@@ -100,14 +173,15 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     which holds 100 * intersection >= percent * union. Not every pair of a component is listed: it could hold all pairs of a hot group.
     """
     small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
-    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    rows = named.mapInPandas(_sets(width), "doc_id string, n long, set binary, all array<long>")
-    rows = written(rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "row": F.monotonically_increasing_id()}), "sets")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_features(width), "doc_id string, n long, set binary, slice long, counts binary, task long")
+    every = written(found.withColumns({"doc_id": F.col("doc_id").cast("long"), "row": F.monotonically_increasing_id()}), "sets")
+    rows = every.where("slice is null").select("doc_id", "n", "set", "row")
     first = F.min(F.struct(F.col("doc_id").alias("rep"), "row"))
     named = written(rows.where("n > 0 and doc_id is not null").groupBy("set").agg(first.alias("at")).select("set", "at.rep", "at.row"), "classes")
     member = rows.select("doc_id", "n", "set").join(named.select("set", "rep"), "set", "left").drop("set")
-    links = _class_links(rows, named, percent)
+    links = _class_links(Texts(docs, rows, named, width), every, percent)
     side = lambda c: named.select(F.col("row").alias(c), F.col("rep").alias(f"{c}_rep"))
     links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     # Classes of texts that share an id.
@@ -116,19 +190,22 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     return member, written(links.union(same), "links")
 
 
-def _class_links(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _class_links(texts: Texts, every: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes, each named by one of its rows. Here `rep` is that row: ids may repeat."""
-    spark = rows.sparkSession
-    classes = picked(rows.select(F.col("row").alias("rep"), "n", "all"), named.select(F.col("row").alias("rep")), "left_semi", "rep")
-    far, bits = _levels(classes)
-    sent = spark.sparkContext.broadcast(far)
-    entries = classes.select("rep", "n", "all").mapInPandas(_prefixes(sent, bits, percent), "rep long, n long, first array<long>")
-    entries = entries.select("rep", "n", F.posexplode("first").alias("p", "v"))
+    spark, width = every.sparkSession, texts.width
+    sent = spark.sparkContext.broadcast(_levels(every))
+    prefixes = written(texts.mapped(_prefixes(width, percent, sent), "rep long, n long, first binary"), "prefixes")
+    size = prefixes.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 8
+    bits = min(MOST_BITS, max(16, (2 * size).bit_length()))
+    places = lambda b: (_bucket(np.concatenate([_first(x) for x in b["first"]]), bits) for _ in (1,))
+    several = spark.sparkContext.broadcast(_bits(tree_summed(prefixes, _arrays(1 << bits, places, 2), 2), 1 << bits, 2))
+    entries = prefixes.mapInPandas(_entries(several, bits), "v long, rep long, n long, p int")
     heads = entries.groupBy("v").agg(F.count("*").alias("size"), F.min(F.struct("p", "rep", "n")).alias("head")).where("size > 1")
-    lists = written(entries.join(heads, "v").select("v", "rep", "n", "p", "size", F.col("head.rep").alias("head"), F.col("head.n").alias("m")), "lists")
+    lists = written(entries.join(heads, "v").select("v", "rep", "n", "p", "size", F.col("head.rep").alias("head"), F.col("head.n").alias("m"), F.col("head.p").alias("q")), "lists")
 
-    pairs = lists.where((F.col("rep") != F.col("head")) & _alike(F.col("n"), F.col("m"), percent)).select(F.col("rep").alias("a"), "n", F.col("head").alias("b"), "m").distinct()
-    star = written(_overlaps(written(pairs, "pairs"), classes).where((F.col("n") + F.col("m") - F.col("both")) * percent <= F.col("both") * 100), "star")
+    near = lists.where(_alike(F.col("n"), F.col("m"), percent) & (F.col("rep") != F.col("head")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(percent)))
+    pairs = written(near.select(F.col("rep").alias("a"), "n", F.col("head").alias("b"), "m").distinct(), "pairs")
+    star = written(_overlaps(pairs, texts.sets).where((F.col("n") + F.col("m") - F.col("both")) * percent <= F.col("both") * 100), "star")
     links = written(star.select("a", "b"), "links")
     nearest = F.max_by(F.struct("b", "both", "m"), F.struct(F.try_divide(F.col("both"), F.col("n") + F.col("m") - F.col("both")), -F.col("b")))
     bases = written(star.groupBy("a", "n").agg(nearest.alias("h")).select(F.col("a").alias("rep"), F.col("h.b").alias("base"), (F.col("n") - F.col("h.both")).alias("more"), (F.col("h.m") - F.col("h.both")).alias("less")), "bases")
@@ -141,7 +218,7 @@ def _class_links(rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     pairs = written(_open_pairs(open_, percent), "pairs")
     if pairs.isEmpty():
         return links
-    return links.union(_derived(pairs, bases, classes, percent))
+    return links.union(_derived(pairs, bases, texts.sets, percent))
 
 
 def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +237,7 @@ def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "e.rep").alias("a"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"), F.greatest("rep", "e.rep").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m")).distinct()
 
 
-def _derived(pairs: DataFrame, bases: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _derived(pairs: DataFrame, bases: DataFrame, sets, percent: int) -> DataFrame:
     """The links (a, b) among pairs (a, n, b, m), a written table."""
     side = lambda c: bases.select(F.col("rep").alias(c), F.col("base").alias(f"{c}_base"), F.col("more").alias(f"{c}_more"), F.col("less").alias(f"{c}_less"))
     based = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")

@@ -52,7 +52,7 @@ def test_derived_answers(frame):
     both = lambda i, j: len({*sets[i]} & {*sets[j]})
     bases = frame([(i, j, len(sets[i]) - both(i, j), len(sets[j]) - both(i, j)) for i, j in near.items()], "rep long, base long, more long, less long")
     pairs = frame([(i, len(sets[i]), j, len(sets[j])) for i in sets for j in sets if i < j], "a long, n long, b long, m long")
-    got = {(x.a, x.b) for x in jaccard_join._derived(pairs, bases, rows, 55).collect()}
+    got = {(x.a, x.b) for x in jaccard_join._derived(pairs, bases, lambda ids: rows.join(ids, "rep", "left_semi"), 55).collect()}
     assert got == {(i, j) for i in sets for j in sets if i < j and 100 * both(i, j) >= 55 * len({*sets[i]} | {*sets[j]})} and got
 
 
