@@ -45,15 +45,27 @@ def xor_sum(hexed: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(hexed, F.lit("([0-9A-Fa-f]{2})"), F.lit(1)), F.lit(0), lambda a, p: a.bitwiseXOR(F.conv(p, 16, 10).cast("int")))
 
 
-#: Mode 1 parameter id -> (name, factor, offset) of the value's whole number.
-OBD = {4: ("engineLoad", 100 / 255, 0), 5: ("coolantTemp", 1, -40), 12: ("rpm", 0.25, 0), 13: ("obdSpeed", 1, 0), 17: ("throttle", 100 / 255, 0), 47: ("fuel", 100 / 255, 0)}
+#: Parameter id -> (name, factor, divisor, offset) of the value's whole number.
+OBD = {
+    0x04: ("engineLoad", 100, 255, 0),
+    0x05: ("coolantTemp", 1, 1, -40),
+    0x0B: ("mapIntake", 1, 1, 0),
+    0x0C: ("rpm", 1, 4, 0),
+    0x0D: ("obdSpeed", 1, 1, 0),
+    0x0F: ("intakeTemp", 1, 1, -40),
+    0x11: ("throttle", 100, 255, 0),
+    0x21: ("milDistance", 1, 1, 0),
+    0x2F: ("fuel", 100, 255, 0),
+    0x31: ("clearedDistance", 1, 1, 0),
+}
 
 
 def obd(pid: Column, value: Column) -> tuple[Column, Column]:
-    """(name, value) of an OBD parameter; null for one that isn't known."""
-    name, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for k, (n, factor, offset) in OBD.items():
-        name, number = F.when(pid == k, n).otherwise(name), F.when(pid == k, value * F.lit(float(factor)) + float(offset)).otherwise(number)
+    """(name, value) of an OBD parameter, in whole numbers; null for one that isn't known."""
+    name, number, whole = F.lit(None).cast("string"), F.lit(None).cast("long"), value.cast("long")
+    for k, (n, factor, divisor, offset) in OBD.items():
+        name = F.when(pid == k, n).otherwise(name)
+        number = F.when(pid == k, F.call_function("div", whole * factor, F.lit(divisor)) + offset).otherwise(number)
     return name, number
 
 

@@ -10,17 +10,45 @@ from .folds import ordered_fold
 from .mobile import STAGES
 
 
-def dimensions(df: DataFrame, now_ms: int, stale_s: int = 600, grace_s: int = 180) -> DataFrame:
-    """gps, net, mqtt and outbox state per row of latest telemetry (device_id, fix_ms, gps_ok, network, validated, mqtt_ms, pending, pending_before)."""
+def dimensions(df: DataFrame, mqtt: DataFrame, now_ms: int, stale_s: int = 600) -> DataFrame:
+    """gps, net, mqtt and outbox state per row of latest telemetry (device_id, fix_ms, gps_ok, network, validated, pending, pending_before); mqtt: mqtt_states()."""
     age = F.lit(now_ms) - F.col("fix_ms")
-    return df.select(
+    return df.join(mqtt, "device_id", "left").select(
         "device_id", F.when(~F.col("gps_ok"), "NO_FIX").when(age > stale_s * 1000, "STALE").otherwise("OK").alias("gps"),
         F.when(F.col("network").isNull(), "none").when(~F.col("validated"), "unvalidated").otherwise(F.col("network")).alias("net"),
-        F.when(F.lit(now_ms) - F.col("mqtt_ms") <= grace_s * 1000, "UP").otherwise("DOWN").alias("mqtt"),
-        F.when(F.coalesce("pending", F.lit(0)) == 0, "EMPTY").when(F.col("pending") < F.col("pending_before"), "DRAINING").otherwise("PENDING").alias("outbox"),
+        F.coalesce("mqtt", F.lit("UNKNOWN")).alias("mqtt"),
+        F.when(F.coalesce("pending", F.lit(0)) <= 0, "EMPTY").when(F.col("pending") < F.col("pending_before"), "DRAINING").otherwise("PENDING").alias("outbox"),
     )
 
 
+def mqtt_states(arrivals: DataFrame, now_ms: int, grace_s: int = 180) -> DataFrame:
+    """(device_id, mqtt) at now_ms by a device's arrivals (device_id, id, server_ms, mqtt: whether it came that way).
+
+    A first arrival by MQTT connects. A connected device that nothing comes from for grace_s is disconnected; its next arrival by
+    MQTT makes it connecting, and the one after that connected.
+    """
+
+    class State:
+        mqtt, seen, device = "UNKNOWN", 0, None
+
+        def tick(self, at):
+            if self.mqtt == "CONNECTED" and at - self.seen > grace_s * 1000:
+                self.mqtt = "DISCONNECTED"
+
+        def step(self, r):
+            self.tick(r.server_ms)
+            if r.mqtt:
+                self.mqtt = "CONNECTING" if self.mqtt == "DISCONNECTED" else "CONNECTED"
+            self.seen, self.device = r.server_ms, r.device_id
+            return []
+
+        def finish(self):
+            self.tick(now_ms)
+            return [(self.device, self.mqtt)]
+
+    return ordered_fold(arrivals.select("device_id", "id", "server_ms", "mqtt"), "device_id", ["server_ms", "id"], State, "device_id long, mqtt string")
+
+
 def presence_stats(states: DataFrame, overdue: Column) -> DataFrame:
     """Devices by state, and how many of them are overdue."""
     return states.groupBy("state").agg(F.count("*").alias("devices"), F.count_if(overdue).alias("overdue"))
@@ -51,7 +79,7 @@ def status_updates(df: DataFrame, status: Column) -> DataFrame:
 
 
 def stalled(df: DataFrame, moving_s: int = 240, still_s: int = 360, cooldown_s: int = 360) -> DataFrame:
-    """Positions at which a device has kept its coordinates for moving_s, or still_s where it says that it stands; cooldown_s lie between two of them."""
+    """Positions at which a device has kept its coordinates for moving_s, or still_s where it says that it stands; cooldown_s lie between two of them while it stands; movement ends the wait."""
     w = by_time()
     same = (F.lag("latitude").over(w) == F.col("latitude")) & (F.lag("longitude").over(w) == F.col("longitude"))
     d = df.withColumn("x_since", F.when(~F.coalesce(same, F.lit(False)), F.col("fix_ms")))
@@ -62,6 +90,9 @@ def stalled(df: DataFrame, moving_s: int = 240, still_s: int = 360, cooldown_s:
         last = None
 
         def step(self, r):
+            if not r.due:
+                self.last = None
+                return []
             if self.last is not None and r.fix_ms - self.last < cooldown_s * 1000:
                 return []
             self.last = r.fix_ms
@@ -70,23 +101,33 @@ def stalled(df: DataFrame, moving_s: int = 240, still_s: int = 360, cooldown_s:
         def finish(self):
             return []
 
-    return ordered_fold(d.where(due).select("device_id", "id", "fix_ms"), "device_id", ["fix_ms", "id"], Cool, "device_id long, position_id long, event_ms long")
+    return ordered_fold(d.select("device_id", "id", "fix_ms", due.alias("due")), "device_id", ["fix_ms", "id"], Cool, "device_id long, position_id long, event_ms long")
 
 
 def telemetry_changes(df: DataFrame, low: int = 10) -> DataFrame:
-    """(device_id, position_id, type) by the row before: gps_on, network, battery and journey_id of telemetry rows."""
+    """(device_id, position_id, type, cause, confidence) of telemetry rows (gps_on, network, battery, journey_started, journey_ended, net_cause, net_conf).
+
+    What a row doesn't tell stays as it was; a first value is no change. Network changes have a cause and a confidence, which
+    are `inferred` where the row gives no cause, or a confidence other than confirmed or suspected.
+    """
     w = by_time()
-    was = lambda c: F.lag(c).over(w)
-    net, old = F.coalesce("network", F.lit("none")), F.coalesce(was("network"), F.lit("none"))
-    seen = was("id").isNotNull()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    state = {c: F.last(c, ignorenulls=True).over(upto) for c in ("gps_on", "network", "battery")}
+    d = df.withColumns({f"x_{c}": v for c, v in state.items()})
+    d = d.withColumns({f"x_was_{c}": F.lag(f"x_{c}").over(w) for c in state})
+    net, old = F.col("x_network"), F.col("x_was_network")
+    told = lambda name, kind: F.when(F.col(name), F.struct(F.lit(kind).alias("type"), F.lit(False).alias("net")))
+    made = lambda kind, net=False: F.struct(F.lit(kind).alias("type"), F.lit(net).alias("net"))
     kinds = F.array(
-        F.when(was("gps_on") & ~F.col("gps_on"), "gpsOff").when(~was("gps_on") & F.col("gps_on"), "gpsOn"),
-        F.when(seen & (old != "none") & (net == "none"), "networkLost").when(seen & (old == "wifi") & (net != "wifi"), "wifiLost").when(seen & (old == "none") & (net != "none"), "networkRestored"),
-        F.when((was("battery") > low) & (F.col("battery") <= low), "batteryLow"),
-        F.when(seen & was("journey_id").isNull() & F.col("journey_id").isNotNull(), "journeyStart").when(was("journey_id").isNotNull() & F.col("journey_id").isNull(), "journeyEnd"),
+        F.when(F.col("x_was_gps_on") & ~F.col("x_gps_on"), made("gpsOff")).when(~F.col("x_was_gps_on") & F.col("x_gps_on"), made("gpsOn")),
+        F.when(old == net, None).when(old.isNotNull() & (net == "none"), made("networkLost", True)).when((old == "wifi") & net.isNotNull(), made("wifiLost", True)).when((old == "none") & net.isNotNull(), made("networkRestored", True)),
+        F.when((F.col("x_was_battery") > low) & F.col("x_battery").between(0, low), made("batteryLow")),
+        told("journey_started", "journeyStart"), told("journey_ended", "journeyEnd"),
     )
-    d = df.withColumn("x_kinds", F.filter(kinds, lambda k: k.isNotNull()))
-    return d.select("device_id", F.col("id").alias("position_id"), F.explode("x_kinds").alias("type"))
+    d = d.withColumn("x_kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+    cause = F.when(F.col("x_kind.net"), F.when(F.trim("net_cause") != "", F.col("net_cause")).otherwise("inferred"))
+    sure = F.when(F.col("x_kind.net"), F.when(F.col("net_conf").isin("confirmed", "suspected"), F.col("net_conf")).otherwise("inferred"))
+    return d.select("device_id", F.col("id").alias("position_id"), F.col("x_kind.type").alias("type"), cause.alias("cause"), sure.alias("confidence"))
 
 
 def diagnostics(df: DataFrame, body: str = "body") -> DataFrame:
@@ -98,14 +139,36 @@ def diagnostics(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def eligibility(df: DataFrame, cooldown_s: int = 900, hourly: int = 3) -> DataFrame:
-    """decision per request (device_id, ts, enabled, token, active): the first reason in order that refuses it, or allow. All requests count as attempts."""
-    w = Window.partitionBy("device_id").orderBy("ts")
-    last = F.max("ts").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    hour = F.count("*").over(w.rangeBetween(-3_600_000, -1))
-    return df.withColumn(
-        "decision", F.when(~F.col("enabled"), "disabled").when(F.col("token").isNull(), "no_token").when(F.col("active"), "active")
-        .when(F.col("ts") - last < cooldown_s * 1000, "cooldown").when(hour >= hourly, "hourly_limit").otherwise("allow"),
-    )
+    """(device_id, id, ts, decision) per request (device_id, id, ts, enabled, token, active): the first reason in order that refuses it, or allow.
+
+    Only requests that were allowed count for the cooldown and the limit of an hour.
+    """
+
+    class Requests:
+        def __init__(self):
+            self.sent: list[int] = []
+
+        def step(self, r):
+            self.sent = [x for x in self.sent if x >= r.ts - max(3_600_000, cooldown_s * 1000)]
+            decision = "allow"
+            if not r.enabled:
+                decision = "disabled"
+            elif r.token is None:
+                decision = "no_token"
+            elif r.active:
+                decision = "active"
+            elif self.sent and r.ts - self.sent[-1] < cooldown_s * 1000:
+                decision = "cooldown"
+            elif sum(x >= r.ts - 3_600_000 for x in self.sent) >= hourly:
+                decision = "hourly_limit"
+            else:
+                self.sent.append(r.ts)
+            return [(r.device_id, r.id, r.ts, decision)]
+
+        def finish(self):
+            return []
+
+    return ordered_fold(df.select("device_id", "id", "ts", "enabled", "token", "active"), "device_id", ["ts", "id"], Requests, "device_id long, id long, ts long, decision string")
 
 
 def stage_reached(reports: DataFrame) -> DataFrame:

@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settled
 
-def ancestors(groups: DataFrame, levels: int = 2) -> DataFrame:
-    """(group_id, ancestor_id): each group with itself and its ancestors up to so many levels above."""
-    up = groups.select(F.col("id").alias("child"), F.col("group_id").alias("parent"))
-    every = groups.select(F.col("id").alias("group_id"), F.col("id").alias("ancestor_id"))
-    at = every
-    for _ in range(levels):
-        at = at.join(up, F.col("ancestor_id") == F.col("child")).where("parent is not null").select("group_id", F.col("parent").alias("ancestor_id"))
-        every = every.union(at)
-    return every.distinct()
+
+def closure(groups: DataFrame) -> DataFrame:
+    """(group_id, ancestor_id, distance): each group with itself and all that is above it, to any depth.
+
+    Pointer doubling: every round joins paths to paths, so a depth of n takes about log2(n) rounds, each of which is checkpointed.
+    The groups of a cycle are each other's ancestors, at the distance of the first meeting.
+    """
+    reach = settled(groups.where("group_id is not null and group_id <> id").select(F.col("id").alias("group_id"), F.col("group_id").alias("ancestor_id"), F.lit(1).alias("distance")).distinct())
+    known = reach.count()
+    while True:
+        on = reach.select(F.col("group_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("distance").alias("more"))
+        longer = reach.join(on, "ancestor_id").where("group_id <> above").select("group_id", F.col("above").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
+        reach = settled(reach.union(longer).groupBy("group_id", "ancestor_id").agg(F.min("distance").alias("distance")))
+        found = reach.count()
+        if found == known:
+            return reach.union(groups.select("id", "id", F.lit(0)).distinct())
+        known = found
+
+
+def ancestors(groups: DataFrame) -> DataFrame:
+    """(group_id, ancestor_id): each group with itself and its ancestors."""
+    return closure(groups).select("group_id", "ancestor_id")
 
 
 def permitted_devices(user_device: DataFrame, user_group: DataFrame, groups: DataFrame, devices: DataFrame, with_groups: bool = True) -> DataFrame:
@@ -32,22 +46,14 @@ def permitted(df: DataFrame, links: DataFrame, user_id: int, key: str = "device_
     return df.join(links.where(F.col("user_id") == user_id).select(F.col("device_id").alias(key)).distinct(), key, "left_semi")
 
 
-def descendants(groups: DataFrame, roots: list[int], most: int = 100) -> DataFrame:
-    """Ids of the groups below roots, roots included, level by level to any depth up to most; a cycle ends where it meets itself."""
-    below = groups.select(F.col("id").alias("x_id"), F.col("group_id").alias("x_up"))
-    seen = level = groups.where(F.col("id").isin(roots)).select("id")
-    for _ in range(most):
-        level = below.join(level, F.col("x_up") == F.col("id")).select(F.col("x_id").alias("id")).distinct().join(seen, "id", "left_anti")
-        if level.isEmpty():
-            return seen.distinct()
-        seen = seen.union(level)
-    raise ValueError("groups are nested too deeply")
-
-
-def looked_up(devices: DataFrame, groups: DataFrame, own: DataFrame, of_groups: DataFrame, default: float) -> DataFrame:
-    """(id, value): a device's own attribute, else its nearest group's up to two levels above, else the default."""
-    g = groups.select(F.col("id").alias("g1"), F.col("group_id").alias("g2"))
-    d = devices.select("id", F.col("group_id").alias("g1")).join(g, "g1", "left")
-    v = lambda k: of_groups.select(F.col("group_id").alias(k), F.col("value").alias(f"v_{k}"))
-    d = d.join(own.select("id", F.col("value").alias("v_own")), "id", "left").join(v("g1"), "g1", "left").join(v("g2"), "g2", "left")
-    return d.select("id", F.coalesce("v_own", "v_g1", "v_g2", F.lit(default)).alias("value"))
+def descendants(groups: DataFrame, roots: list[int]) -> DataFrame:
+    """Ids of the groups below roots, roots included, to any depth."""
+    return closure(groups).where(F.col("ancestor_id").isin(roots)).select(F.col("group_id").alias("id")).distinct()
+
+
+def looked_up(devices: DataFrame, groups: DataFrame, own: DataFrame, of_groups: DataFrame, default: float, server: float | None = None) -> DataFrame:
+    """(id, value): a device's own attribute, else its nearest group's, else the server's, else the default. Of two values of one group the lower counts."""
+    met = closure(groups).join(of_groups.select(F.col("group_id").alias("ancestor_id"), "value"), "ancestor_id").where("value is not null")
+    nearest = met.groupBy("group_id").agg(F.min(F.struct("distance", "value"))["value"].alias("x_group"))
+    d = devices.select("id", "group_id").join(own.groupBy("id").agg(F.min("value").alias("x_own")), "id", "left").join(nearest, "group_id", "left")
+    return d.select("id", F.coalesce("x_own", "x_group", F.lit(server).cast("double"), F.lit(default)).alias("value"))

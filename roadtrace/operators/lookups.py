@@ -54,9 +54,9 @@ def limit_of(fence: Column, position: Column, device: Column) -> Column:
     return F.coalesce(some(fence), some(position), some(device), F.lit(0.0))
 
 
-def device_objects(direct: DataFrame, by_group: DataFrame, groups: DataFrame, devices: DataFrame, key: str, levels: int = 2) -> DataFrame:
+def device_objects(direct: DataFrame, by_group: DataFrame, groups: DataFrame, devices: DataFrame, key: str) -> DataFrame:
     """(device_id, key): objects linked to a device, or to its group or a group above that."""
-    above = hierarchy.ancestors(groups, levels).join(by_group.withColumnRenamed("group_id", "ancestor_id"), "ancestor_id").select("group_id", key)
+    above = hierarchy.ancestors(groups).join(by_group.withColumnRenamed("group_id", "ancestor_id"), "ancestor_id").select("group_id", key)
     through = devices.select(F.col("id").alias("device_id"), "group_id").join(above, "group_id").select("device_id", key)
     return direct.select("device_id", key).union(through).distinct()
 

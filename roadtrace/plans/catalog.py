@@ -220,7 +220,6 @@ def _(s, d):
     return _routed(s, d, pos(s, d))
 
 
-QUERIES["rep_notification_routing_all"], SQL["rep_notification_routing_all"] = QUERIES["rep_notification_routing"], SQL["rep_notification_routing"]
 
 
 def _routed(s, d, positions):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.geo import points
-from ..operators import channel, lookups, pipeline, reports, request
+from ..operators import channel, hierarchy, lookups, pipeline, reports, request
 from ..operators import events as ev
 from ..sources import adapter
 from ..sources.adapter import GEOFENCES, HOUR, SQL_DISTANCE, START_MS, sql_haversine
@@ -86,13 +86,35 @@ def _(s, d):
     return lookups.routed(e, rules, _dn(s, d), perms(s, d), NOW, 21_000, [2])
 
 
+_deep = lambda s, d: adapter.devices(s, d).select("id", F.when(F.col("id") >= 3, F.expr("id div 3")).alias("group_id"))
+DEEP = """gr AS (SELECT id, CASE WHEN id >= 3 THEN id // 3 END AS up FROM dev)""", "cl AS (SELECT id AS group_id, id AS ancestor_id, 0 AS distance FROM gr UNION ALL SELECT cl.group_id, gr.up, cl.distance + 1 FROM cl JOIN gr ON gr.id = cl.ancestor_id WHERE gr.up IS NOT NULL)"
+by("group_closure", "SELECT * FROM cl", lambda s, d: hierarchy.closure(_deep(s, d)), *DEEP)
+by(
+    "inherited_attribute",
+    "SELECT gr.id, coalesce(CASE WHEN gr.id % 17 = 0 THEN gr.id * 1.0 END, n.v, 4.5) AS value FROM gr LEFT JOIN (SELECT group_id, min_by(ancestor_id * 2.0, distance) AS v FROM cl WHERE ancestor_id % 5 = 1 GROUP BY 1) n ON n.group_id = gr.up",
+    lambda s, d: hierarchy.looked_up(_deep(s, d), _deep(s, d), _deep(s, d).where("id % 17 = 0").select("id", F.col("id").cast("double").alias("value")), _deep(s, d).where("id % 5 = 1").select(F.col("id").alias("group_id"), (F.col("id") * 2.0).alias("value")), 7.0, server=4.5),
+    *DEEP,
+)
+
+
 # Mobile channel
-@query("presence_dimensions", f"""SELECT device_id, CASE WHEN NOT ignition THEN 'NO_FIX' WHEN {NOW} - fix_ms > 600000 THEN 'STALE' ELSE 'OK' END AS gps,
-  CASE id % 4 WHEN 3 THEN 'none' ELSE CASE WHEN id % 5 = 0 THEN 'unvalidated' WHEN id % 4 = 0 THEN 'wifi' ELSE 'mobile' END END AS net, CASE WHEN {NOW} - server_ms <= 180000 THEN 'UP' ELSE 'DOWN' END AS mqtt,
-  CASE WHEN id % 7 = 0 THEN 'EMPTY' WHEN id % 7 < id % 5 THEN 'DRAINING' ELSE 'PENDING' END AS outbox FROM l""", STALE)
+@query(
+    "presence_dimensions",
+    f"""SELECT device_id, CASE WHEN NOT ignition THEN 'NO_FIX' WHEN {NOW} - fix_ms > 600000 THEN 'STALE' ELSE 'OK' END AS gps,
+  CASE id % 4 WHEN 3 THEN 'none' ELSE CASE WHEN id % 5 = 0 THEN 'unvalidated' WHEN id % 4 = 0 THEN 'wifi' ELSE 'mobile' END END AS net, s.mqtt,
+  CASE WHEN id % 7 - 1 <= 0 THEN 'EMPTY' WHEN id % 7 - 1 < id % 5 THEN 'DRAINING' ELSE 'PENDING' END AS outbox
+FROM l JOIN (SELECT device_id, CASE WHEN st = 'CONNECTED' AND {NOW} - seen > 180000 THEN 'DISCONNECTED' ELSE st END AS mqtt FROM mq QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY rn DESC) = 1) s USING (device_id)""",
+    STALE,
+    "ar AS (SELECT device_id, server_ms, id % 3 <> 0 AS mqtt, row_number() OVER (PARTITION BY device_id ORDER BY server_ms, id) AS rn FROM p)",
+    """mq AS (SELECT DISTINCT device_id, 0::BIGINT AS rn, 0::BIGINT AS seen, 'UNKNOWN' AS st FROM p UNION ALL
+  SELECT device_id, rn, server_ms, CASE WHEN NOT mqtt THEN st WHEN st = 'DISCONNECTED' THEN 'CONNECTING' ELSE 'CONNECTED' END FROM (
+    SELECT ar.device_id, ar.rn, ar.server_ms, ar.mqtt, CASE WHEN mq.st = 'CONNECTED' AND ar.server_ms - mq.seen > 180000 THEN 'DISCONNECTED' ELSE mq.st END AS st
+    FROM mq JOIN ar ON ar.device_id = mq.device_id AND ar.rn = mq.rn + 1))""",
+)
 def _(s, d):
-    rows = request.latest(pos(s, d)).withColumns({"gps_ok": F.col("ignition"), "network": F.when(F.col("id") % 4 == 0, "wifi").when(F.col("id") % 4 < 3, "mobile"), "validated": F.col("id") % 5 != 0, "mqtt_ms": F.col("server_ms"), "pending": F.col("id") % 7, "pending_before": F.col("id") % 5})
-    return channel.dimensions(rows, NOW)
+    known = {"gps_ok": F.col("ignition"), "validated": F.col("id") % 5 != 0, "pending": F.col("id") % 7 - 1, "pending_before": F.col("id") % 5}
+    rows = request.latest(pos(s, d)).withColumns(known | {"network": F.when(F.col("id") % 4 == 0, "wifi").when(F.col("id") % 4 < 3, "mobile")})
+    return channel.dimensions(rows, channel.mqtt_states(pos(s, d).withColumn("mqtt", F.col("id") % 3 != 0), NOW), NOW)
 
 
 by("presence_stats", f"SELECT state, count(*) AS devices, count(*) FILTER (age > 900000) AS overdue FROM (SELECT {NOW} - fix_ms AS age, CASE WHEN {NOW} - fix_ms > 600000 THEN 'OFFLINE' WHEN {NOW} - fix_ms > 300000 THEN 'SUSPECT' ELSE 'ONLINE' END AS state FROM l) GROUP BY 1",
@@ -101,23 +123,51 @@ by("outcome_counters", "SELECT coalesce(alarm, 'none') AS outcome, count(*) AS n
 by("ev_device_status", f"""SELECT device_id, 'deviceOnline' AS type, server_ms AS event_ms FROM x WHERE b IS NULL OR server_ms - b > 600000 UNION ALL SELECT device_id, 'deviceUnknown', server_ms + 600000 FROM x WHERE coalesce(n, {NOW}) - server_ms > 600000""",
    lambda s, d: channel.status_changes(pos(s, d), NOW), "x AS (SELECT *, lag(server_ms) OVER w AS b, lead(server_ms) OVER w AS n FROM (SELECT DISTINCT device_id, server_ms FROM p) WINDOW w AS (PARTITION BY device_id ORDER BY server_ms))")
 by("status_update", f"SELECT device_id, id AS position_id, s AS status FROM (SELECT *, lag(s) OVER {W} AS b FROM (SELECT *, CASE WHEN ignition THEN 'online' ELSE 'offline' END AS s FROM p)) WHERE b IS NULL OR s <> b", lambda s, d: channel.status_updates(pos(s, d), F.when(F.col("ignition"), "online").otherwise("offline")))
-by("ev_mobile_stalled", "SELECT device_id, id AS position_id, ms AS event_ms FROM a WHERE ok", lambda s, d: channel.stalled(pos(s, d), 30, 60),
-   f"""st AS (SELECT * FROM (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY fix_ms, id ROWS UNBOUNDED PRECEDING) AS since FROM (SELECT *, CASE WHEN lag(latitude) OVER {W} = latitude AND lag(longitude) OVER {W} = longitude THEN NULL ELSE fix_ms END AS own FROM p)) WHERE fix_ms - since >= CASE WHEN motion THEN 30000 ELSE 60000 END)""", *kept("DT >= 360000", "st"))
-
-
-@query("ev_mobile_telemetry", """SELECT device_id, id AS position_id, type FROM (SELECT device_id, id, unnest(list_filter([CASE WHEN bi AND NOT ignition THEN 'gpsOff' WHEN NOT bi AND ignition THEN 'gpsOn' END,
-  CASE WHEN seen AND bn <> 'none' AND net = 'none' THEN 'networkLost' WHEN seen AND bn = 'wifi' AND net <> 'wifi' THEN 'wifiLost' WHEN seen AND bn = 'none' AND net <> 'none' THEN 'networkRestored' END,
-  CASE WHEN bf > 10 AND fuel <= 10 THEN 'batteryLow' END, CASE WHEN seen AND bj IS NULL AND j IS NOT NULL THEN 'journeyStart' WHEN bj IS NOT NULL AND j IS NULL THEN 'journeyEnd' END], lambda x: x IS NOT NULL)) AS type
-  FROM (SELECT *, lag(ignition) OVER w AS bi, lag(net) OVER w AS bn, lag(fuel) OVER w AS bf, lag(j) OVER w AS bj, lag(id) OVER w IS NOT NULL AS seen FROM (SELECT *, CASE id % 4 WHEN 0 THEN 'wifi' WHEN 3 THEN 'none' ELSE 'mobile' END AS net, CASE WHEN id % 300 < 150 THEN id // 300 END AS j FROM p) WINDOW w AS (PARTITION BY device_id ORDER BY fix_ms, id)))""")
+by(
+    "ev_mobile_stalled",
+    "SELECT device_id, id AS position_id, ms AS event_ms FROM sw WHERE ok",
+    lambda s, d: channel.stalled(pos(s, d), 30, 60),
+    f"""st AS (SELECT *, fix_ms - last_value(own IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY fix_ms, id ROWS UNBOUNDED PRECEDING) >= CASE WHEN motion THEN 30000 ELSE 60000 END AS due
+  FROM (SELECT *, CASE WHEN lag(latitude) OVER {W} = latitude AND lag(longitude) OVER {W} = longitude THEN NULL ELSE fix_ms END AS own FROM p))""",
+    f"so AS (SELECT *, row_number() OVER {W} AS rn FROM st)",
+    """sw AS (SELECT DISTINCT device_id, 0::BIGINT AS rn, 0::BIGINT AS id, NULL::BIGINT AS ms, false AS ok FROM p UNION ALL
+  SELECT so.device_id, so.rn, so.id, CASE WHEN NOT due THEN NULL WHEN sw.ms IS NULL OR so.fix_ms - sw.ms >= 360000 THEN so.fix_ms ELSE sw.ms END, due AND (sw.ms IS NULL OR so.fix_ms - sw.ms >= 360000)
+  FROM sw JOIN so ON so.device_id = sw.device_id AND so.rn = sw.rn + 1)""",
+)
+
+
+@query(
+    "ev_mobile_telemetry",
+    """SELECT device_id, id AS position_id, k.type AS type, CASE WHEN k.net THEN CASE WHEN id % 6 = 1 THEN 'airplane' ELSE 'inferred' END END AS cause,
+  CASE WHEN k.net THEN CASE WHEN id % 8 = 1 THEN 'confirmed' ELSE 'inferred' END END AS confidence FROM (SELECT device_id, id, unnest(list_filter([
+  CASE WHEN bg AND NOT g THEN {type: 'gpsOff', net: false} WHEN NOT bg AND g THEN {type: 'gpsOn', net: false} END,
+  CASE WHEN bn = n OR bn IS NULL THEN NULL WHEN n = 'none' THEN {type: 'networkLost', net: true} WHEN bn = 'wifi' THEN {type: 'wifiLost', net: true} WHEN bn = 'none' THEN {type: 'networkRestored', net: true} END,
+  CASE WHEN bb > 10 AND b <= 10 AND b >= 0 THEN {type: 'batteryLow', net: false} END,
+  CASE WHEN id % 150 = 0 THEN {type: 'journeyStart', net: false} END, CASE WHEN id % 150 = 75 THEN {type: 'journeyEnd', net: false} END], lambda x: x IS NOT NULL)) AS k
+  FROM (SELECT *, lag(g) OVER w AS bg, lag(n) OVER w AS bn, lag(b) OVER w AS bb FROM (SELECT device_id, id, fix_ms, last_value(gps IGNORE NULLS) OVER u AS g, last_value(net IGNORE NULLS) OVER u AS n, last_value(bat IGNORE NULLS) OVER u AS b
+    FROM (SELECT *, CASE WHEN id % 10 > 0 THEN ignition END AS gps, CASE WHEN id % 9 > 2 THEN CASE id % 4 WHEN 0 THEN 'wifi' WHEN 3 THEN 'none' ELSE 'mobile' END END AS net, CASE WHEN id % 7 > 0 THEN fuel - 5 END AS bat FROM p)
+    WINDOW u AS (PARTITION BY device_id ORDER BY fix_ms, id ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY device_id ORDER BY fix_ms, id)))""",
+)
 def _(s, d):
-    return channel.telemetry_changes(pos(s, d).withColumns({"gps_on": F.col("ignition"), "network": F.when(F.col("id") % 4 == 0, "wifi").when(F.col("id") % 4 < 3, "mobile"), "battery": F.col("fuel"), "journey_id": F.when(F.col("id") % 300 < 150, F.floor(F.col("id") / 300))}))
+    i, net = F.col("id"), F.when(F.col("id") % 4 == 0, "wifi").when(F.col("id") % 4 == 3, "none").otherwise("mobile")
+    told = {"gps_on": F.when(i % 10 > 0, F.col("ignition")), "network": F.when(i % 9 > 2, net), "battery": F.when(i % 7 > 0, F.col("fuel") - 5)}
+    more = {"journey_started": i % 150 == 0, "journey_ended": i % 150 == 75, "net_cause": F.when(i % 6 == 1, "airplane").when(i % 6 == 2, " "), "net_conf": F.when(i % 8 == 1, "confirmed").otherwise("sure")}
+    return channel.telemetry_changes(pos(s, d).withColumns(told | more))
 
 
 by("ev_mobile_diagnostics", "SELECT device_id, id, array_to_string(list_filter([CASE WHEN id % 9 = 0 THEN 'crashes' END, CASE WHEN id % 5 = 0 THEN 'stuckStops' END, CASE WHEN id % 7 = 0 THEN 'mqttDown' END], lambda x: x IS NOT NULL), ',') AS problems FROM p WHERE (id % 9 = 0 OR id % 5 = 0 OR id % 7 = 0) AND id % 11 <> 0",
    lambda s, d: channel.diagnostics(pos(s, d).withColumn("body", F.when(F.col("id") % 11 == 0, "no json").otherwise(F.format_string('{"crashes": %d, "stuckStops": %d, "clockSteps": 0, "mqtt": %s}', (F.col("id") % 9 == 0).cast("int"), (F.col("id") % 5 == 0).cast("int"), F.when(F.col("id") % 7 == 0, "false").otherwise("true"))))))
-by("recovery_eligibility", """SELECT id, CASE WHEN id % 13 = 0 THEN 'disabled' WHEN id % 11 = 0 THEN 'no_token' WHEN id % 7 = 0 THEN 'active' WHEN fix_ms - b < 200000 THEN 'cooldown' WHEN h >= 5 THEN 'hourly_limit' ELSE 'allow' END AS decision FROM (
-  SELECT *, max(fix_ms) OVER (PARTITION BY device_id ORDER BY fix_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, count(*) OVER (PARTITION BY device_id ORDER BY fix_ms RANGE BETWEEN 3600000 PRECEDING AND 1 PRECEDING) AS h FROM p)""",
-   lambda s, d: channel.eligibility(pos(s, d).select("id", "device_id", F.col("fix_ms").alias("ts"), (F.col("id") % 13 != 0).alias("enabled"), F.when(F.col("id") % 11 != 0, "t").alias("token"), (F.col("id") % 7 == 0).alias("active")), 200, 5).select("id", "decision"))
+by(
+    "recovery_eligibility",
+    "SELECT id, decision FROM el WHERE rn > 0",
+    lambda s, d: channel.eligibility(pos(s, d).select("id", "device_id", F.col("fix_ms").alias("ts"), (F.col("id") % 13 != 0).alias("enabled"), F.when(F.col("id") % 11 != 0, "t").alias("token"), (F.col("id") % 7 == 0).alias("active")), 200, 5).select("id", "decision"),
+    f"eo AS (SELECT *, row_number() OVER {W} AS rn FROM p)",
+    """el AS (SELECT DISTINCT device_id, 0::BIGINT AS rn, 0::BIGINT AS id, CAST([] AS BIGINT[]) AS sent, '' AS decision FROM p UNION ALL
+  SELECT device_id, rn, id, CASE WHEN decision = 'allow' THEN list_append(sent, fix_ms) ELSE sent END, decision FROM (
+    SELECT eo.device_id, eo.rn, eo.id, eo.fix_ms, el.sent, CASE WHEN eo.id % 13 = 0 THEN 'disabled' WHEN eo.id % 11 = 0 THEN 'no_token' WHEN eo.id % 7 = 0 THEN 'active'
+      WHEN eo.fix_ms - el.sent[-1] < 200000 THEN 'cooldown' WHEN len(list_filter(el.sent, lambda x: x >= eo.fix_ms - 3600000)) >= 5 THEN 'hourly_limit' ELSE 'allow' END AS decision
+    FROM el JOIN eo ON eo.device_id = el.device_id AND eo.rn = el.rn + 1))""",
+)
 _stages = "['RECEIVED', 'STARTED', 'FGS_ACTIVE', 'TRACKING_ACTIVE', 'GPS_CONFIRMED']"
 by("recovery_stages", "SELECT id // 12 AS attempt, CAST(list_reduce(list_prepend(0, list(id * 7 % 5 ORDER BY fix_ms, id)), lambda a, x: CASE WHEN x = a THEN a + 1 ELSE a END) AS INT) AS stages FROM p GROUP BY 1",
    lambda s, d: channel.stage_reached(pos(s, d).select(F.floor(F.col("id") / 12).cast("long").alias("attempt"), F.col("fix_ms").alias("ts"), F.element_at(F.expr("array" + _stages.replace("[", "(").replace("]", ")")), (F.col("id") * 7 % 5 + 1).cast("int")).alias("stage"))))
@@ -155,8 +205,13 @@ by("codec_text", "SELECT id, lower(hex(driver_unique_id || 'é')) AS hexed, driv
 _bytes = f"list_transform([1, 3, 5], lambda i: CAST('0x' || substr({_hx}, i, 2) AS INT))"
 by("codec_checksums", f"""SELECT id, list_reduce(list_prepend(65535, b), lambda a, x: list_reduce(list_prepend(xor(a, x << 8), range(8)), lambda v, k: ((CASE WHEN v & 32768 <> 0 THEN xor(v << 1, 4129) ELSE v << 1 END) & 65535))) AS crc, list_reduce(list_prepend(0, b), lambda a, x: xor(a, x)) AS xored FROM (SELECT id, {_bytes} AS b FROM p)""",
    lambda s, d: pos(s, d).select("id", codec.crc16(_hex()).alias("crc"), codec.xor_sum(_hex()).alias("xored")))
-by("codec_obd", f"SELECT id, CASE id % 50 {' '.join(f'WHEN {k} THEN {chr(39)}{n}{chr(39)}' for k, (n, _, _) in codec.OBD.items())} END AS name, round(CASE id % 50 {' '.join(f'WHEN {k} THEN course * {f!r}e0 + {o}' for k, (_, f, o) in codec.OBD.items())} END, 6) AS value, ['P', 'C', 'B', 'U'][CAST((id >> 14) & 3 AS INT) + 1] || ((id >> 12) & 3) || printf('%03X', id & 4095) AS dtc FROM p",
-   lambda s, d: pos(s, d).select("id", codec.obd(F.col("id") % 50, F.col("course"))[0].alias("name"), F.round(codec.obd(F.col("id") % 50, F.col("course"))[1], 6).alias("value"), codec.trouble_code(F.col("id")).alias("dtc")))
+by(
+    "codec_obd",
+    """SELECT id, CASE id % 50 WHEN 4 THEN 'engineLoad' WHEN 5 THEN 'coolantTemp' WHEN 11 THEN 'mapIntake' WHEN 12 THEN 'rpm' WHEN 13 THEN 'obdSpeed' WHEN 15 THEN 'intakeTemp' WHEN 17 THEN 'throttle' WHEN 33 THEN 'milDistance'
+  WHEN 47 THEN 'fuel' WHEN 49 THEN 'clearedDistance' END AS name, CASE WHEN id % 50 IN (4, 17, 47) THEN v * 100 // 255 WHEN id % 50 IN (5, 15) THEN v - 40 WHEN id % 50 = 12 THEN v // 4 WHEN id % 50 IN (11, 13, 33, 49) THEN v END AS value,
+  ['P', 'C', 'B', 'U'][CAST((id >> 14) & 3 AS INT) + 1] || ((id >> 12) & 3) || printf('%03X', id & 4095) AS dtc FROM (SELECT id, CAST(id * 7 % 1021 AS BIGINT) AS v FROM p)""",
+    lambda s, d: pos(s, d).select("id", *[c.alias(n) for c, n in zip(codec.obd(F.col("id") % 50, F.col("id") * 7 % 1021), ("name", "value"))], codec.trouble_code(F.col("id")).alias("dtc")),
+)
 by("codec_dates", f"SELECT id, CAST(epoch_ms(make_timestamp(2024, CAST(id % 12 + 1 AS INT), CAST(id % 28 + 1 AS INT), CAST(id % 24 AS INT), CAST(id % 60 AS INT), 7)) AS BIGINT) AS built, (SELECT min_by(x, abs(x - {NOW})) FROM (SELECT unnest([t - 86400000, t, t + 86400000]) AS x)) AS near FROM (SELECT id, {NOW} - {NOW} % 86400000 + (fix_ms * 7) % 86400000 AS t FROM p)",
    lambda s, d: pos(s, d).select("id", codec.built_date(F.lit(24), *[(F.col("id") % n + k).cast("int") for n, k in ((12, 1), (28, 1), (24, 0), (60, 0))], F.lit(7)).alias("built"), codec.nearest_day(F.col("fix_ms") * 7, F.lit(NOW)).alias("near")))
 _rad = lambda i, n: "+".join(f"radians({n[(k + 1) % len(n)][1]} - {n[k][1]}) * (2 + sin(radians({n[k][0]})) + sin(radians({n[(k + 1) % len(n)][0]})))" for k in range(len(n)))
