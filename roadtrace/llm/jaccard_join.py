@@ -121,11 +121,13 @@ def _entries(sent, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         several = sent.value
         for b in batches:
-            for rep, n, blob in zip(b["rep"], b["n"], b["first"]):
-                v = _first(blob)
-                bucket = _bucket(v, bits)
-                p = np.flatnonzero(several[bucket >> 3] >> (7 - (bucket & 7)) & 1)
-                yield pd.DataFrame({"v": v[p], "rep": rep, "n": n, "p": p})
+            firsts = [_first(x) for x in b["first"]]
+            size = np.array([len(x) for x in firsts], np.int64)
+            v, row = np.concatenate(firsts), np.repeat(np.arange(len(b)), size)
+            p = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+            bucket = _bucket(v, bits)
+            own = np.flatnonzero(several[bucket >> 3] >> (7 - (bucket & 7)) & 1)
+            yield pd.DataFrame({"v": v[own], "rep": b["rep"].to_numpy()[row[own]], "n": b["n"].to_numpy()[row[own]], "p": p[own]})
 
     return run
 
