@@ -8,7 +8,8 @@
    list's head. Members are verified against heads, which leaves with every linked class a base: a head whose overlap is known.
 4. Lists go on whose members are still in several components. They are cut into blocks of one component and set size, sorted
    by position. A probe skips blocks of its own component, blocks whose size or first position rules them out, and in the others
-   the entries from the first position on that is too late.
+   the entries from the first position on that is too late. Of each pair that is met, here and with heads, bits of parity tell how much the sets
+   must differ at least, which rules most wrong ones out.
 5. Answers of the pairs that are left derive from their bases': |a n b| lies between |A n B| less what a and b lack of their bases A
    and B, and |A n B| plus what they have besides. Pairs that this leaves open, and only these, are verified on full sets.
 
@@ -34,6 +35,8 @@ from .near_dedup import shingles
 BLOCK = 1024
 #: Hashed counters of all values, of which those FAR above the mean, a fourth at most, are broadcast; and the most for lists, 8 MB as bits.
 BITS, FAR, MOST_BITS = 22, 4, 26
+#: Places of the parities, 64 to a number.
+PLACES = 1024
 
 
 def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
@@ -86,8 +89,14 @@ def _ordered(s: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return s[np.argsort(np.where(often[at] == bucket, level[at], 0), kind="stable")]
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For each of PLACES hashed places, whether an odd number of the set's values falls there. Two sets differ in as many values as places, or more."""
+    at = ((s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % PLACES
+    return np.packbits(np.bincount(at, minlength=PLACES) & 1).view(np.int64)
+
+
 def _prefixes(width: int, percent: int, sent):
-    """(rep, n, first): the first values of the sets that are asked for, as bytes."""
+    """(rep, n, first, marks): the first values of the sets that are asked for, as bytes, and their parities."""
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,8 +104,8 @@ def _prefixes(width: int, percent: int, sent):
             rows = []
             for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])):
                 if digest(s) == want:
-                    rows.append((rep, len(s), _ordered(s, sent.value)[: len(s) + 1 - -(-percent * len(s) // 100)].tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "n", "first"])
+                    rows.append((rep, len(s), _ordered(s, sent.value)[: len(s) + 1 - -(-percent * len(s) // 100)].tobytes(), _parities(s)))
+            yield pd.DataFrame(rows, columns=["rep", "n", "first", "marks"])
 
     return run
 
@@ -160,6 +169,13 @@ def _need(percent: int) -> Column:
     return F.expr(f"((n + m) * {percent} + {99 + percent}) div {100 + percent}")
 
 
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, n, b, m) whose parities don't show that the sets differ too much."""
+    met = pairs.join(marks.select(F.col("rep").alias("a"), F.col("marks").alias("x")), "a").join(marks.select(F.col("rep").alias("b"), F.col("marks").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, c: n + c)
+    return met.where(differ <= F.col("n") + F.col("m") - 2 * _need(percent)).select("a", "n", "b", "m")
+
+
 def _overlaps(pairs: DataFrame, sets) -> DataFrame:
     """pairs (a, b, ...), a written table, with `both`: the overlap of the full sets. sets(ids) gives the sets that pairs name."""
     named = sets(written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids"))
@@ -196,17 +212,18 @@ def _class_links(texts: Texts, every: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes, each named by one of its rows. Here `rep` is that row: ids may repeat."""
     spark, width = every.sparkSession, texts.width
     sent = spark.sparkContext.broadcast(_levels(every))
-    prefixes = written(texts.mapped(_prefixes(width, percent, sent), "rep long, n long, first binary"), "prefixes")
+    prefixes = written(texts.mapped(_prefixes(width, percent, sent), "rep long, n long, first binary, marks array<long>"), "prefixes")
     size = prefixes.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 8
     bits = min(MOST_BITS, max(16, (2 * size).bit_length()))
     places = lambda b: (_bucket(np.concatenate([_first(x) for x in b["first"]]), bits) for _ in (1,))
     several = spark.sparkContext.broadcast(_bits(tree_summed(prefixes, _arrays(1 << bits, places, 2), 2), 1 << bits, 2))
-    entries = prefixes.mapInPandas(_entries(several, bits), "v long, rep long, n long, p int")
+    marks = prefixes.select("rep", "marks")
+    entries = prefixes.select("rep", "n", "first").mapInPandas(_entries(several, bits), "v long, rep long, n long, p int")
     heads = entries.groupBy("v").agg(F.count("*").alias("size"), F.min(F.struct("p", "rep", "n")).alias("head")).where("size > 1")
     lists = written(entries.join(heads, "v").select("v", "rep", "n", "p", "size", F.col("head.rep").alias("head"), F.col("head.n").alias("m"), F.col("head.p").alias("q")), "lists")
 
     near = lists.where(_alike(F.col("n"), F.col("m"), percent) & (F.col("rep") != F.col("head")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(percent)))
-    pairs = written(near.select(F.col("rep").alias("a"), "n", F.col("head").alias("b"), "m").distinct(), "pairs")
+    pairs = written(_possible(near.select(F.col("rep").alias("a"), "n", F.col("head").alias("b"), "m").distinct(), marks, percent), "pairs")
     star = written(_overlaps(pairs, texts.sets).where((F.col("n") + F.col("m") - F.col("both")) * percent <= F.col("both") * 100), "star")
     links = written(star.select("a", "b"), "links")
     nearest = F.max_by(F.struct("b", "both", "m"), F.struct(F.try_divide(F.col("both"), F.col("n") + F.col("m") - F.col("both")), -F.col("b")))
@@ -217,7 +234,7 @@ def _class_links(texts: Texts, every: DataFrame, percent: int) -> DataFrame:
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v")
     open_ = written(labelled.join(mixed, "v", "left_semi"), "open")
-    pairs = written(_open_pairs(open_, percent), "pairs")
+    pairs = written(_possible(_open_pairs(open_, percent), marks, percent), "pairs")
     if pairs.isEmpty():
         return links
     return links.union(_derived(pairs, bases, texts.sets, percent))
