@@ -173,3 +173,13 @@ def test_codes_edges(frame):
     assert sorted(((x.vec_id, x.code, x.error) for x in got), key=repr) == sorted([(4, "00" * 8, 0), (4, "00" * 8, 0), (None, "00" * 8, 0), (5, None, None), (6, "02" * 8, 0)], key=repr)
     assert vector_codes.compressed(frame([], schema)).count() == 0
     assert [x.code for x in vector_codes.compressed(frame([(1, [0.1] * 7, 1), (2, [], None)], schema)).collect()] == [None, None]
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(5)
+    for n in (1, 40, 900, 5000):
+        s = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+        for k in (0, 1, n // 9, n):
+            t = np.unique(np.concatenate([s[k:], r.integers(-(2**63), 2**63 - 1, k)]))
+            differ = int(np.bitwise_count((jaccard_join._parities(s) ^ jaccard_join._parities(t)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(s, t)) and (k == 0) == (differ == 0 and len(s) == len(t) and (s == t).all())
