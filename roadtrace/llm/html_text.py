@@ -3,7 +3,8 @@
 Pages of a host are ordered by URL path and paired with the neighbour whose path is nearer and whose lines differ. Text lines
 are aligned by longest common subsequence, and lines that both have are deleted. The structure's part: menus, adverts and so on
 go by their tags, roles and class names; lines inside <article> or <main> are marked as the article's own and stay, since
-articles may quote each other.
+articles may quote each other. A class name counts only whole (see named()), and inside an article only for a minor part of its
+text: what holds half of it or more may be the article itself, so that differencing decides its lines.
 """
 
 import html
@@ -32,39 +33,55 @@ LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "op
 MAIN = {"article", "main"}
 NAMES = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
-BODY, FREE = 0, 1
+#: Words that may stand beside such a name in one class token.
+FILLERS = set("area bar block bottom box buttons container content form icons inner item items left link links list main outer page panel right section site slot text top unit wrap wrapper".split())
+#: Reader comments may be longer than the article, so that these names count whatever the size.
+READERS = {"comment", "comments", "disqus", "replies", "reply"}
+BODY, FREE, DOUBT = 0, 1, 2
 #: A page with which so much of one's lines is shared is taken for a copy and says nothing about what is template.
 COPY = 0.9
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def named(token: str) -> set[str]:
+    """The parts of a class token in NAMES, if all its parts are there or in FILLERS: ad-slot and footer, but not search-engine."""
+    pieces = {x for x in re.split(r"[^a-z0-9]+", token) if x}
+    return pieces & NAMES if pieces <= NAMES | FILLERS else set()
+
+
+def _unwanted(tag: str, attributes: str, inside: bool) -> int:
+    """Of an element: 0 wanted, 1 unwanted, 2 unwanted unless it turns out to hold the article."""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return 1
     if tag in ("html", "body") or not attributes:
-        return False
+        return 0
+    doubt = 0
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return 1
         if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in MAIN and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 1
+        if name in ("class", "id") and tag not in MAIN:
+            names = set().union(*map(named, value.split()))
+            if names & READERS or (names and not inside):
+                return 1
+            doubt = doubt or (2 if names else 0)
+    return doubt
 
 
 def lines(page: str | None) -> list[tuple[int, str]]:
-    """(BODY or FREE, text) of the page's blocks in order, white space as single spaces, references decoded.
+    """(kind, text) of the page's blocks in order, white space as single spaces, references decoded.
 
-    BODY: inside <article> or <main>. Blocks of unwanted elements, and what isn't text, are left out.
+    BODY: inside <article> or <main>. DOUBT: there, in an outermost element with an unwanted name that holds half of the text in
+    there or more. FREE: outside. Blocks of unwanted elements, and what isn't text, are left out.
     """
     if not page:
         return []
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that must be closed, and whether they are unwanted
+    out: list[tuple[int, str, int]] = []  # and the number of the outermost named element, or 0
+    stack: list[tuple[str, int]] = []  # open elements that must be closed, and whether they are unwanted
     depth: Counter[str] = Counter()  # of each tag in the stack
     last = page.rfind(">") + 1  # no tag ends after it
-    away = inside = 0
+    away = inside = doubts = element = 0
     buffer: list[str] = []
     at = 0
 
@@ -73,7 +90,7 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text and not away:
-                out.append((BODY if inside else FREE, text))
+                out.append((BODY if inside else FREE, text, element if doubts else 0))
 
     while True:
         m = TOKEN.search(page, at, last) or (OPEN.search(page, at) if at <= len(page) else None)
@@ -100,18 +117,26 @@ def lines(page: str | None) -> list[tuple[int, str]]:
                 continue
             stack.append((tag, bad))
             depth[tag] += 1
-            away += bad
+            away += bad == 1
+            element += bad == 2 and not doubts
+            doubts += bad == 2
             inside += tag in MAIN
         elif depth[tag]:
             while True:
                 t, bad = stack.pop()
                 depth[t] -= 1
-                away -= bad
+                away -= bad == 1
+                doubts -= bad == 2
                 inside -= t in MAIN
                 if t == tag:
                     break
     flush()
-    return out
+    sizes: Counter[int] = Counter()
+    for kind, text, element in out:
+        if kind == BODY:
+            sizes[element] += len(text)
+    major = {e for e, n in sizes.items() if 2 * n >= sizes.total()}
+    return [(DOUBT if element else kind, text) for kind, text, element in out if not element or element in major]
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -208,15 +233,15 @@ def _common(a, b):
 def kept(kinds: list[int], own: list[int], partners: list[list[int] | None]) -> list[int]:
     """Indices of the lines that are the page's text: own and partners' are hashes of lines, the nearest partner first.
 
-    A partner with which a page shares COPY of its lines or more is a copy and says nothing. Lines of the article stay; of the
-    others those that the first other partner hasn't. Without such a partner all lines stay, or the article where there is one.
+    A partner with which a page shares COPY of its lines or more is a copy and says nothing. BODY lines stay; of the others
+    those that the first other partner hasn't. Without such a partner all lines stay, or all but FREE ones where there are others.
     """
     for other in partners:
         if other is not None:
             both = shared(own, other)
             if len(both) < COPY * len(own):
                 return [i for i, k in enumerate(kinds) if k == BODY or i not in both]
-    return [i for i, k in enumerate(kinds) if k == BODY or BODY not in kinds]
+    return [i for i, k in enumerate(kinds) if k != FREE or all(k == FREE for k in kinds)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -231,7 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             found = [lines(h) for h in b["html"]]
             hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in f] for f in found]
-            loose = [any(k == FREE for k, _ in f) for f in found]
+            loose = [any(k != BODY for k, _ in f) for f in found]
             yield pd.DataFrame({
                 "key": b["key"], "page_id": b["page_id"], "url": b["url"], "text": [None if x else " ".join(t for _, t in f) for f, x in zip(found, loose)],
                 "kinds": [[k for k, _ in f] if x else [] for f, x in zip(found, loose)], "texts": [[t for _, t in f] if x else [] for f, x in zip(found, loose)],

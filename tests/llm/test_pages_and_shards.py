@@ -20,6 +20,30 @@ def test_html(frame):
     assert html_text.extract(frame(rows, PAGE).where("false")).count() == 0
 
 
+def test_html_names_in_articles(frame):
+    """Whole names count, for a minor part of the article; parts of other words never; differencing decides the rest."""
+    story = "<p>One long sentence of the story that goes on for a while.</p><p>And another one that ends it.</p>"
+    text = "One long sentence of the story that goes on for a while. And another one that ends it."
+    kept = {"search-engine": "Text about search engines", "share-price-analysis": "Shares rose.", "header-files-in-c": "Header files."}
+    gone = {"ad": "Buy this", "ad-slot": "Buy that", "social share": "Tell all", "comments-area": "First!", "cookie_notice": "We bake"}
+    rows, want = [], {}
+    for i, (name, words) in enumerate({**kept, **gone}.items()):
+        rows.append((i, f"http://h{i}.io/x", f"<article>{story}<div class='{name}'><p>{words}</p></div></article>"))
+        want[i] = f"{text} {words}" if name in kept else text
+    rows += [
+        (20, "http://p.io/1", "<article><div id='comment-policy-article'><p>All of it.</p></div></article>"),
+        (21, "http://p.io/2", f"<main><div class='share'>{story}</div></main>"),
+        (22, "http://q.io/a/1", f"<main><div class='notice'><p>Our notices</p>{story}</div></main>"),
+        (23, "http://q.io/a/2", "<main><div class='notice'><p>Our notices</p><p>Quite another text.</p></div></main>"),
+        (24, "http://r.io/1", f"<article>{story}<div class='comments'>{story * 9}</div></article>"),
+        (25, "http://r.io/2", f"<div class='site-footer'>Foot</div><div class='ad'>Buy</div><article>{story}</article>"),
+        (26, "http://s.io/1", "<div class='search-engine'><p>Engines.</p></div>"),
+        (27, "http://s.io/x/2", f"<article>{story}<div class=ad>Unclosed <b>advert</article>"),
+    ]
+    want |= {20: "All of it.", 21: text, 22: text, 23: "Quite another text.", 24: text, 25: text, 26: "Engines.", 27: text}
+    assert {x.page_id: x.text for x in html_text.extract(frame(rows, PAGE)).collect()} == want
+
+
 def common_lines(a, b):
     """Indices of a in one longest common subsequence, and its length, by the whole table."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
