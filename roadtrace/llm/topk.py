@@ -23,7 +23,7 @@ RESULT = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) per component. Vectors that are null or hold null or non-finite components go."""
+    """(id, v): floor(scale * x) per component. Those past 64 bits are held there. Vectors that are null or hold null or non-finite components go."""
     v = F.col(vector)
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
     return vectors.where(v.isNotNull() & F.col(key).isNotNull() & ~F.exists(v, bad)).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
@@ -84,16 +84,15 @@ def nra(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
 
 
 def exact(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for numbers whose products double precision can't hold: by whole numbers of any size. Scores must fit a long."""
+    """The same for numbers whose products double precision can't hold: by whole numbers of any size, held to 64 bits."""
     s = q.astype(object) @ x.T.astype(object) if q.shape[1] else np.zeros((len(q), len(x)), object)
+    s = np.clip(s, -(2**63), 2**63 - 1)
     rows, cols, scores = [], [], []
     for i in range(len(q)):
         order = sorted(np.flatnonzero(xid != qid[i]).tolist(), key=lambda j: (-s[i, j], xid[j]))[:k]
         rows += [i] * len(order)
         cols += order
         scores += [s[i, j] for j in order]
-    if any(not -(2**63) <= v < 2**63 for v in scores):
-        raise OverflowError("a score is no 64-bit number")
     return np.array(rows, np.int64), np.array(cols, np.int64), np.array(scores, np.int64)
 
 
@@ -165,7 +164,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block: int = 2048,
 
     queries, candidates: (id, v) of quantised(). Vectors meet those of equal length only. Ties go to the smaller id. Rows
     that repeat an id with the same vector count as rows each. Without queries or candidates the result is empty. Scores
-    must fit a long; where one of a query's best doesn't, the job fails. At most query_block queries are broadcast at a time, for one pass
+    that no long holds count as the nearest long, so that they tie; components are held to longs as well. At most query_block queries are broadcast at a time, for one pass
     over the candidates, which aren't moved; a task holds block of these and k rows a query, and only the latter are shuffled.
     """
     spark, found = queries.sparkSession, []

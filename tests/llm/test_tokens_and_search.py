@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 import sentencepiece
 
 from roadtrace.llm import quality, sentencepiece_bpe, topk
@@ -74,8 +73,14 @@ def test_topk_of_large_numbers_is_exact(frame):
             scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q and len(a) == len(b))[:4]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert sorted(map(tuple, got)) == sorted(want)
-    with pytest.raises(Exception, match="64-bit"):
-        topk.search(*[frame([(0, [2**62]), (1, [2**62])], "id long, v array<long>")] * 2, 1).collect()
+
+
+def test_topk_holds_scores_to_longs(frame):
+    """Finite vectors of any size: components and scores past 64 bits count as the nearest long, and tie there."""
+    v = topk.quantised(frame([(0, [3e38]), (1, [3e38]), (2, [1e300]), (3, [-3e38]), (4, [1.0]), (5, [float("inf")])], "vec_id long, embedding array<double>"))
+    most = 2**63 - 1
+    got = topk.search(v.where("id % 50 = 0"), v, 5).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 4, most), (0, 4, 3, -(2**63))]
 
 
 def test_quality_is_right_on_held_out(spark):
