@@ -1,3 +1,3 @@
 """The queries: catalog first, then the modules that add to it."""
 
-from . import catalog, more, motion  # noqa: F401
+from . import catalog, calendar, more, motion  # noqa: F401,I001
