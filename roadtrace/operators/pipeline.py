@@ -116,10 +116,11 @@ def at_altitude(df: DataFrame, floor: float = 0, ceiling: float = 0) -> DataFram
     return df.where(F.col("altitude") <= ceiling) if ceiling else df
 
 
-def tagged(positions: DataFrame, geofences: DataFrame, cell: float = 0.05) -> DataFrame:
-    """(id, device_id, fix_ms, geofence_id) for positions inside geofences (geofence_id, area).
+def covering(geofences: DataFrame, finest: int = 13) -> DataFrame:
+    """geofences (geofence_id, area) with kind, n, ring and reach, in one row for each cell that may hold a part: level, cy and cx.
 
-    Both sides are dealt to grid cells, so that the exact test runs for pairs in the same cell only.
+    A cell of level k is 360 / 2^k degrees wide and high, and columns go round the globe. An area's level is that at which it is
+    two to four cells wide, so that it has 36 cells at most, whatever its size.
     """
     n, ring = geo.numbers(F.col("area")), geo.points(F.col("area"))
     kind = F.regexp_extract("area", "^[A-Z]+", 0)
@@ -127,15 +128,42 @@ def tagged(positions: DataFrame, geofences: DataFrame, cell: float = 0.05) -> Da
     lat = F.when(kind == "CIRCLE", F.array(n[0])).otherwise(F.transform(ring, lambda p: p["lat"]))
     lon = F.when(kind == "CIRCLE", F.array(n[1])).otherwise(F.transform(ring, lambda p: p["lon"]))
     g = geofences.withColumns({"kind": kind, "n": n, "ring": ring, "reach": reach, "lats": lat, "lons": lon})
+    # Over the 180th meridian longitudes go from 0 to 360, as in the exact test. A line that passes it and comes from afar may be anywhere.
+    far = F.exists("lons", lambda x: x > 90) & F.exists("lons", lambda x: x < -90)
+    near = (F.col("kind") != "LINESTRING") | F.forall("lons", lambda x: F.abs(x) > 90)
+    g = g.withColumn("lons", F.when(far & near, F.transform("lons", lambda x: F.when(x < -90, x + 360).otherwise(x))).otherwise(F.col("lons")))
     dy = geo.latitude_delta(F.col("reach")) * 1.01
-    dx = geo.longitude_delta(F.col("reach"), F.array_max(F.transform("lats", F.abs))) * 1.01
-    index = lambda x: F.floor(x / cell).cast("long")
-    g = g.withColumn("cy", F.explode(F.sequence(index(F.array_min("lats") - dy), index(F.array_max("lats") + dy))))
-    g = g.withColumn("cx", F.explode(F.sequence(index(F.array_min("lons") - dx), index(F.array_max("lons") + dx))))
-    p = positions.select("id", "device_id", "fix_ms", "latitude", "longitude", index(F.col("latitude")).alias("cy"), index(F.col("longitude")).alias("cx"))
+    g = g.withColumns({"south": F.array_min("lats") - dy, "north": F.array_max("lats") + dy})
+    pole = F.least(F.lit(89.0), F.greatest(F.abs("south"), F.abs("north")))
+    dx = F.when(F.col("reach") > 0, F.when((F.col("north") > 89) | (F.col("south") < -89) | (far & ~near), 360.0).otherwise(geo.longitude_delta(F.col("reach"), pole) * 1.01)).otherwise(0.0)
+    g = g.withColumns({"west": F.array_min("lons") - dx, "east": F.array_max("lons") + dx})
+    extent = F.greatest(F.col("north") - F.col("south"), F.least(F.lit(360.0), F.col("east") - F.col("west")), F.lit(1e-9))
+    g = g.withColumn("level", F.least(F.lit(finest), F.greatest(F.lit(0), F.floor(F.log2(360 / extent)) + 2)).cast("int"))
+    g = g.withColumn("cy", F.explode(F.sequence(_cell("south", 90), _cell("north", 90))))
+    round_ = F.expr("shiftleft(1L, level)")
+    last = F.least(_cell("east", 180), _cell("west", 180) + round_ - 1)
+    cx = F.array_distinct(F.transform(F.sequence(_cell("west", 180), last), lambda x: F.pmod(x, round_)))
+    return g.withColumn("cx", F.explode(cx)).select("geofence_id", "kind", "n", "ring", "reach", "level", "cy", "cx")
+
+
+def _cell(degrees: str, shift: int) -> Column:
+    """The number of the cell of a level that a coordinate is in."""
+    return F.floor((F.col(degrees) + shift) * F.expr("shiftleft(1L, level)") / 360).cast("long")
+
+
+def tagged(positions: DataFrame, geofences: DataFrame) -> DataFrame:
+    """(id, device_id, fix_ms, geofence_id) for positions inside geofences (geofence_id, area).
+
+    Both sides are dealt to the cells of covering(), positions once for each level that geofences have, of 14 at most, so that
+    the exact test runs for pairs in the same cell only.
+    """
+    g = covering(geofences)
+    levels = [r.level for r in g.select("level").distinct().collect()]
+    p = positions.select("id", "device_id", "fix_ms", "latitude", "longitude", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    p = p.withColumns({"cy": _cell("latitude", 90), "cx": F.pmod(_cell("longitude", 180), F.expr("shiftleft(1L, level)"))})
     at = (F.col("latitude"), F.col("longitude"))
     inside = F.when(F.col("kind") == "CIRCLE", geo.in_circle(*at, F.col("n"))).when(F.col("kind") == "POLYGON", geo.in_polygon(*at, F.col("ring"))).otherwise(geo.near_line(*at, F.col("ring"), F.col("reach")))
-    return p.join(g.select("geofence_id", "kind", "n", "ring", "reach", "cy", "cx"), ["cy", "cx"]).where(inside).select("id", "device_id", "fix_ms", "geofence_id")
+    return p.join(g, ["level", "cy", "cx"]).where(inside).select("id", "device_id", "fix_ms", "geofence_id")
 
 
 def quality(df: DataFrame, accuracy_m: float = 80, speed_kn: float = 140, same_s: int = 120) -> DataFrame:
