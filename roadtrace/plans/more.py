@@ -33,9 +33,9 @@ def _(s, d):
     return lookups.located(rows, cells).select("id", "latitude", "longitude", "speed", "approximate")
 
 
-@query("speed_limit_lookup", "SELECT id, CASE WHEN (cy + cx) % 3 <> 0 THEN CAST(30 + (cy - cx) % 5 * 10 AS DOUBLE) END AS speed_limit FROM (SELECT id, CAST(floor(latitude / 0.01) AS BIGINT) AS cy, CAST(floor(longitude / 0.01) AS BIGINT) AS cx FROM p) WHERE cy BETWEEN 3800 AND 4200")
+@query("speed_limit_lookup", "SELECT id, CASE WHEN (cy + cx) % 3 <> 0 THEN CAST(30 + (cy - cx) % 5 * 10 AS DOUBLE) END AS speed_limit FROM (SELECT id, CAST(floor(latitude / 0.01) AS BIGINT) AS cy, CAST(floor(longitude / 0.01) AS BIGINT) AS cx FROM p)")
 def _(s, d):
-    rows = pos(s, d).where("floor(latitude / 0.01D) between 3800 and 4200")
+    rows = pos(s, d)
     cells = rows.select(F.floor(F.col("latitude") / 0.01).cast("long").alias("cy"), F.floor(F.col("longitude") / 0.01).cast("long").alias("cx")).distinct()
     roads = cells.where("(cy + cx) % 3 <> 0").select("cy", "cx", (30 + (F.col("cy") - F.col("cx")) % 5 * 10).cast("double").alias("limit"))
     return lookups.road_limits(rows, roads).select("id", "speed_limit")
