@@ -1,14 +1,19 @@
 """Ordered folds per device, for state machines that look-back columns can't express.
 
-Rows are dealt by key and sorted within partitions; a task walks its rows batch by batch and keeps one key's state at a
-time, so neither a device's history nor a partition has to fit in memory.
+Rows are dealt by ranges of (key, order), so that a key with very many rows lies in many tasks, and a task holds no more than
+its range. Each range is walked at once, its first key from a fresh state. Where that key began in an earlier range, it is walked
+again from the state at that range's end, until no range's start differs from what it was walked from. State machines of this
+kind forget how they began after a few events, so that few ranges are walked more than twice; the result is that of one walk.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import io
+import pickle
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial, reduce
+from itertools import pairwise
 from math import atan2, cos, radians, sin, sqrt
 
 import pandas as pd
@@ -16,26 +21,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import KNOTS
+from .tables import settled
+
+
+@lru_cache(maxsize=64)
+def _row_type(names: tuple[str, ...]) -> type:
+    kind = namedtuple("Row", names)  # noqa: PYI024
+    kind.__reduce__ = lambda self: (_row, (names, tuple(self)))
+    return kind
+
+
+def _row(names: tuple[str, ...], values: tuple):
+    return _row_type(names)(*values)
+
+
+def _saved(state) -> bytes:
+    """What a state holds; equal bytes for equal values, whichever objects are shared in it."""
+    out = io.BytesIO()
+    pickler = pickle.Pickler(out, 5)
+    pickler.fast = True
+    pickler.dump(vars(state))
+    return out.getvalue()
+
+
+def _same(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable, schema: str) -> DataFrame:
-    """start() makes a state with step(row) -> list of output tuples and finish() -> the same."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """start() makes a state with step(row) -> list of output tuples and finish() -> the same.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = at = None
+    A state holds a bounded number of rows and plain values in its attributes. Rows of a null key are one key. Rows should differ in
+    (key, order): those that don't are walked in any order, and lie in one range. The driver gets one state a range.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kind = dict(df.dtypes)[key]
+    columns = [*names, "x_part", "x_place", "x_first", "x_last", "x_single", "x_state"]
+    blank = (None,) * len(names)
+
+    def walk(starts: dict[int, bytes], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = at = first = part = None
+        keys = 0
+        frame = lambda rows: pd.DataFrame(rows, columns=columns, dtype=object)
+        place = lambda rows, where: [(*x, part, where, None, None, None, None) for x in rows]
         for b in batches:
-            out: list[tuple] = []
-            for row in b.itertuples(index=False):
-                if state is None or getattr(row, key) != at:
-                    out += state.finish() if state else []
-                    state, at = start(), getattr(row, key)
-                out += state.step(row)
-            yield pd.DataFrame(out, columns=names)
+            if not len(b):
+                continue
+            part, out = int(b["x_part"].iloc[0]), []
+            row = _row_type(tuple(c for c in b.columns if c != "x_part"))
+            for r in map(row._make, zip(*[b[c] for c in row._fields], strict=True)):
+                k = getattr(r, key)
+                if state is None or not _same(k, at):
+                    out += place(state.finish(), "head" if keys == 1 else "own") if state else []
+                    state, at, keys = start(), k, keys + 1
+                    if keys == 1:
+                        first = k
+                        vars(state).update(pickle.loads(starts[part]) if part in starts else {})
+                out += place(state.step(r), "head" if keys == 1 else "own")
+            yield frame(out)
         if state:
-            yield pd.DataFrame(state.finish(), columns=names)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+            known = _saved(state)
+            yield frame([*place(state.finish(), "end"), (*blank, part, "state", first, at, keys == 1, known)])
+
+    def walked(rows: DataFrame, starts: dict[int, bytes]) -> tuple[DataFrame, dict]:
+        out = settled(rows.mapInPandas(partial(walk, starts), f"{schema}, x_part int, x_place string, x_first {kind}, x_last {kind}, x_single boolean, x_state binary"))
+        return out, {r.x_part: r for r in out.where("x_place = 'state'").select(*columns[len(names) :]).collect()}
+
+    rows = settled(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("x_part", F.spark_partition_id()))
+    out, ranges = walked(rows, {})
+    outs, latest = [out], dict.fromkeys(ranges, 0)
+    before = {b: a for a, b in pairwise(sorted(ranges)) if _same(ranges[a].x_last, ranges[b].x_first)}
+    ends, begun = {p: r.x_state for p, r in ranges.items()}, {}
+    while wrong := {b: ends[a] for b, a in before.items() if begun.get(b) != ends[a]}:
+        heads = F.broadcast(df.sparkSession.createDataFrame([(p, ranges[p].x_first) for p in wrong], f"h_part int, h_key {kind}"))
+        out, found = walked(rows.join(heads, (F.col("x_part") == F.col("h_part")) & F.col(key).eqNullSafe(F.col("h_key")), "left_semi"), wrong)
+        ends |= {p: r.x_state for p, r in found.items() if ranges[p].x_single}
+        begun |= wrong
+        latest |= dict.fromkeys(wrong, len(outs))
+        outs.append(out)
+
+    carried = set(before.values())
+
+    def counted(n: int) -> DataFrame:
+        """What counts of the n-th walk: the first keys that weren't walked later, and the ends that no other range carries on."""
+        heads = [p for p, k in latest.items() if k == n]
+        ends_ = [p for p, r in ranges.items() if (not r.x_single and (n == 0 and p not in carried or n and latest[p] == n)) or (r.x_single and latest[p] == n and p not in carried)]
+        place, part = F.col("x_place"), F.col("x_part")
+        return outs[n].where((place == "own") | ((place == "head") & part.isin(heads)) | ((place == "end") & part.isin(ends_))).select(*names)
+
+    return reduce(DataFrame.union, [counted(n) for n in range(len(outs))])
 
 
 EVENTS = "device_id long, type string, position_id long, event_ms long"
@@ -252,7 +326,7 @@ class LastAccepted:
             self.day, self.count = r.fix_ms // 86_400_000, 0
         names = [] if r.exempt else self._names(r)
         if not names:
-            self.last, self.count = r, self.count + 1
+            self.last, self.count = r, self.count + 1 if self.limit else 0
         return [(r.device_id, r.id, r.fix_ms, ",".join(names))]
 
     def finish(self) -> list[tuple]:
