@@ -151,19 +151,20 @@ def _cell(degrees: str, shift: int) -> Column:
     return F.floor((F.col(degrees) + shift) * F.expr("shiftleft(1L, level)") / 360).cast("long")
 
 
-def tagged(positions: DataFrame, geofences: DataFrame) -> DataFrame:
-    """(id, device_id, fix_ms, geofence_id) for positions inside geofences (geofence_id, area).
+def tagged(positions: DataFrame, geofences: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(id, device_id, fix_ms, geofence_id) for positions inside geofences (geofence_id, area), with more columns of positions.
 
     Both sides are dealt to the cells of covering(), positions once for each level that geofences have, of 14 at most, so that
     the exact test runs for pairs in the same cell only.
     """
     g = covering(geofences)
     levels = [r.level for r in g.select("level").distinct().collect()]
-    p = positions.select("id", "device_id", "fix_ms", "latitude", "longitude", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    keep = ["id", "device_id", "fix_ms", *(more or [])]
+    p = positions.select(*keep, "latitude", "longitude", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
     p = p.withColumns({"cy": _cell("latitude", 90), "cx": F.pmod(_cell("longitude", 180), F.expr("shiftleft(1L, level)"))})
     at = (F.col("latitude"), F.col("longitude"))
     inside = F.when(F.col("kind") == "CIRCLE", geo.in_circle(*at, F.col("n"))).when(F.col("kind") == "POLYGON", geo.in_polygon(*at, F.col("ring"))).otherwise(geo.near_line(*at, F.col("ring"), F.col("reach")))
-    return p.join(g, ["level", "cy", "cx"]).where(inside).select("id", "device_id", "fix_ms", "geofence_id")
+    return p.join(g, ["level", "cy", "cx"]).where(inside).select(*keep, "geofence_id")
 
 
 def quality(df: DataFrame, accuracy_m: float = 80, speed_kn: float = 140, same_s: int = 120) -> DataFrame:
