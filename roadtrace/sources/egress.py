@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import attributes as A
 from ..functions.text import cell_guard, nmea_checksum
 
 
@@ -19,6 +20,28 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("id", F.concat_ws(",", *cells).alias("line"))
 
 
+def attribute_keys(df: DataFrame, attributes: str = "attributes") -> DataFrame:
+    """key and rows: the keys that open attributes have, and how many rows have each."""
+    return df.select(F.explode(F.map_keys(attributes)).alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+
+
+def csv_open(df: DataFrame, columns: list[str], attributes: str = "attributes") -> DataFrame:
+    """id and a CSV line of the columns and of every key that any row's open attributes have, keys in order of their code points.
+
+    The heading is the line of id null. Rows are read twice: for the keys, of which each distinct one is kept once, and for the lines. Texts
+    are trimmed, and empty where they would run as formulas; cells with commas, quotes or line ends are quoted.
+    """
+    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    keys = attribute_keys(df, attributes).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    texts = {n for n, t in df.dtypes if t == "string"}
+    fixed = [quoted(cell_guard(F.coalesce(F.trim(c), F.lit(""))) if c in texts else F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    rows = df.withColumn("x_keys", keys.scalar())
+    cells = F.transform("x_keys", lambda k: quoted(A.cell(F.try_element_at(F.col(attributes), k))))
+    lines = rows.select("id", F.array_join(F.concat(F.array(*fixed), cells), ",").alias("line"))
+    heading = keys.select(F.lit(None).cast(dict(df.dtypes)["id"]).alias("id"), F.array_join(F.concat(F.array(*map(F.lit, columns)), F.transform("keys", quoted)), ",").alias("line"))
+    return heading.unionByName(lines)
+
+
 def gpx_points(df: DataFrame) -> DataFrame:
     """id and its `<trkpt>` element, with 5 decimals."""
     f = lambda c: F.format_string("%.5f", F.col(c))
