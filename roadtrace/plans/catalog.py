@@ -247,7 +247,9 @@ by("telemetry_ring", "SELECT device_id, array_to_string(list(CAST(fuel AS DECIMA
 by("health_snapshot", f"SELECT event_id AS id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'event_type' WHEN NOT event_id * 2000 + {START_MS} BETWEEN {NOW - 7 * DAY} AND {NOW + 300_000} THEN 'ts' END AS reason, greatest(event_id % 9 - 4, 0) AS outbox FROM events", lambda s, d: mobile.health(adapter.read(s, d, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("event_id") * 2000 + START_MS).alias("ts"), (F.col("event_id") % 9 - 4).alias("outbox")), NOW, ["click", "view"]).select("id", "reason", "outbox"))
 
 # Egress
-by("csv_export", "SELECT id, id || ',' || device_id || ',' || protocol || ',' || CASE WHEN contains(alarm, ',') THEN chr(34) || alarm || chr(34) ELSE coalesce(alarm, '') END || ',' || CASE WHEN regexp_matches(CAST(id - 100 AS VARCHAR), '^[=+@-]') THEN '' ELSE CAST(id - 100 AS VARCHAR) END AS line FROM p", lambda s, d: egress.csv_lines(pos(s, d).withColumn("x", F.col("id") - 100), ["id", "device_id", "protocol", "alarm", "x"]))
+by("csv_export", """SELECT id, id || ',' || device_id || ',' || protocol || ',' || CASE WHEN contains(alarm, ',') THEN chr(34) || alarm || chr(34) ELSE coalesce(alarm, '') END || ',' || (id - 100) || ','
+  || CASE WHEN id % 3 = 0 THEN '' ELSE 'n' || id END AS line FROM p""",
+   lambda s, d: egress.csv_lines(pos(s, d).withColumns({"x": F.col("id") - 100, "note": F.concat(F.when(F.col("id") % 3 == 0, " =").otherwise(" n"), "id")}), ["id", "device_id", "protocol", "alarm", "x", "note"]))
 by("gpx_export", "SELECT device_id, id, '<trkpt lat=\"' || printf('%.5f', latitude) || '\" lon=\"' || printf('%.5f', longitude) || '\"><time>' || strftime(epoch_ms(fix_ms), '%Y-%m-%dT%H:%M:%SZ') || '</time></trkpt>' AS trkpt FROM p", lambda s, d: egress.gpx_points(pos(s, d)))
 by("kml_coordinates", "SELECT device_id, id, printf('%.5f,%.5f,%.1f', longitude, latitude, altitude) AS coord FROM p", lambda s, d: egress.kml_coordinates(pos(s, d)))
 by("kafka_payload", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"id\":' || id || ',\"protocol\":\"' || protocol || '\"}' AS value FROM p", lambda s, d: egress.payload(pos(s, d), "device_id", ["id", "protocol"]))

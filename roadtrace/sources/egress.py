@@ -13,11 +13,19 @@ def iso(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _quoted(cell: Column) -> Column:
+    return F.when(cell.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
+def _cells(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Columns as cells: texts are trimmed, and empty where they would run as formulas; numbers stay as they are."""
+    texts = {n for n, t in df.dtypes if t == "string"}
+    return [_quoted(cell_guard(F.coalesce(F.trim(c), F.lit(""))) if c in texts else F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+
+
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
-    """id and a CSV line; cells that would run as formulas are emptied, and ones with commas, quotes or line ends are quoted."""
-    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    cells = [quoted(cell_guard(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns]
-    return df.select("id", F.concat_ws(",", *cells).alias("line"))
+    """id and a CSV line; texts that would run as formulas are emptied, and cells with commas, quotes or line ends are quoted."""
+    return df.select("id", F.concat_ws(",", *_cells(df, columns)).alias("line"))
 
 
 def attribute_keys(df: DataFrame, attributes: str = "attributes") -> DataFrame:
@@ -31,14 +39,11 @@ def csv_open(df: DataFrame, columns: list[str], attributes: str = "attributes")
     The heading is the line of id null. Rows are read twice: for the keys, of which each distinct one is kept once, and for the lines. Texts
     are trimmed, and empty where they would run as formulas; cells with commas, quotes or line ends are quoted.
     """
-    quoted = lambda c: F.when(c.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     keys = attribute_keys(df, attributes).agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    texts = {n for n, t in df.dtypes if t == "string"}
-    fixed = [quoted(cell_guard(F.coalesce(F.trim(c), F.lit(""))) if c in texts else F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     rows = df.withColumn("x_keys", keys.scalar())
-    cells = F.transform("x_keys", lambda k: quoted(A.cell(F.try_element_at(F.col(attributes), k))))
-    lines = rows.select("id", F.array_join(F.concat(F.array(*fixed), cells), ",").alias("line"))
-    heading = keys.select(F.lit(None).cast(dict(df.dtypes)["id"]).alias("id"), F.array_join(F.concat(F.array(*map(F.lit, columns)), F.transform("keys", quoted)), ",").alias("line"))
+    cells = F.transform("x_keys", lambda k: _quoted(A.cell(F.try_element_at(F.col(attributes), k))))
+    lines = rows.select("id", F.array_join(F.concat(F.array(*_cells(df, columns)), cells), ",").alias("line"))
+    heading = keys.select(F.lit(None).cast(dict(df.dtypes)["id"]).alias("id"), F.array_join(F.concat(F.array(*map(F.lit, columns)), F.transform("keys", _quoted)), ",").alias("line"))
     return heading.unionByName(lines)
 
 
