@@ -104,6 +104,27 @@ def proximity(df: DataFrame, links: DataFrame, metres: float, leave: float | Non
     return _at(m.withColumn("type", kind).where("type is not null"), "type", "linked_id")
 
 
+def unaccompanied(df: DataFrame, links: DataFrame, metres: float) -> DataFrame:
+    """Positions at which a device begins to move while none of its linked devices (device_id, linked_id) is within metres, by their
+    last positions at that time. Devices without links have none; a linked device that hasn't sent yet is nowhere near.
+
+    Beginnings are merged in time order with the linked devices' rows and take the last one along, so no row meets a range of others.
+    """
+    from ..functions.geo import distance_mm
+
+    links = links.select("device_id", "linked_id").distinct()
+    begins = df.withColumn("x_was", F.lag("motion").over(by_time())).where(F.col("motion") & ~F.col("x_was"))
+    at = lambda d: d.select("device_id", "id", "fix_ms", "latitude", "longitude")
+    own = at(begins).join(links, "device_id").withColumn("own", F.lit(True))
+    other = at(df).withColumnRenamed("device_id", "linked_id").join(links, "linked_id").withColumn("own", F.lit(False))
+    w = Window.partitionBy("device_id", "linked_id").orderBy("fix_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lambda c: F.last(F.when(~F.col("own"), F.col(c)), ignorenulls=True).over(w)
+    m = own.unionByName(other).withColumns({"la": seen("latitude"), "lo": seen("longitude")}).where("own")
+    near = F.coalesce(distance_mm("latitude", "longitude", "la", "lo") <= int(metres * 1000), F.lit(False))
+    alone = m.groupBy("device_id", "id", "fix_ms").agg(F.bool_or(near).alias("near")).where("not near")
+    return _at(alone, F.lit("unaccompaniedMotion").alias("type"))
+
+
 def inactive(latest: DataFrame, now_ms: int, start_s: int, period_s: int, check_s: int = 900) -> DataFrame:
     """Devices whose silence passed start, or a whole period after it, in the last check_s seconds."""
     silent = F.lit(now_ms) - F.col("fix_ms")

@@ -10,23 +10,23 @@ from ..sources.adapter import DAY, by_time
 from .folds import motion_spans
 
 
-def summary(df: DataFrame, by: list[str], max_speed: bool = True) -> DataFrame:
+def summary(df: DataFrame, by: list[str], max_speed: bool = True, ignore_odometer: bool = False, capacity: str | None = None) -> DataFrame:
     """First and last position, distance, fuel, engine hours and speeds per group. One aggregation.
 
-    Of equal fix times the last position is the smallest id's. The mean speed is over engine hours. Fast mode leaves the
-    top speed at 0.
+    Of equal fix times the last position is the smallest id's. Distance and fuel go by metres() and spent_fuel() of the first and last position;
+    capacity is a column of df. The mean speed is over engine hours. Fast mode leaves the top speed at 0.
     """
     first, last = F.struct("fix_ms", "id"), F.struct("fix_ms", -F.col("id"))
+    fields = [f for f in (*FIELDS, capacity) if f in df.columns]
+    row = F.struct(*fields)
     g = df.groupBy(*by).agg(
-        F.min("fix_ms").alias("start_ms"), F.max("fix_ms").alias("end_ms"), (F.max("speed") if max_speed else F.lit(0.0)).alias("max_speed"),
-        F.min_by("total_mm", first).alias("t0"), F.max_by("total_mm", last).alias("t1"), F.min_by("fuel", first).alias("f0"), F.max_by("fuel", last).alias("f1"),
-        F.min_by("hours_ms", first).alias("start_hours"), F.max_by("hours_ms", last).alias("end_hours"),
+        F.min("fix_ms").alias("start_ms"), F.max("fix_ms").alias("end_ms"), (F.max("speed") if max_speed else F.lit(0.0)).alias("max_speed"), F.min_by(row, first).alias("x_a"), F.max_by(row, last).alias("x_z"),
     )
-    hours = F.col("end_hours") - F.col("start_hours")
-    distance = (F.col("t1") - F.col("t0")) / 1000.0
+    g = g.select(*by, "start_ms", "end_ms", "max_speed", *[F.col(f"{x}.{f}").alias(f"{n}_{f}") for f in fields for x, n in (("x_a", "start"), ("x_z", "end"))])
+    hours, distance = F.col("end_hours_ms") - F.col("start_hours_ms"), metres(g, ignore_odometer)
     return g.select(
-        *by, "start_ms", "end_ms", distance.alias("distance"), "max_speed", (F.col("f0") - F.col("f1")).alias("spent_fuel"),
-        "start_hours", "end_hours", F.round(F.when(hours > 0, distance * 1000 / hours * KNOTS["mps"]).otherwise(0.0), 6).alias("average_speed"),
+        *by, "start_ms", "end_ms", distance.alias("distance"), "max_speed", spent_fuel(g, f"end_{capacity}" if capacity else None).alias("spent_fuel"), F.col("start_hours_ms").alias("start_hours"),
+        F.col("end_hours_ms").alias("end_hours"), F.round(F.when(hours > 0, distance * 1000 / hours * KNOTS["mps"]).otherwise(0.0), 6).alias("average_speed"),
     )
 
 

@@ -10,7 +10,7 @@ from ..operators import channel, hierarchy, lookups, pipeline, reports, request
 from ..operators import events as ev
 from ..sources import adapter
 from ..sources.adapter import GEOFENCES, HOUR, SQL_DISTANCE, START_MS, sql_haversine
-from .catalog import ANCESTORS, HIGH, LOW, NOW, STALE, TAGS, W, by, far, perms, pos, query
+from .catalog import ANCESTORS, HIGH, HOURS_SQL, LOW, NOW, STALE, TAGS, W, by, far, full, perms, pos, query
 from .motion import kept
 
 # Lookups
@@ -250,3 +250,25 @@ by("event_forward", "SELECT CAST(device_id AS VARCHAR) AS key, '{\"type\":\"alar
 def _(s, d):
     p = pos(s, d)
     return ev.proximity(p, p.select("device_id", (F.col("device_id") + 1).alias("linked_id")).distinct(), 1500, 4000)
+
+
+@query("ev_unaccompanied_motion", f"""SELECT device_id, id AS position_id, fix_ms AS event_ms, 'unaccompaniedMotion' AS type FROM (
+  SELECT s.device_id, s.id, s.fix_ms, coalesce(round({sql_haversine("s.latitude", "s.longitude", "o.latitude", "o.longitude")} * 1000) <= 1500000, false) AS near FROM (
+    SELECT b.*, b.device_id + k.n AS linked_id FROM (SELECT * FROM p QUALIFY motion AND NOT lag(motion) OVER {W}) b, (VALUES (1), (2)) k(n)) s
+  ASOF LEFT JOIN p o ON o.device_id = s.linked_id AND s.fix_ms >= o.fix_ms) GROUP BY 1, 2, 3 HAVING NOT bool_or(near)""")
+def _(s, d):
+    p = pos(s, d)
+    linked = F.explode(F.array(F.col("device_id") + 1, F.col("device_id") + 2)).alias("linked_id")
+    return ev.unaccompanied(p, p.select("device_id", linked).distinct(), 1500)
+
+
+@query("rep_summary_odometer", """SELECT device_id, metres AS distance, CASE WHEN a.used IS NOT NULL AND z.used IS NOT NULL THEN z.used - a.used ELSE a.fuel - z.fuel END AS spent_fuel,
+  round(CASE WHEN z.hours_ms > a.hours_ms THEN metres * 1000 / (z.hours_ms - a.hours_ms) * 1.94384 ELSE 0 END, 6) AS average_speed FROM (
+  SELECT device_id, a, z, CASE WHEN coalesce(a.odo, 0) <> 0 AND coalesce(z.odo, 0) <> 0 THEN z.odo - a.odo ELSE (z.total_mm - a.total_mm) / 1000 END AS metres FROM (
+    SELECT device_id, arg_min(r, fix_ms) AS a, arg_max(r, fix_ms) AS z FROM (
+      SELECT device_id, fix_ms, {'odo': CASE device_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN id * 10.0 END, 'used': CASE WHEN device_id % 2 = 0 THEN id / 4 END, 'fuel': fuel, 'hours_ms': hours_ms, 'total_mm': total_mm} AS r FROM h) GROUP BY 1))""",
+  SQL_DISTANCE, HOURS_SQL)
+def _(s, d):
+    odometer = F.when(F.col("device_id") % 3 == 0, 0.0).when(F.col("device_id") % 3 == 1, F.col("id") * 10.0)
+    rows = full(s, d).withColumns({"odometer": odometer, "fuel_used": F.when(F.col("device_id") % 2 == 0, F.col("id") / 4)})
+    return reports.summary(rows, ["device_id"]).select("device_id", "distance", "spent_fuel", "average_speed")
