@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from roadtrace.operators import hierarchy
+from roadtrace.operators import hierarchy, lookups
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,12 @@ def test_pairs_are_not_shuffled_or_made_distinct(spark, tables):
     text = plan(hierarchy.access(*tables).pairs())
     top = text[: text.index("Join Inner")]
     assert "Aggregate" not in top and "Repartition" not in top and "strategy=broadcast" in text.splitlines()[[i for i, x in enumerate(text.splitlines()) if "Join Inner" in x][0]]
+
+
+def test_notifications_of_devices(spark, tables):
+    want, access = expanded(tables), hierarchy.access(*tables)
+    linked = spark.createDataFrame([(1, 9), (2, 1)], "device_id long, notification_id int")
+    always = spark.createDataFrame([(1,), (3,)], "notification_id int")
+    on = [(u, n) for u in range(12) for n in range(1, 5) if (u + n) % 2]
+    got = lookups.device_notifications(linked, always, spark.createDataFrame(on, "user_id long, notification_id int"), access).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted({(1, 9), (2, 1)} | {(d, n) for u, d in want for v, n in on if u == v and n in (1, 3)}, key=repr)
