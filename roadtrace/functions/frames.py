@@ -187,26 +187,49 @@ def location(data: Column) -> dict[str, Column]:
 OWN = ["id", "deviceid", "valid", "timestamp", "lat", "lon", "location", "speed", "bearing", "heading", "altitude", "accuracy"]
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value, which is evaluated once however often f mentions it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def query_fields(q: Column) -> Column:
+    """The fields of query_string() as one struct, in which each step is evaluated once; select it as a column of its own."""
+    pairs = F.filter(F.transform(F.split(F.regexp_replace(q, r"^\?", ""), "&"), lambda x: F.split(x, "=", 2)), lambda x: x[0] != "")
+    pairs = F.transform(pairs, lambda x: F.struct(F.try_url_decode(x[0]).alias("key"), F.try_url_decode(F.coalesce(F.get(x, F.lit(1)), F.lit(""))).alias("value")))
+    pairs = F.filter(pairs, lambda x: x["key"].isNotNull())
+    last = lambda p, n: F.element_at(F.filter(p, lambda x: x["key"] == n), -1)["value"]
+    named = lambda p: _once(F.array_distinct(F.transform(p, lambda x: x["key"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda n: last(p, n))))
+
+    def texts(m: Column) -> Column:
+        v = lambda *keys: F.coalesce(*[F.when(F.element_at(m, k) != "", F.element_at(m, k)) for k in keys])
+        found = {"id": v("id", "deviceid"), "stamp": v("timestamp"), "pair": F.split(v("location"), ","), "valid": v("valid"), "lat": v("lat"), "lon": v("lon"), "speed": v("speed"), "course": v("bearing", "heading"), "altitude": v("altitude"), "accuracy": v("accuracy")}
+        return F.struct(*[c.alias(n) for n, c in found.items()], F.map_filter(m, lambda k, _: ~k.isin(*OWN)).alias("more"))
+
+    def fields(t: Column) -> Column:
+        stamp, pair = t["stamp"], t["pair"]
+        whole = stamp.try_cast("long")
+        wall = F.regexp_replace(F.substring(stamp, 1, 19), "T", " ")
+        dated = F.unix_millis(F.to_utc_timestamp(F.try_to_timestamp(F.concat(wall, F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss VV")), "UTC"))
+        found = {
+            "unique_id": t["id"], "fix_ms": F.when(whole.isNotNull(), F.when(whole < 2**31, whole * 1000).otherwise(whole)).otherwise(dated),
+            "valid": F.when(t["more"].isNotNull(), ~F.coalesce(F.lower(t["valid"]).isin("false", "0"), F.lit(False))),
+            "latitude": F.coalesce(number(t["lat"]), number(F.get(pair, F.lit(0)))), "longitude": F.coalesce(number(t["lon"]), number(F.get(pair, F.lit(1)))),
+            "speed": number(t["speed"]), "course": number(t["course"]), "altitude": number(t["altitude"]), "accuracy": number(t["accuracy"]), "attributes": t["more"],
+        }
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    return _once(_once(_once(pairs, named), texts), fields)
+
+
 def query_string(q: Column) -> dict[str, Column]:
     """unique_id, fix_ms, valid, latitude, longitude, speed, course, altitude, accuracy and attributes (a map) of URL query strings.
 
     Of a parameter given twice the last counts. timestamp is in seconds, in milliseconds from 2^31 on, or a UTC date and time;
     location is "lat,lon". valid is true unless said otherwise. What can't be read is null, as is everything of a null string.
     """
-    pairs = F.filter(F.transform(F.split(F.regexp_replace(q, r"^\?", ""), "&"), lambda x: F.split(x, "=", 2)), lambda x: x[0] != "")
-    pairs = F.transform(pairs, lambda x: F.struct(F.try_url_decode(x[0]).alias("key"), F.try_url_decode(F.coalesce(F.get(x, F.lit(1)), F.lit(""))).alias("value")))
-    pairs = F.filter(pairs, lambda x: x["key"].isNotNull())
-    names = F.array_distinct(F.transform(pairs, lambda x: x["key"]))
-    m = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda x: x["key"] == n), -1)["value"]))
-    v = lambda *keys: F.coalesce(*[F.when(F.element_at(m, k) != "", F.element_at(m, k)) for k in keys])
-    stamp, pair = v("timestamp"), F.split(v("location"), ",")
-    whole = stamp.try_cast("long")
-    wall = F.regexp_replace(F.substring(stamp, 1, 19), "T", " ")
-    dated = F.unix_millis(F.to_utc_timestamp(F.try_to_timestamp(F.concat(wall, F.lit(" UTC")), F.lit("yyyy-MM-dd HH:mm:ss VV")), "UTC"))
-    return {
-        "unique_id": v("id", "deviceid"), "fix_ms": F.when(whole.isNotNull(), F.when(whole < 2**31, whole * 1000).otherwise(whole)).otherwise(dated),
-        "valid": F.when(q.isNotNull(), ~F.coalesce(F.lower(v("valid")).isin("false", "0"), F.lit(False))),
-        "latitude": F.coalesce(number(v("lat")), number(F.get(pair, F.lit(0)))), "longitude": F.coalesce(number(v("lon")), number(F.get(pair, F.lit(1)))),
-        "speed": number(v("speed")), "course": number(v("bearing", "heading")), "altitude": number(v("altitude")), "accuracy": number(v("accuracy")),
-        "attributes": F.map_filter(m, lambda k, _: ~k.isin(*OWN)),
-    }
+    return fields_of(query_fields(q))
+
+
+def fields_of(s: Column) -> dict[str, Column]:
+    """The columns of query_string() from a struct of query_fields()."""
+    return {n: s[n] for n in ("unique_id", "fix_ms", "valid", "latitude", "longitude", "speed", "course", "altitude", "accuracy", "attributes")}

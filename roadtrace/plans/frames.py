@@ -58,9 +58,9 @@ def _(s, d):
         F.when(i % 3 == 0, F.concat(F.lit("location="), text(i % 90), F.lit(".25%2C-"), text(i % 180), F.lit(".5"))).otherwise(F.concat(F.lit("lat="), text(i % 90), F.lit(".25&lon=-"), text(i % 180), F.lit(".5"))),
         F.concat(F.lit("speed="), text(i % 100)), F.when(i % 5 != 0, F.concat(F.lit("bearing="), text(i % 360))), F.lit("batt=9"), F.concat(F.lit("alarm="), F.url_encode("alarm")),
     )
-    c = frames.query_string(F.col("q"))
+    c = frames.fields_of(F.col("x"))
     m = c.pop("attributes")
-    return _shown(pos(s, d).select("id", q.alias("q")), {n: x for n, x in c.items() if n not in ("altitude", "accuracy")}, F.element_at(m, "alarm").alias("alarm"), F.size(m).alias("attributes"))
+    return _shown(pos(s, d).select("id", frames.query_fields(q).alias("x")), {n: x for n, x in c.items() if n not in ("altitude", "accuracy")}, F.element_at(m, "alarm").alias("alarm"), F.size(m).alias("attributes"))
 
 
 @query("decode_location_bytes", """SELECT id, fix_ms, id % 5 <> 0 AS valid, id % 13 AS satellites, round(id * 7919 % 162000000 / 1800000e0 * CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END, 9) AS latitude,
