@@ -27,6 +27,7 @@ def edge(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "ev_geofence_calendar",
     "event_visibility",
+    "event_with_position",
 ])
 def test_edge_points_equal_sql(spark, edge, name):
     folder, con = edge
