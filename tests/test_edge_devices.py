@@ -28,6 +28,7 @@ def edge(tmp_path_factory):
     "ev_geofence_calendar",
     "event_visibility",
     "event_with_position",
+    "geofence_polygon",
 ])
 def test_edge_points_equal_sql(spark, edge, name):
     folder, con = edge
