@@ -29,6 +29,7 @@ def edge(tmp_path_factory):
     "event_visibility",
     "event_with_position",
     "geofence_polygon",
+    "geofence_tagging",
 ])
 def test_edge_points_equal_sql(spark, edge, name):
     folder, con = edge
