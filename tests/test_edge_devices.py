@@ -30,6 +30,7 @@ def edge(tmp_path_factory):
     "event_with_position",
     "geofence_polygon",
     "geofence_tagging",
+    "overspeed_limits",
 ])
 def test_edge_points_equal_sql(spark, edge, name):
     folder, con = edge
