@@ -31,6 +31,7 @@ def edge(tmp_path_factory):
     "geofence_polygon",
     "geofence_tagging",
     "overspeed_limits",
+    "overspeed_limits_lowest",
 ])
 def test_edge_points_equal_sql(spark, edge, name):
     folder, con = edge
