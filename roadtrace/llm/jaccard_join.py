@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
 1. Texts with equal shingle sets form a class; the rest works on classes, named by their smallest doc_id.
-2. Values have one global order, rare ones first as far as hashed counters tell, which numpy arrays in tasks and a tree of sums make. Two sets of the asked similarity share one of
-   each one's first n - ceil(percent * n) + 1 values, so inverted lists of these (class, set size, position) find every pair. Values
-   that a second set of hashed counters shows in one set only aren't shuffled.
+2. A set that holds more values of its own than the asked similarity lets two sets differ in is similar to none. A part of all values, those
+   with the least hashes, is dealt out by ranges in sorted blobs to find these sets, which in prose are most; the others' values are counted exactly.
+   Values have one global order, rare ones first. Two sets of the asked similarity share one of each one's first n - ceil(percent * n) + 1
+   values, so inverted lists of these (class, set size, position) find every pair. Values of one set only aren't listed.
 3. Answers of similar sets first: the member of a list with the least position, whose values few other values precede, is the
    list's head. Members are verified against heads, which leaves with every linked class a base: a head whose overlap is known.
 4. Lists go on whose members are still in several components. They are cut into blocks of one component and set size, sorted
@@ -19,124 +20,126 @@ All links between different components are found, so the components are exact. S
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .collocations import _arrays, _bits, _unpacked, SLICE, added, handed, tree_summed
-from .common import MOST_IDS, components, small_batches, table, tidied, written
+from .common import MOST_IDS, components, picked, small_batches, table, tidied, written
 from .near_dedup import _digest as digest
 from .near_dedup import shingles
 
 #: Entries of one block; more are dealt out over several.
 BLOCK = 1024
-#: Hashed counters of all values, of which those FAR above the mean, a fourth at most, are broadcast; and the most for lists, 8 MB as bits.
-BITS, FAR, MOST_BITS = 22, 4, 26
+#: Values that a task sorts at once, values of one range on average, and the bits of a hash that are dealt.
+HELD, RANGE, KEY = 2_000_000, 1_000_000, 40
 #: Places of the parities, 64 to a number.
 PLACES = 1024
 
 
-def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
-    return (s.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _features(width: int):
-    """Each text's set size and digest; and at the end, in rows of their own, the task's counters in slices."""
+    """Each text's set size and digest."""
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BITS, np.uint8)  # a task counts to 255
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
-            at, n = np.unique(_bucket(np.concatenate(sets), BITS), return_counts=True)
-            total[at] = np.minimum(total[at] + n, 255)
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": pd.array([len(s) for s in sets], "Int64"), "set": [digest(s) for s in sets], "slice": pd.array([None] * len(b), "Int64"), "counts": None, "task": pd.array([None] * len(b), "Int64")})
-        out = handed(total)
-        yield pd.DataFrame({"doc_id": None, "n": pd.array([None] * len(out), "Int64"), "set": None, "slice": out["slice"].astype("Int64"), "counts": out["counts"], "task": out["task"].astype("Int64")})
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": [len(s) for s in sets], "set": [digest(s) for s in sets]})
 
     return run
 
 
-def _far(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s, c in zip(b["slice"], b["counts"]):
-                n = _unpacked(c)
-                at = np.flatnonzero(n >= least)
-                yield pd.DataFrame({"bucket": s * SLICE + at, "n": n[at]})
+def _planes(a: np.ndarray) -> bytes:
+    """int64 numbers by bytes of the same weight: those of high weight are alike and pack well in a shuffle."""
+    return a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    return run
 
+def _unplaned(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
-def _levels(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters far above the mean, and the logarithms of their counts."""
-    every = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sums = added(rows.where("slice is not null").select("slice", "counts", "task"), rows.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1)
-    far = sums.mapInPandas(_far(FAR * max(1.0, every / (1 << BITS))), "bucket long, n long").toPandas().sort_values("bucket")
-    return far["bucket"].to_numpy(np.int64), np.array([int(4 * log2(c)) for c in far["n"]], np.int64)
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(keys)])
 
-def _ordered(s: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set by (level, value): level 0 for values whose counter isn't broadcast."""
-    often, level = far
-    if not len(often):
-        return s
-    bucket = _bucket(s, BITS)
-    at = np.minimum(np.searchsorted(often, bucket), len(often) - 1)
-    return s[np.argsort(np.where(often[at] == bucket, level[at], 0), kind="stable")]
 
+def _dealt(width: int, percent: int, ranges: int):
+    """(part, keys, holders, reps, over): sorted keys by range with the class that holds each, -1 where the task has it in several; and in rows of
+    their own, for each class, how many of its keys the task has in others too, less how many might be before it can be left out."""
+    top = _sixteenths(percent) << KEY - 4
 
-def _parities(s: np.ndarray) -> np.ndarray:
-    """For each of PLACES hashed places, whether an odd number of the set's values falls there. Two sets differ in as many values as places, or more."""
-    at = ((s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % PLACES
-    return np.packbits(np.bincount(at, minlength=PLACES) & 1).view(np.int64)
-
-
-def _prefixes(width: int, percent: int, sent):
-    """(rep, n, first, marks): the first values of the sets that are asked for, as bytes, and their parities."""
+    def blobs(keys: list[np.ndarray], reps: list[int], spare: list[int]) -> pd.DataFrame:
+        rep, size = np.array(reps, np.int64), [len(k) for k in keys]
+        every, owner = np.concatenate(keys), np.repeat(np.arange(len(rep)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        first, n = _runs(every)
+        seen = np.bincount(owner[np.repeat(n > 1, n)], minlength=len(rep))
+        every, holder = every[first], np.where(n == 1, rep[owner[first]], -1)
+        ends = np.searchsorted(every * ranges // top, np.arange(ranges + 1))
+        some = np.flatnonzero(np.diff(ends))
+        rows = [(r, _planes(np.diff(every[ends[r] : ends[r + 1]], prepend=0)), _planes(holder[ends[r] : ends[r + 1]]), b"", b"") for r in some.tolist()]
+        rows.append((reps[0] % ranges, b"", b"", _planes(rep), _planes(seen - np.array(spare, np.int64))))
+        return pd.DataFrame(rows, columns=["part", "keys", "holders", "reps", "over"])
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, reps, spare, held = [], [], [], 0
         for b in batches:
-            rows = []
-            for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])):
+            for rep, want, s in zip(b["rep"].tolist(), b["set"], (shingles(t, width) for t in b["text"])):
                 if digest(s) == want:
-                    rows.append((rep, len(s), _ordered(s, sent.value)[: len(s) + 1 - -(-percent * len(s) // 100)].tobytes(), _parities(s)))
-            yield pd.DataFrame(rows, columns=["rep", "n", "first", "marks"])
+                    k = (s.view(np.uint64) >> np.uint64(64 - KEY)).astype(np.int64)
+                    keys.append(k[k < top])
+                    reps.append(rep)
+                    spare.append(len(keys[-1]) - _asked(len(s), percent))
+                    held += len(keys[-1])
+                if held >= HELD:
+                    yield blobs(keys, reps, spare)
+                    keys, reps, spare, held = [], [], [], 0
+        if reps:
+            yield blobs(keys, reps, spare)
 
     return run
 
 
-def _wholes(width: int):
-    @tidied
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(rep, s) for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])) if digest(s) == want]
-            yield pd.DataFrame(rows, columns=["rep", "all"])
+def _sixteenths(percent: int) -> int:
+    """The part of all values that is dealt: somewhat over twice the part in which two sets may differ."""
+    return min(16, max(1, -(-(100 - percent) * 34 // 100)))
 
-    return run
+
+def _asked(n: int, percent: int) -> int:
+    """How many values a set is asked for by: two similar sets share one of each one's first so many."""
+    return n + 1 - -(-percent * n // 100)
 
 
-def _first(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.int64)
+def _shared(b: pd.DataFrame) -> pd.DataFrame:
+    """(rep, over) of one range: how many of its keys a class shares with others, and the tasks' own rows."""
+    keys = np.concatenate([np.cumsum(_unplaned(k)) for k in b["keys"]])
+    holder = np.concatenate([_unplaned(h) for h in b["holders"]])
+    order = np.argsort(keys, kind="stable")
+    _, n = _runs(keys[order])
+    found = holder[order][np.repeat(n > 1, n)]
+    rep, over = np.unique(found[found >= 0], return_counts=True)
+    own = [np.concatenate([_unplaned(x) for x in b[c]]) for c in ("reps", "over")]
+    return pd.DataFrame({"rep": np.r_[rep, own[0]], "over": np.r_[over, own[1]]})
 
 
-def _entries(sent, bits: int):
-    """(v, rep, n, p) of the values that more sets than one may have among their first."""
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For each of PLACES hashed places, whether an odd number of the set's values falls there. Two sets differ in as many values as places, or more."""
+    at = ((s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % PLACES
+    return np.packbits(np.bincount(at, minlength=PLACES) & 1).view(np.int64)
+
 
+def _wholes(width: int):
+    """(rep, n, all, marks): full sets and their parities."""
+
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        several = sent.value
         for b in batches:
-            firsts = [_first(x) for x in b["first"]]
-            size = np.array([len(x) for x in firsts], np.int64)
-            v, row = np.concatenate(firsts), np.repeat(np.arange(len(b)), size)
-            p = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
-            bucket = _bucket(v, bits)
-            own = np.flatnonzero(several[bucket >> 3] >> (7 - (bucket & 7)) & 1)
-            yield pd.DataFrame({"v": v[own], "rep": b["rep"].to_numpy()[row[own]], "n": b["n"].to_numpy()[row[own]], "p": p[own]})
+            rows = [(rep, len(s), s, _parities(s)) for rep, want, s in zip(b["rep"], b["set"], (shingles(t, width) for t in b["text"])) if digest(s) == want]
+            yield pd.DataFrame(rows, columns=["rep", "n", "all", "marks"])
 
     return run
 
@@ -150,14 +153,22 @@ class Texts:
         self.repeated = not rows.where("n > 0").groupBy("doc_id", "set").count().where("count > 1").isEmpty()
 
     def mapped(self, run, schema: str, ids: DataFrame | None = None) -> DataFrame:
-        """run over (rep, set, text) of all classes, or those of ids (rep); one row a class."""
+        """run over (rep, set, text) of all classes, or those of ids (rep); a class may come twice where rows repeat."""
         named = self.named if ids is None else self.named.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "rep", "left_semi")
         met = self.docs.join(F.broadcast(named) if named.count() <= MOST_IDS else named, "doc_id").select("rep", "set", "text")
-        found = met.mapInPandas(run, schema)
-        return found.dropDuplicates(["rep"]) if self.repeated else found
+        return met.mapInPandas(run, schema)
+
+    def open(self, values: int, percent: int) -> DataFrame:
+        """The classes (rep) that may be similar to others, a written table; values: how many their sets hold, about."""
+        ranges = values * _sixteenths(percent) // 16 // RANGE + 1
+        dealt = self.mapped(_dealt(self.width, percent, ranges), "part long, keys binary, holders binary, reps binary, over binary")
+        shared = dealt.groupBy("part").applyInPandas(_shared, "rep long, over long")
+        return written(shared.groupBy("rep").agg(F.sum("over").alias("over")).where("over > 0").select("rep"), "open")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        return self.mapped(_wholes(self.width), "rep long, all array<long>", ids)
+        """(rep, n, all, marks) of the classes ids (rep)."""
+        found = self.mapped(_wholes(self.width), "rep long, n long, all array<long>, marks array<long>", ids)
+        return found.dropDuplicates(["rep"]) if self.repeated else found
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -193,13 +204,12 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Ids travel as text: pandas would turn whole numbers beside nulls into doubles.
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_features(width), "doc_id string, n long, set binary, slice long, counts binary, task long")
-    every = written(found.withColumns({"doc_id": F.col("doc_id").cast("long"), "row": F.monotonically_increasing_id()}), "sets")
-    rows = every.where("slice is null").select("doc_id", "n", "set", "row")
+    found = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_features(width), "doc_id string, n long, set binary")
+    rows = written(found.withColumns({"doc_id": F.col("doc_id").cast("long"), "row": F.monotonically_increasing_id()}), "rows")
     first = F.min(F.struct(F.col("doc_id").alias("rep"), "row"))
     named = written(rows.where("n > 0 and doc_id is not null").groupBy("set").agg(first.alias("at")).select("set", "at.rep", "at.row"), "classes")
     member = rows.select("doc_id", "n", "set").join(named.select("set", "rep"), "set", "left").drop("set")
-    links = _class_links(Texts(docs, rows, named, width), every, percent)
+    links = _class_links(Texts(docs, rows, named, width), rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], percent)
     side = lambda c: named.select(F.col("row").alias(c), F.col("rep").alias(f"{c}_rep"))
     links = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     # Classes of texts that share an id.
@@ -208,23 +218,29 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     return member, written(links.union(same), "links")
 
 
-def _class_links(texts: Texts, every: DataFrame, percent: int) -> DataFrame:
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, rep, n, p) of the values that several sets (rep, n, all) hold, as far as they are among a set's first; p counts from 0."""
+    values = sets.select("rep", "n", F.explode("all").alias("v"))
+    held = values.join(values.groupBy("v").agg(F.count("*").alias("often")).where("often > 1"), "v")
+    own = Window.partitionBy("rep")
+    held = held.withColumns({"place": F.row_number().over(own.orderBy("often", "v")), "held": F.count("*").over(own)})
+    # Values of one set only come first in the order.
+    held = held.withColumn("p", (F.col("n") - F.col("held") + F.col("place") - 1).cast("int"))
+    return held.where(f"p < n + 1 - ({percent} * n + 99) div 100").select("v", "rep", "n", "p")
+
+
+def _class_links(texts: Texts, values: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, each named by one of its rows. Here `rep` is that row: ids may repeat."""
-    spark, width = every.sparkSession, texts.width
-    sent = spark.sparkContext.broadcast(_levels(every))
-    prefixes = written(texts.mapped(_prefixes(width, percent, sent), "rep long, n long, first binary, marks array<long>"), "prefixes")
-    size = prefixes.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 8
-    bits = min(MOST_BITS, max(16, (2 * size).bit_length()))
-    places = lambda b: (_bucket(np.concatenate([_first(x) for x in b["first"]]), bits) for _ in (1,))
-    several = spark.sparkContext.broadcast(_bits(tree_summed(prefixes, _arrays(1 << bits, places, 2), 2), 1 << bits, 2))
-    marks = prefixes.select("rep", "marks")
-    entries = prefixes.select("rep", "n", "first").mapInPandas(_entries(several, bits), "v long, rep long, n long, p int")
+    sets = written(texts.sets(texts.open(values, percent)), "sets")
+    some = lambda ids: picked(sets, ids, "left_semi", "rep")
+    marks = sets.select("rep", "marks")
+    entries = written(_entries(sets, percent), "entries")
     heads = entries.groupBy("v").agg(F.count("*").alias("size"), F.min(F.struct("p", "rep", "n")).alias("head")).where("size > 1")
     lists = written(entries.join(heads, "v").select("v", "rep", "n", "p", "size", F.col("head.rep").alias("head"), F.col("head.n").alias("m"), F.col("head.p").alias("q")), "lists")
 
     near = lists.where(_alike(F.col("n"), F.col("m"), percent) & (F.col("rep") != F.col("head")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= _need(percent)))
     pairs = written(_possible(near.select(F.col("rep").alias("a"), "n", F.col("head").alias("b"), "m").distinct(), marks, percent), "pairs")
-    star = written(_overlaps(pairs, texts.sets).where((F.col("n") + F.col("m") - F.col("both")) * percent <= F.col("both") * 100), "star")
+    star = written(_overlaps(pairs, some).where((F.col("n") + F.col("m") - F.col("both")) * percent <= F.col("both") * 100), "star")
     links = written(star.select("a", "b"), "links")
     nearest = F.max_by(F.struct("b", "both", "m"), F.struct(F.try_divide(F.col("both"), F.col("n") + F.col("m") - F.col("both")), -F.col("b")))
     bases = written(star.groupBy("a", "n").agg(nearest.alias("h")).select(F.col("a").alias("rep"), F.col("h.b").alias("base"), (F.col("n") - F.col("h.both")).alias("more"), (F.col("h.m") - F.col("h.both")).alias("less")), "bases")
@@ -237,7 +253,7 @@ def _class_links(texts: Texts, every: DataFrame, percent: int) -> DataFrame:
     pairs = written(_possible(_open_pairs(open_, percent), marks, percent), "pairs")
     if pairs.isEmpty():
         return links
-    return links.union(_derived(pairs, bases, texts.sets, percent))
+    return links.union(_derived(pairs, bases, some, percent))
 
 
 def _open_pairs(entries: DataFrame, percent: int) -> DataFrame:

@@ -43,6 +43,26 @@ def test_join_of_hot_groups(frame, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) < len(docs) // 2
 
 
+def test_join_lists_no_texts_of_their_own(frame, monkeypatch):
+    """Texts that share some passages each, but differ in most words, enter no list; keys that are dealt in small chunks and ranges give the same groups."""
+    made = {}
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    monkeypatch.setattr(jaccard_join, "HELD", 300, raising=False)
+    monkeypatch.setattr(jaccard_join, "RANGE", 200, raising=False)
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(60)] + [f"p{j}q{k}" for j in (i % 20, 20 + i // 3) for k in range(12)])) for i in range(60)]
+    got = {x.doc_id: x.component_id for x in join(frame, docs).collect()}
+    assert got == {i: i for i in range(60)} and made["lists"].count() == 0
+    docs += [(100 + i, docs[i][1].replace(f"w{i}x5 ", "n ")) for i in range(0, 60, 3)] + [(200, docs[0][1])]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in join(frame, docs).collect()}
+    assert got == brute_components(docs, 5) and sum(c == d for d, (_, c) in got.items()) == 60
+
+
 def test_derived_answers(frame):
     """Bounds from bases decide like full sets; pairs that they leave open are verified."""
     r = random.Random(6)
