@@ -25,6 +25,13 @@ def written(df, folder):
     return df.sparkSession.read.parquet(f"{folder}/out"), sum(x.stat().st_size for x in os.scandir(f"{folder}/out") if x.name.endswith(".parquet"))
 
 
+def test_pairs(access, tmp_path):
+    got, size = written(access.pairs(), tmp_path)
+    assert got.count() == got.distinct().count() == PAIRS
+    assert not got.where(F.col("user_id") % PLACES != F.col("device_id") % PLACES).count()
+    assert size < 0.25 * PAIRS
+
+
 def test_notifications(spark, access, tmp_path):
     """Of each device's three events one is told in two ways, one in one and one not at all."""
     alarm = F.element_at(F.array(F.lit("sos"), F.lit("tow"), F.lit("jam")), (F.col("id") % 3 + 1).cast("int"))
