@@ -32,8 +32,8 @@ from .near_dedup import shingles
 
 #: Entries of one block; more are dealt out over several.
 BLOCK = 1024
-#: Values that a task sorts at once, values of one range on average, and the bits of a hash that are dealt.
-HELD, RANGE, KEY = 2_000_000, 1_000_000, 40
+#: Values that a task sorts at once, values of one range on average, ranges for each part of their counts, and the bits of a hash that are dealt.
+HELD, RANGE, RANGES, KEY = 2_000_000, 1_000_000, 4, 40
 #: Places of the parities, 64 to a number.
 PLACES = 1024
 
@@ -114,16 +114,34 @@ def _asked(n: int, percent: int) -> int:
     return n + 1 - -(-percent * n // 100)
 
 
-def _shared(b: pd.DataFrame) -> pd.DataFrame:
-    """(rep, over) of one range: how many of its keys a class shares with others, and the tasks' own rows."""
-    keys = np.concatenate([np.cumsum(_unplaned(k)) for k in b["keys"]])
-    holder = np.concatenate([_unplaned(h) for h in b["holders"]])
-    order = np.argsort(keys, kind="stable")
-    _, n = _runs(keys[order])
-    found = holder[order][np.repeat(n > 1, n)]
-    rep, over = np.unique(found[found >= 0], return_counts=True)
-    own = [np.concatenate([_unplaned(x) for x in b[c]]) for c in ("reps", "over")]
-    return pd.DataFrame({"rep": np.r_[rep, own[0]], "over": np.r_[over, own[1]]})
+def _shared(targets: int):
+    """(part, reps, over), a row for each target: of the classes that are dealt there, how many keys of one range they share with others, and the tasks' own rows."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.cumsum(_unplaned(k)) for k in b["keys"]])
+        holder = np.concatenate([_unplaned(h) for h in b["holders"]])
+        order = np.argsort(keys, kind="stable")
+        _, n = _runs(keys[order])
+        found = holder[order][np.repeat(n > 1, n)]
+        rep, over = np.unique(found[found >= 0], return_counts=True)
+        own = [np.concatenate([_unplaned(x) for x in b[c]]) for c in ("reps", "over")]
+        rep, over = np.r_[rep, own[0]], np.r_[over, own[1]]
+        target = ((rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % targets
+        order = np.lexsort((rep, target))
+        rep, over = rep[order], over[order]
+        at, n = _runs(target[order])
+        rows = [(t, _planes(np.diff(rep[i : i + k], prepend=0)), _planes(over[i : i + k])) for t, i, k in zip(target[order][at].tolist(), at.tolist(), n.tolist())]
+        return pd.DataFrame(rows, columns=["part", "reps", "over"])
+
+    return run
+
+
+def _left(b: pd.DataFrame) -> pd.DataFrame:
+    """(rep): the classes of one target whose counts come to more than nothing."""
+    rep, at = np.unique(np.concatenate([np.cumsum(_unplaned(x)) for x in b["reps"]]), return_inverse=True)
+    over = np.zeros(len(rep), np.int64)
+    np.add.at(over, at, np.concatenate([_unplaned(x) for x in b["over"]]))
+    return pd.DataFrame({"rep": rep[over > 0]})
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -162,8 +180,8 @@ class Texts:
         """The classes (rep) that may be similar to others, a written table; values: how many their sets hold, about."""
         ranges = values * _sixteenths(percent) // 16 // RANGE + 1
         dealt = self.mapped(_dealt(self.width, percent, ranges), "part long, keys binary, holders binary, reps binary, over binary")
-        shared = dealt.groupBy("part").applyInPandas(_shared, "rep long, over long")
-        return written(shared.groupBy("rep").agg(F.sum("over").alias("over")).where("over > 0").select("rep"), "open")
+        shared = dealt.groupBy("part").applyInPandas(_shared(ranges // RANGES + 1), "part long, reps binary, over binary")
+        return written(shared.groupBy("part").applyInPandas(_left, "rep long"), "open")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(rep, n, all, marks) of the classes ids (rep)."""
